@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hourwatt import constants as C
 from hourwatt.catalog import adapters as A
+from hourwatt.catalog import sql_views
 from hourwatt.catalog.registry import query
 from hourwatt.catalog.sql_views import G, H, R, T, candidate_sql, ranking_sql
 from hourwatt.functions import text
@@ -478,11 +479,7 @@ c as (select s.workload_id, s.region, s.d, s.ts, b.price from starts s join b on
 
 
 def _with_regions(tail):
-    from hourwatt.catalog import sql_views
-
-    inner = _workload_sql.replace("{regions}", sql_views._regions)
-    # The shared view is the only one used, so it is written out here ahead of the local ones.
-    return inner.replace("with p as", f"with v_event_copy as ({sql_views.VIEWS['v_ev']}),\np as").replace("from v_ev group", "from v_event_copy group") + "\n" + tail
+    return _workload_sql.replace("{regions}", sql_views._regions) + "\n" + tail
 
 
 def candidates(s, d):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourwatt.catalog.sql_views import VIEWS
+from hourwatt.catalog.sql_views import NUDGE, VIEWS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,7 +27,10 @@ def with_views(sql: str) -> str:
                 needed.add(name)
                 pending.append(VIEWS[name])
     ctes = ",\n".join(f"{name} as ({VIEWS[name]})" for name in VIEWS if name in needed)
-    return f"with {ctes}\n{sql}" if ctes else sql
+    if not ctes:
+        return sql
+    own = re.match(r"with\s+", sql)
+    return f"with {ctes},\n{sql[own.end():]}" if own else f"with {ctes}\n{sql}"
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -54,7 +57,6 @@ def comparable(df: DataFrame) -> DataFrame:
         elif isinstance(f.dataType, T.DateType):
             column = F.date_format(column, "yyyy-MM-dd")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            # Adding zero turns -0.0 into 0.0.
-            column = F.round(column.cast("double"), 6) + F.lit(0.0)
+            column = F.round(column.cast("double") + F.lit(NUDGE), 6) + F.lit(0.0)
         columns.append(column.alias(f.name))
     return df.select(*columns)

@@ -14,9 +14,14 @@ def T(column: str) -> str:
     return f"strftime({column}, '%Y-%m-%d %H:%M:%S')"
 
 
+# A mean over 32, 96, ... two-digit values can end in an exact half at the seventh digit, where the order
+# of addition would decide how it rounds. Both sides add this before rounding, so such values round up.
+NUDGE = 1.37e-8
+
+
 def R(expression: str, digits: int = 6) -> str:
     """Rounded double; adding zero turns -0.0 into 0.0."""
-    return f"round(cast({expression} as double), {digits}) + 0.0"
+    return f"round(cast({expression} as double) + {NUDGE}, {digits}) + 0.0"
 
 
 def H(expression: str, digits: int = 2) -> str:

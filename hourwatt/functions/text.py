@@ -10,6 +10,7 @@ HIGH_CONFIDENCE = 0.75
 MEDIUM_CONFIDENCE = 0.5
 REGIME_LABELS = ("low", "medium_low", "medium_high", "high")
 OFFSET_PATTERN = r"(Z|[+-]\d{2}:?\d{2})$"
+MINUTES_ONLY_PATTERN = r"(T\d{2}:\d{2})(Z|[+-]\d{2}:?\d{2}|)$"
 
 
 def iso_utc(ts: Column) -> Column:
@@ -22,9 +23,14 @@ def record_id(*parts: Column | str) -> Column:
     return F.concat_ws(":", *[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+def iso_timestamp(text: Column) -> Column:
+    """ISO text to a timestamp; seconds may be missing, and text without an offset is UTC."""
+    return F.regexp_replace(text, MINUTES_ONLY_PATTERN, "$1:00$2").try_cast("timestamp")
+
+
 def parse_offset_timestamp(text: Column) -> Column:
     """ISO text with an explicit offset (or Z) to a UTC timestamp; text without one gives null."""
-    return F.when(text.rlike(OFFSET_PATTERN), text.try_cast("timestamp"))
+    return F.when(text.rlike(OFFSET_PATTERN), iso_timestamp(text))
 
 
 def price_direction(change: Column) -> Column:

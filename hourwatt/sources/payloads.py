@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hourwatt import constants as C
 from hourwatt.functions.numeric import DECIMAL_TYPE
-from hourwatt.functions.text import iso_utc, record_id
+from hourwatt.functions.text import iso_timestamp, iso_utc, record_id
 
 PRICE_SCHEMA = "unit string, unix_seconds array<bigint>, price array<decimal(18,6)>"
 XML_SCHEMA = (
@@ -77,7 +77,7 @@ def parse_weather_pages(pages: DataFrame, region: str = "region", payload: str =
     parsed = pages.select(F.col(region).alias("region"), F.from_json(payload, f"hourly struct<time: array<string>, {variables}>").alias("p"))
     hours = parsed.select("region", F.col("p.hourly").alias("h"), F.posexplode("p.hourly.time").alias("_pos", "_time"))
     rows = hours.select(
-        "region", F.col("_time").cast("timestamp").alias("timestamp_utc"),
+        "region", iso_timestamp(F.col("_time")).alias("timestamp_utc"),
         *[F.get(F.col(f"h.{v}"), F.col("_pos")).alias(name) for v, name in C.WEATHER_FIELDS.items()],
     )
     return rows.select(
@@ -97,7 +97,7 @@ def parse_price_xml_pages(pages: DataFrame, zone: str, payload: str = "response_
     doc = pages.select(F.from_xml(F.col(payload), XML_SCHEMA, options).alias("d"))
     periods = doc.select(F.explode("d.TimeSeries").alias("s")).select(F.explode("s.Period").alias("p"))
     points = periods.filter(F.coalesce(F.col("p.timeInterval.start"), F.lit("")) != "").select(
-        F.col("p.timeInterval.start").cast("timestamp").alias("_start"), F.col("p.resolution").alias("_resolution"),
+        iso_timestamp(F.col("p.timeInterval.start")).alias("_start"), F.col("p.resolution").alias("_resolution"),
         F.explode("p.Point").alias("q"),
     )
     rows = points.select(

@@ -13,7 +13,7 @@ from hourwatt import constants as C
 from hourwatt.functions.numeric import DECIMAL_TYPE, half_even, safe_divide
 from hourwatt.functions.text import iso_utc, record_id
 from hourwatt.operators.calendar import TS
-from hourwatt.operators.trailing import lag_hours, owned_rows, trailing_window, with_halo
+from hourwatt.operators.trailing import lag_hours, owned_rows, trailing_frame, with_halo
 from hourwatt.operators.walk_forward import ForecastWindow, assign_windows
 from hourwatt.session import prepare_session
 from hourwatt.sources.dimensions import load_emission_factors
@@ -125,15 +125,14 @@ def _forecasts(series: DataFrame, value: str, keys: list[str]) -> DataFrame:
     The trailing mean sums decimals, so it does not depend on the order of addition.
     """
     cents = series.withColumn("_v", half_even(F.col(value), 2))
-    day = trailing_window(keys, 24, 1)
-    exact = F.col("_v").cast(DECIMAL_TYPE)
-    mean = half_even(safe_divide(F.sum(exact).over(day).cast("double"), F.count("_v").over(day).cast("double")), 2)
+    day = trailing_frame(keys, 24, 1)
+    total, count = F.expr(f"sum(cast(_v as {DECIMAL_TYPE})) over {day}"), F.expr(f"count(_v) over {day}")
     wide = owned_rows(
         with_halo(cents, 168).withColumns(
             {
-                C.NAIVE_MODEL: lag_hours(F.col("_v"), 24, keys),
-                "naive_lag_168h": lag_hours(F.col("_v"), 168, keys),
-                "rolling_mean_24h": mean,
+                C.NAIVE_MODEL: lag_hours("_v", 24, keys),
+                "naive_lag_168h": lag_hours("_v", 168, keys),
+                "rolling_mean_24h": half_even(safe_divide(total.cast("double"), count.cast("double")), 2),
             }
         )
     )

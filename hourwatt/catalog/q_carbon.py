@@ -250,7 +250,7 @@ def m01(s, d):
     from hourwatt.operators.trailing import lag_hours, owned_rows, with_halo
 
     spread = with_halo(A.mix_long(s, d), 24)
-    return owned_rows(spread.withColumn("predicted_mwh", lag_hours(F.col("mwh"), 24, ["target"])))
+    return owned_rows(spread.withColumn("predicted_mwh", lag_hours("mwh", 24, ["target"])))
 
 
 _price_rank_cols = f"""{T('ts')} as timestamp_utc, "window", model, {R('actual_price')} as actual_price_eur_mwh, {R('predicted_price')} as predicted_price_eur_mwh, decision_date,

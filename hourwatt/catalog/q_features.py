@@ -165,7 +165,7 @@ def user_series(s, d):
   select *, {', '.join(f'lag(v, {h}) over (partition by user_id order by ts) as l{h}' for h in C.LAG_HOURS)} from {_user_dense} g) t where present""")
 def w01(s, d):
     spread = trailing.with_halo(user_series(s, d), max(C.LAG_HOURS))
-    lags = {f"v_lag_{h}h": trailing.lag_hours(F.col("v"), h, ["user_id"]) for h in C.LAG_HOURS}
+    lags = {f"v_lag_{h}h": trailing.lag_hours("v", h, ["user_id"]) for h in C.LAG_HOURS}
     return trailing.owned_rows(spread.withColumns(lags)).drop("v")
 
 
@@ -187,7 +187,7 @@ def _roll(fn, n, v="v"):
   select *, {_roll('avg', 24)} as m24, {_roll('avg', 168)} as m168 from {_dense_mix} g) t where v is not null""")
 def w02(s, d):
     spread = trailing.with_halo(power_series(s, d), 168)
-    means = {f"v_rolling_mean_{n}h": trailing.rolling(F.col("v"), "mean", n, ["target"]) for n in C.MEAN_HOURS}
+    means = {f"v_rolling_mean_{n}h": trailing.rolling("v", "mean", n, ["target"]) for n in C.MEAN_HOURS}
     return trailing.owned_rows(spread.withColumns(means)).drop("v")
 
 
@@ -195,7 +195,7 @@ def w02(s, d):
   select *, {_roll('stddev_samp', 24)} as s, {_roll('min', 24)} as lo, {_roll('max', 24)} as hi from {_dense_mix} g) t where v is not null""")
 def w03(s, d):
     spread = trailing.with_halo(power_series(s, d), 24)
-    stats = {f"v_rolling_{x}_24h": trailing.rolling(F.col("v"), x, 24, ["target"]) for x in ("std", "min", "max")}
+    stats = {f"v_rolling_{x}_24h": trailing.rolling("v", x, 24, ["target"]) for x in ("std", "min", "max")}
     return trailing.owned_rows(spread.withColumns(stats)).drop("v")
 
 

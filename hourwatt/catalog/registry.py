@@ -6,7 +6,6 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourwatt.catalog.sql_views import NUDGE, VIEWS
@@ -51,12 +50,13 @@ def comparable(df: DataFrame) -> DataFrame:
     """Plain output types: times as text, decimals as doubles, doubles rounded to 6 digits."""
     columns = []
     for f in df.schema.fields:
-        column = F.col(f"`{f.name}`")
+        name = f"`{f.name}`"
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            column = F.date_format(column, "yyyy-MM-dd HH:mm:ss")
+            columns.append(f"date_format({name}, 'yyyy-MM-dd HH:mm:ss') as {name}")
         elif isinstance(f.dataType, T.DateType):
-            column = F.date_format(column, "yyyy-MM-dd")
+            columns.append(f"date_format({name}, 'yyyy-MM-dd') as {name}")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            column = F.round(column.cast("double") + F.lit(NUDGE), 6) + F.lit(0.0)
-        columns.append(column.alias(f.name))
-    return df.select(*columns)
+            columns.append(f"round(cast({name} as double) + {NUDGE}D, 6) + 0D as {name}")
+        else:
+            columns.append(name)
+    return df.selectExpr(*columns)

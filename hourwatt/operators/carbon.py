@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourwatt import constants as C
@@ -57,8 +57,8 @@ def require_factors(factors: Factors, sources: Sequence[str]) -> None:
 def pivot_generation(predictions: DataFrame, sources: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """One row per (keys, hour, window, model): first non-null value per source, both sides at once."""
     aggs = [
-        F.first(F.when(F.col("target") == s, F.col(f"{side}_mwh").cast("double")), ignorenulls=True).alias(
-            f"{side}_{s}_generation_mwh"
+        F.expr(
+            f"first(case when target = '{s}' then cast({side}_mwh as double) end, true) as {side}_{s}_generation_mwh"
         )
         for s in sources
         for side in SIDES
@@ -67,14 +67,6 @@ def pivot_generation(predictions: DataFrame, sources: Sequence[str], keys: Seque
     return rows.groupBy(*keys, TS, "window", "model").agg(*aggs)
 
 
-def _total(columns: Sequence[Column]) -> Column:
-    """Sum in the given order with null as zero."""
-    total = F.coalesce(columns[0], F.lit(0.0))
-    for column in columns[1:]:
-        total = total + F.coalesce(column, F.lit(0.0))
-    return total
-
-
 def hourly_carbon(
     predictions: DataFrame, factors: Factors, sources: Sequence[str] = C.GENERATION_SOURCES, keys: Sequence[str] = ()
 ) -> DataFrame:
@@ -85,33 +77,34 @@ def hourly_carbon(
     require_columns(predictions, REQUIRED_COLUMNS, "prediction data")
     require_factors(factors, sources)
     wide = pivot_generation(predictions, sources, keys)
-    wide = wide.withColumns(
-        {f"{side}_{s}_generation_mwh": clip(F.col(f"{side}_{s}_generation_mwh"), lower=0.0) for side in SIDES for s in sources}
-    )
-    entries = [
-        F.struct(F.lit(m).alias("methodology"), *[F.lit(float(by_source[s])).alias(f"_factor_{s}") for s in sources])
-        for m, by_source in factors.items()
+    shared = [*keys, TS, "window", "model"]
+    # Generation below zero counts as zero; a missing source stays null.
+    clipped = [
+        f"case when {side}_{s}_generation_mwh < 0 then 0D else {side}_{s}_generation_mwh end as {side}_{s}_generation_mwh"
+        for side in SIDES
+        for s in sources
     ]
-    wide = wide.select("*", F.inline(F.array(*entries)))
-    wide = wide.withColumns(
-        {
-            f"{side}_{s}_emissions_kg_co2e": F.col(f"{side}_{s}_generation_mwh") * F.col(f"_factor_{s}")
-            for side in SIDES
-            for s in sources
-        }
+    rows = ", ".join(
+        "named_struct('methodology', '{}', {})".format(m, ", ".join(f"'_factor_{s}', {float(by_source[s])!r}D" for s in sources))
+        for m, by_source in factors.items()
+    )
+    wide = wide.selectExpr(*shared, *clipped, f"inline(array({rows}))")
+    wide = wide.selectExpr(
+        "*",
+        *[f"{side}_{s}_generation_mwh * _factor_{s} as {side}_{s}_emissions_kg_co2e" for side in SIDES for s in sources],
     )
-    totals = {}
-    for side in SIDES:
-        totals[f"{side}_total_generation_mwh"] = _total([F.col(f"{side}_{s}_generation_mwh") for s in sources])
-        totals[f"{side}_total_emissions_kg_co2e"] = _total([F.col(f"{side}_{s}_emissions_kg_co2e") for s in sources])
-    wide = wide.withColumns(totals)
-    wide = wide.withColumns(
-        {
-            f"{side}_carbon_intensity_g_co2e_per_kwh": safe_divide(
-                F.col(f"{side}_total_emissions_kg_co2e"), F.col(f"{side}_total_generation_mwh")
-            )
+
+    def total(side: str, measure: str) -> str:
+        parts = " + ".join(f"coalesce({side}_{s}_{measure}, 0D)" for s in sources)
+        return f"{parts} as {side}_total_{measure}"
+
+    wide = wide.selectExpr("*", *[total(side, m) for side in SIDES for m in ("generation_mwh", "emissions_kg_co2e")])
+    wide = wide.selectExpr(
+        "*",
+        *[
+            f"try_divide({side}_total_emissions_kg_co2e, {side}_total_generation_mwh) as {side}_carbon_intensity_g_co2e_per_kwh"
             for side in SIDES
-        }
+        ],
     )
     measures = [
         *[f"{side}_{m}" for m in ("total_generation_mwh", "total_emissions_kg_co2e", "carbon_intensity_g_co2e_per_kwh") for side in SIDES],
@@ -124,14 +117,13 @@ def contributions(hourly: DataFrame, sources: Sequence[str] = C.GENERATION_SOURC
     """Long rows per source with its share of the hour's emissions; a row-wise unpivot, no shuffle."""
     entries = []
     for s in sources:
-        fields = [F.lit(s).alias("source")]
-        for m in ("generation_mwh", "emissions_kg_co2e"):
-            fields += [F.col(f"{side}_{s}_{m}").alias(f"{side}_{m}") for side in SIDES]
-        for side in SIDES:
-            share = safe_divide(F.col(f"{side}_{s}_emissions_kg_co2e"), F.col(f"{side}_total_emissions_kg_co2e"))
-            fields.append(share.alias(f"{side}_emissions_share"))
-        entries.append(F.struct(*fields))
-    return hourly.select(*keys, TS, "methodology", "window", "model", F.inline(F.array(*entries)))
+        fields = [f"'source', '{s}'"]
+        fields += [f"'{side}_{m}', {side}_{s}_{m}" for m in ("generation_mwh", "emissions_kg_co2e") for side in SIDES]
+        fields += [
+            f"'{side}_emissions_share', try_divide({side}_{s}_emissions_kg_co2e, {side}_total_emissions_kg_co2e)" for side in SIDES
+        ]
+        entries.append(f"named_struct({', '.join(fields)})")
+    return hourly.selectExpr(*keys, TS, "methodology", "window", "model", f"inline(array({', '.join(entries)}))")
 
 
 def hourly_intensity_long(generation: DataFrame, factors: DataFrame, keys: Sequence[str] = (), value: str = "mwh", source: str = "target") -> DataFrame:

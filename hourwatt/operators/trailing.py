@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hourwatt import constants as C
@@ -38,61 +37,59 @@ def owned_rows(df: DataFrame) -> DataFrame:
     return df.filter(_OWNED).drop(_HOUR, _BUCKET, _OWNED)
 
 
-def trailing_window(keys: Sequence[str], first: int, last: int) -> Window:
+def trailing_frame(keys: Sequence[str], first: int, last: int) -> str:
     """RANGE frame over the hours [t-first, t-last]; gaps need no densifying."""
-    return Window.partitionBy(*keys, _BUCKET).orderBy(_HOUR).rangeBetween(-first, -last)
+    partition = ", ".join([*keys, _BUCKET])
+    return f"(partition by {partition} order by {_HOUR} range between {first} preceding and {last} preceding)"
 
 
-def lag_hours(value: Column, hours: int, keys: Sequence[str]) -> Column:
+def lag_hours(value: str, hours: int, keys: Sequence[str]) -> Column:
     """The value exactly ``hours`` earlier, or null when that hour is absent."""
-    return F.max(value).over(trailing_window(keys, hours, hours))
+    return F.expr(f"max({value}) over {trailing_frame(keys, hours, hours)}")
 
 
-def rolling(value: Column, stat: str, hours: int, keys: Sequence[str]) -> Column:
+def rolling(value: str, stat: str, hours: int, keys: Sequence[str]) -> Column:
     """A statistic of the previous ``hours`` hours; null unless all of them are present."""
-    frame = trailing_window(keys, hours, 1)
-    function = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}[stat]
-    return F.when(F.count(value).over(frame) == hours, function(value).over(frame))
+    over = trailing_frame(keys, hours, 1)
+    function = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}[stat]
+    return F.expr(f"case when count({value}) over {over} = {hours} then {function}({value}) over {over} end")
 
 
 def target_windows(column: str, prefix: str, keys: Sequence[str]) -> dict[str, Column]:
     """Window expressions of one target: lags, rolling means, std, min, max."""
-    value = F.col(column)
-    out = {f"{prefix}_lag_{h}h": lag_hours(value, h, keys) for h in C.LAG_HOURS}
-    out |= {f"{prefix}_rolling_mean_{h}h": rolling(value, "mean", h, keys) for h in C.MEAN_HOURS}
+    out = {f"{prefix}_lag_{h}h": lag_hours(column, h, keys) for h in C.LAG_HOURS}
+    out |= {f"{prefix}_rolling_mean_{h}h": rolling(column, "mean", h, keys) for h in C.MEAN_HOURS}
     for stat in ("std", "min", "max"):
-        out[f"{prefix}_rolling_{stat}_{C.SPREAD_HOURS}h"] = rolling(value, stat, C.SPREAD_HOURS, keys)
+        out[f"{prefix}_rolling_{stat}_{C.SPREAD_HOURS}h"] = rolling(column, stat, C.SPREAD_HOURS, keys)
     return out
 
 
 def target_contrasts(prefix: str) -> dict[str, Column]:
     """Differences between the window features of one target."""
-    lag = {h: F.col(f"{prefix}_lag_{h}h") for h in C.LAG_HOURS}
     out = {
-        f"{prefix}_rolling_range_24h": F.col(f"{prefix}_rolling_max_24h") - F.col(f"{prefix}_rolling_min_24h"),
-        f"{prefix}_lag_1h_to_24h": lag[1] - lag[24],
-        f"{prefix}_lag_24h_to_168h": lag[24] - lag[168],
+        f"{prefix}_rolling_range_24h": f"{prefix}_rolling_max_24h - {prefix}_rolling_min_24h",
+        f"{prefix}_lag_1h_to_24h": f"{prefix}_lag_1h - {prefix}_lag_24h",
+        f"{prefix}_lag_24h_to_168h": f"{prefix}_lag_24h - {prefix}_lag_168h",
     }
     if prefix == "price":
-        out["price_lag_168h_to_336h"] = lag[168] - lag[336]
-        out["price_vs_rolling_mean_24h"] = lag[1] - F.col("price_rolling_mean_24h")
-    return out
+        out["price_lag_168h_to_336h"] = "price_lag_168h - price_lag_336h"
+        out["price_vs_rolling_mean_24h"] = "price_lag_1h - price_rolling_mean_24h"
+    return {name: F.expr(sql) for name, sql in out.items()}
 
 
 def demand_levels() -> dict[str, Column]:
     """Residual demand and variable renewables a day and a week ago (missing wind or solar is zero)."""
     out = {}
     for h in (24, 168):
-        wind = F.coalesce(F.col(f"wind_lag_{h}h"), F.lit(0.0))
-        solar = F.coalesce(F.col(f"solar_lag_{h}h"), F.lit(0.0))
-        out[f"residual_demand_lag_{h}h"] = F.col(f"consumption_lag_{h}h") - wind - solar
-        out[f"variable_renewable_lag_{h}h"] = wind + solar
+        wind, solar = f"coalesce(wind_lag_{h}h, 0D)", f"coalesce(solar_lag_{h}h, 0D)"
+        out[f"residual_demand_lag_{h}h"] = F.expr(f"consumption_lag_{h}h - {wind} - {solar}")
+        out[f"variable_renewable_lag_{h}h"] = F.expr(f"{wind} + {solar}")
     return out
 
 
 def demand_contrasts() -> dict[str, Column]:
     return {
-        f"{name}_lag_24h_to_168h": F.col(f"{name}_lag_24h") - F.col(f"{name}_lag_168h")
+        f"{name}_lag_24h_to_168h": F.expr(f"{name}_lag_24h - {name}_lag_168h")
         for name in ("residual_demand", "variable_renewable")
     }
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hourwatt.functions import numeric as N
 from hourwatt.functions.text import regime_label
 from hourwatt.operators.calendar import TS, calendar_expressions
-from hourwatt.operators.ranking import frequency_percentile
+from hourwatt.operators.quantiles import exact_quantiles
 
 REGRESSION_METRICS = ("mae", "rmse", "smape", "directional_accuracy")
 
@@ -70,11 +70,11 @@ def add_errors(df: DataFrame, actual: str = "actual_price_eur_mwh", predicted: s
 
 def add_price_regime(df: DataFrame, value: str = "actual_price_eur_mwh") -> DataFrame:
     """Label each row with its quartile over all rows (all models pooled)."""
-    quartiles = frequency_percentile(df, value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), [], "_quartiles")
-    # One row holding three numbers.
-    out = df.join(F.broadcast(quartiles))
-    q = F.col("_quartiles")
-    return out.withColumn("price_regime", regime_label(F.col(value), q[0], q[1], q[2])).drop("_quartiles")
+    quartiles = exact_quantiles(df, value, [0.25, 0.5, 0.75], name="q")
+    # One row of three numbers, read as a scalar subquery.
+    marked = df.withColumn("_q", quartiles.scalar())
+    q = F.col("_q")
+    return marked.withColumn("price_regime", regime_label(F.col(value), q[0], q[1], q[2])).drop("_q")
 
 
 # Diagnostic group name -> column that holds its buckets.
@@ -128,7 +128,7 @@ def flatten_metrics(summary: DataFrame, prefix_columns: Sequence[str] = ("target
     """Wide summary rows to (metric_name, value), numeric columns only."""
     from hourwatt.functions.text import metric_name
 
-    numeric = [f.name for f in summary.schema.fields if f.dataType.typeName() in ("double", "float", "integer", "long", "short", "byte")]
+    numeric = [f.name for f in summary.schema.fields if f.dataType.typeName() in ("double", "float", "integer", "long", "short", "byte", "boolean")]
     parts = [F.col(c).cast("string") for c in prefix_columns if c in summary.columns]
     present = F.concat_ws(".", *[F.nullif(p, F.lit("")) for p in parts]) if parts else F.lit("")
     prefix = metric_name(F.when(present == "", "summary").otherwise(present))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from hourwatt.functions.numeric import safe_divide
 from hourwatt.operators.calendar import TS
+from hourwatt.operators.quantiles import exact_quantiles
 
 
 def first_rank(value: str, group: Sequence[str], *ties: str) -> Column:
@@ -81,16 +82,12 @@ def price_ranking_summary(rankings: DataFrame, keys: Sequence[str] = ()) -> Data
         F.avg(F.when(top_1, F.col("actual_price_rank"))).alias("mean_actual_rank_of_predicted_best"),
         F.avg(F.when(F.col("predicted_price_rank") <= 3, F.col("actual_price_rank"))).alias("top_3_average_actual_rank"),
     )
-    medians = frequency_percentile(rankings.filter(top_1), "regret_vs_best_eur_mwh", 0.5, by_model, "median_top_1_regret_eur_mwh")
+    medians = exact_quantiles(rankings.filter(top_1), "regret_vs_best_eur_mwh", [0.5], by_model, "_median").select(
+        *by_model, F.col("_median")[0].alias("median_top_1_regret_eur_mwh")
+    )
     spearman = (
         group_spearman(rankings, group, "predicted_price_eur_mwh", "actual_price_eur_mwh")
         .groupBy(*by_model)
         .agg(F.avg("spearman").alias("mean_spearman_rank_corr"))
     )
     return base.join(medians, by_model).join(spearman, by_model)
-
-
-def frequency_percentile(df: DataFrame, value: str, fraction, keys: Sequence[str], name: str) -> DataFrame:
-    """Exact interpolated percentile; equal values are counted first, so a task sees distinct values only."""
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    return counted.groupBy(*keys).agg(F.percentile(value, fraction, F.col("_n")).alias(name))

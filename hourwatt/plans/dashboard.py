@@ -56,8 +56,7 @@ def recommendations_of_date(recommendations: DataFrame, date: str | None = None)
 def _of_date(rows: DataFrame, date: str | None) -> DataFrame:
     if date is not None:
         return rows.filter(F.col("decision_group") == date)
-    last = rows.agg(F.max("decision_group").alias("decision_group"))
-    return rows.join(F.broadcast(last), "decision_group", "left_semi")
+    return rows.filter(F.col("decision_group") == rows.agg(F.max("decision_group")).scalar())
 
 
 def scenario_recommendations_of_date(rows: DataFrame, scenario: str = "clean_first", date: str | None = None) -> DataFrame:

@@ -34,10 +34,10 @@ def require_columns(df: DataFrame, required: set[str], what: str = "input") -> D
 
 def missing_targets(predictions: DataFrame, sources: Sequence[str]) -> DataFrame:
     """(window, model, target) for every source a window and model has no rows for."""
-    present = predictions.filter(F.col("target").isin(list(sources))).select("window", "model", "target").distinct()
-    wanted = F.explode(F.array(*[F.lit(s) for s in sources])).alias("target")
-    expected = present.select("window", "model").distinct().select("window", "model", wanted)
-    return expected.join(present, ["window", "model", "target"], "left_anti")
+    wanted = F.array(*[F.lit(s) for s in sources])
+    # The collected set holds at most the listed sources.
+    found = predictions.filter(F.col("target").isin(list(sources))).groupBy("window", "model").agg(F.collect_set("target").alias("_found"))
+    return found.select("window", "model", F.explode(F.array_except(wanted, "_found")).alias("target"))
 
 
 def require_targets(predictions: DataFrame, sources: Sequence[str]) -> DataFrame:

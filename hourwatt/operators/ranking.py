@@ -39,7 +39,8 @@ def decision_date(ts: Column) -> Column:
 def price_decision_rankings(predictions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Rank the hours of each day by predicted and by actual price, with regret against the best hour."""
     group = [*keys, "window", "model", "decision_date"]
-    whole = Window.partitionBy(*group)
+    by_actual = Window.partitionBy(*group).orderBy("actual_price_eur_mwh", TS)
+    whole = by_actual.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = predictions.withColumn("decision_date", decision_date(F.col(TS))).withColumns(
         {
             "predicted_price_rank": first_rank("predicted_price_eur_mwh", group, TS),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hourwatt.functions.numeric import half_even
 from hourwatt.functions.text import scenario_title
 from hourwatt.operators.calendar import TS
+from hourwatt.operators.decision import champion_recommendations
 
 
 def summary_numbers(recommendations: DataFrame) -> DataFrame:
@@ -28,7 +29,8 @@ def filter_values(recommendations: DataFrame, scenario_recommendations: DataFram
 
 
 def champion_scenarios(scenario_recommendations: DataFrame, champion: DataFrame) -> DataFrame:
-    return scenario_recommendations.join(F.broadcast(champion.select("model")), "model", "left_semi")
+    """Scenario rows of the champion model."""
+    return champion_recommendations(scenario_recommendations, champion)
 
 
 def date_documents(recommendations: DataFrame, scenario_rows: DataFrame) -> DataFrame:

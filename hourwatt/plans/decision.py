@@ -55,7 +55,7 @@ def decision_run(
     return DecisionOutputs(
         rankings=rankings,
         recommendations=recommendations,
-        champion_recommendations=decision.champion_recommendations(recommendations, decision.champion(models)),
+        champion_recommendations=decision.champion_recommendations(recommendations, decision.champion(models), keys),
         scenario_recommendations=decision.top_scenario_recommendations(scenario_ranks, top_n, keys),
         decision_summary=workload.decision_summary(rankings, keys),
         ranking_quality=quality,

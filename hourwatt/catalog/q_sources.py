@@ -35,7 +35,7 @@ _zone = f"'energy-charts:FR:' || {ISO.format('h')}"
 
 
 @query("S04_price_payloads", f"""select 'api' as source, {_zone} as source_record_id, 'FR' as region, {T('h')} as timestamp_utc, '1h' as granularity, 'day_ahead' as market,
-  {R('cast(sum(cast(value as decimal(18,6))) as double) / count(*)')} as price_eur_mwh, 'EUR' as currency from v_ev where event_type <> 'error' group by h""")
+  {R('round(cast(sum(cast(value as decimal(18,6))) as double) / count(*), 6)')} as price_eur_mwh, 'EUR' as currency from v_ev where event_type <> 'error' group by h""")
 def s04(s, d):
     return payloads.parse_price_pages(A.price_pages(s, d))
 

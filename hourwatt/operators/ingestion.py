@@ -26,7 +26,10 @@ def _merge(checkpoints: DataFrame, changes: DataFrame, values: dict[str, Column]
     ``values`` may refer to the old row as ``old`` and to the change as ``new``. Completed rows are kept
     unless the change itself completes (``insert`` is false then, as completing only updates).
     """
-    old, new = checkpoints.alias("old"), changes.dropDuplicates(WINDOW_KEY).alias("new")
+    extra = [c for c in changes.columns if c not in WINDOW_KEY]
+    # A window named twice counts once, with its largest values.
+    once = changes.groupBy(*WINDOW_KEY).agg(*[F.max(c).alias(c) for c in extra])
+    old, new = checkpoints.alias("old"), once.alias("new")
     joined = old.join(new, WINDOW_KEY, "full_outer" if insert else "left")
     changed = F.col("new._changed")
     if insert:

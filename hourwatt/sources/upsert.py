@@ -41,7 +41,8 @@ def upsert(
     bucketed by key there is no further shuffle.
     """
     keys = list(keys)
-    latest = keep_one(batch, keys, *order) if order else batch.dropDuplicates(keys)
+    # Without a version the lowest row by all its values wins, whatever the input order.
+    latest = keep_one(batch, keys, *(order or [c for c in batch.columns if c not in keys] or keys))
     new = latest.withColumn("_new", F.lit(True)).alias("new")
     old = target.alias("old")
     joined = old.join(new, keys, "full_outer")

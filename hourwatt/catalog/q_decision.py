@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hourwatt import constants as C
 from hourwatt.catalog import adapters as A
 from hourwatt.catalog import sql_views
 from hourwatt.catalog.registry import query
@@ -67,9 +66,6 @@ def w13(s, d):
     return workload.candidate_windows(hourly(s, d), WorkloadConstraints(duration_hours=3))
 
 
-_bounded = """(select * from v_hourly where ts >= timestamp '{0}' and ts <= timestamp '{1}')"""
-
-
 @query("W13b_constrained_windows", f"select {_candidate_sql} from ({candidate_sql('v_hourly', 3, True)}) c where ts >= timestamp '2024-01-16 08:00:00' and ts + interval 2 hours <= timestamp '2024-01-16 19:00:00'")
 def w13b(s, d):
     return workload.candidate_windows(hourly(s, d), DAY)

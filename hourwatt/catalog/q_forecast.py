@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hourwatt import constants as C
-from hourwatt.catalog import adapters as A
 from hourwatt.catalog.q_features import base
 from hourwatt.catalog.registry import query
 from hourwatt.operators.calendar import TS

@@ -95,7 +95,7 @@ def require_valid(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     return marked.filter(checked).drop("violated_rules")
 
 
-def _check(name: str, rows: DataFrame, passed: Column, detail_columns: Sequence[str] | None = None) -> DataFrame:
+def _check(name: str, rows: DataFrame, passed: Column) -> DataFrame:
     return rows.agg(F.count("*").alias("detail_rows"), passed.alias("passed")).select(F.lit(name).alias("check_name"), "passed", "detail_rows")
 
 

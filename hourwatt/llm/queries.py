@@ -1,4 +1,4 @@
 """All registered queries of the subpackage."""
 
-from hourwatt.llm import q_line_dedup, q_pii, q_topk  # noqa: F401
+from hourwatt.llm import q_line_dedup, q_pii, q_substring, q_topk, q_vector_dedup  # noqa: F401
 from hourwatt.llm.registry import ORACLES, QUERIES  # noqa: F401

@@ -1,8 +1,8 @@
 """Boilerplate lines by how many sites they appear on, in column expressions only.
 
-1. Lines are counted by hash. A line on ``min_sites`` sites has at least as many rows, so rarer lines are out
-   without a sketch; the counts combine before the shuffle, so a line with a third of all rows is one row a task.
-2. For the others a HyperLogLog sketch of the sites is kept per line hash; partial sketches merge in the aggregation.
+1. Every task keeps a HyperLogLog sketch of the sites per line hash; the sketches merge in the aggregation, so a line
+   with a third of all rows is one row a task.
+2. Lines whose estimate is clearly at or above ``min_sites`` are boilerplate, those clearly below are not.
 3. Lines whose estimate lies within ``band`` of the threshold get an exact distinct count of sites.
 4. A line on ``min_sites`` sites or more is removed wherever it stands, first copy included: it belongs to the page
    frame, not to the text.
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hourwatt.llm.scratch import stored
+
 MIN_SITES = 10
 LG_K = 12
 BAND = 0.1
@@ -36,15 +38,12 @@ def _line_rows(docs: DataFrame, text: str, site: str, doc: str) -> DataFrame:
 def boilerplate_lines(docs: DataFrame, text: str = "text", site: str = "source", doc: str = "doc_id", min_sites: int = MIN_SITES, lg_k: int = LG_K, band: float = BAND) -> DataFrame:
     """Hashes (h, g) of the lines found on at least ``min_sites`` distinct sites."""
     rows = _line_rows(docs, text, site, doc)
-    frequent = rows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("h", "g")
-    spread = (
-        rows.join(frequent, ["h", "g"], "left_semi").groupBy("h", "g")
-        .agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"))
-    )
+    sketches = rows.groupBy("h", "g").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"))
+    spread = stored(sketches.select("h", "g", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites * (1 - band) - 1), "line-spread")
     sure = spread.where(F.col("sites") > min_sites * (1 + band) + 1).select("h", "g")
     near = spread.where(F.col("sites").between(min_sites * (1 - band) - 1, min_sites * (1 + band) + 1)).select("h", "g")
     exact = (
-        rows.join(near, ["h", "g"], "left_semi").select("h", "g", "site").distinct()
+        rows.select("h", "g", "site").distinct().join(near, ["h", "g"], "left_semi")
         .groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("h", "g")
     )
     return sure.unionByName(exact)

@@ -31,21 +31,22 @@ def repeated_by_hash(shared: DataFrame) -> DataFrame:
     """Places of repeated windows of contexts that share an anchor with other contexts.
 
     ``shared`` has anchor, context, n, lead (windows before the anchor's place) and hashes (one per window). Returns
-    anchor, context and ``places``, the numbers of repeated windows, for contexts that stand once and hold some.
+    anchor, context and ``runs`` (place, count) of repeated windows, for contexts that stand once and hold some.
     """
     windows = shared.select(*KEY, "n", F.posexplode("hashes").alias("place", "hash"), "lead").withColumn("offset", F.col("lead") - F.col("place"))
     same = ["anchor", "offset", "hash"]
     repeated = windows.groupBy(*same).agg(F.sum("n").alias("rows")).where("rows > 1").select(*same)
-    return windows.where("n = 1").join(repeated, same, "left_semi").groupBy(*KEY).agg(F.collect_list("place").alias("places"))
+    return windows.where("n = 1").join(repeated, same, "left_semi").groupBy(*KEY).agg(F.collect_list(F.struct("place", F.lit(1).alias("count"))).alias("runs"))
 
 
 def runs_by_document(found: DataFrame, contexts: DataFrame, partial: DataFrame) -> DataFrame:
     """Per document: starts and lengths of its runs of repeated windows."""
-    whole = contexts.where("n > 1").select(*KEY, F.lit(None).cast("array<int>").alias("places"))
-    facts = whole.unionByName(partial.select(*KEY, F.col("places").cast("array<int>")))
+    whole = contexts.where("n > 1").select(*KEY, F.lit(None).cast("array<struct<place:int,count:int>>").alias("part"))
+    facts = whole.unionByName(partial.select(*KEY, F.col("runs").alias("part")))
     hit = found.select("k1", "k2", *KEY, "first", "count").join(facts, KEY)
-    starts = F.when(F.col("places").isNull(), F.array(F.struct(F.col("first").alias("start"), F.col("count").alias("count")))).otherwise(
-        F.transform("places", lambda p: F.struct((F.col("first") + p).alias("start"), F.lit(1).cast("int").alias("count")))
+    run = lambda start, count: F.struct(start.alias("start"), count.alias("count"))
+    starts = F.when(F.col("part").isNull(), F.array(run(F.col("first"), F.col("count")))).otherwise(
+        F.transform("part", lambda p: run(F.col("first") + p["place"], p["count"]))
     )
     runs = hit.select("k1", "k2", starts.alias("runs")).groupBy("k1", "k2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     return runs.select("k1", "k2", "runs.start", "runs.count")

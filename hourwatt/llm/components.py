@@ -37,3 +37,37 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
     leaves = current.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     return leaves.unionByName(leaves.select(F.col("root").alias("node"), "root").distinct())
+
+
+def linked_groups(members: DataFrame, distinct: DataFrame, links: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
+    """One row per member: id, n_links, component_id (the smallest id it reaches) and kept.
+
+    ``members`` has id and key (null: links with nothing), ``distinct`` key, copies and least (the key's smallest id),
+    ``links`` key and the number of members linked from other keys, ``edges`` the links (a, b) between keys, or enough
+    of them to connect what is connected.
+    """
+    roots = components(edges).withColumnRenamed("node", "key")
+    grouped = distinct.select("key", "copies", "least").join(links, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    names = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    facts = grouped.join(names, "root").select("key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    out = members.select("id", "key").join(facts, "key", "left").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def spanning_links(n: int, a, b) -> list[tuple[int, int]]:
+    """Those of the links (a, b) over n nodes that connect what is connected: at most n - 1."""
+    parent = list(range(n))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        rx, ry = find(x), find(y)
+        if rx != ry:
+            parent[ry] = rx
+            out.append((x, y))
+    return out

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourwatt.llm.components import components
+from hourwatt.llm.components import linked_groups, spanning_links
 from hourwatt.llm.scratch import stored
 from hourwatt.llm.topk_search import usable
 
@@ -88,25 +88,6 @@ def _cells(units: np.ndarray, plan: dict) -> tuple[np.ndarray, np.ndarray]:
     return values, keys
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning links of the graph (a, b) over n nodes."""
-    parent = list(range(n))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for x, y in zip(a.tolist(), b.tolist()):
-        rx, ry = find(x), find(y)
-        if rx != ry:
-            parent[ry] = rx
-            out.append((x, y))
-    return out
-
-
 def _linked(left: list, right: list | None, table: int, threshold: float, plan: dict):
     """Links between two blocks of a cell, or within one: those no earlier table has found."""
     rows = left if right is None else left + right
@@ -166,7 +147,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
                 copies = np.array([r["copies"] for r in rows])
                 links = np.bincount(a, copies[b], len(rows)) + np.bincount(b, copies[a], len(rows))
                 hit = np.flatnonzero(links)
-                forest = _forest(len(rows), a, b)
+                forest = spanning_links(len(rows), a, b)
                 keys += [rows[i]["key"] for i in hit] + [rows[i]["key"] for i, _ in forest]
                 counts += links[hit].astype(int).tolist() + [0] * len(forest)
                 ends += [None] * len(hit) + [rows[i]["key"] for _, i in forest]
@@ -174,9 +155,5 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
 
     found = stored(tasks.mapInPandas(link, "key string, links long, other string"), "vector-links")
     links = found.where("other is null").groupBy("key").agg(F.sum("links").alias("links"))
-    roots = components(found.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
-    grouped = distinct.select("key", "copies", "least").join(links, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    names = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    facts = grouped.join(names, "root").select("key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    out = keyed.select("id", "key").join(facts, "key", "left").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    edges = found.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b"))
+    return linked_groups(keyed, distinct, links, edges, id_col)

@@ -1,5 +1,72 @@
-"""Corpus pipeline; filled in below."""
-STAGES = []
+"""From raw documents to packed training sequences, in five stages over all documents.
+
+Each stage takes (spark, docs, sf_dir) and gives back what the next one reads; ``run`` writes every stage's result as
+Parquet in the shared folder and reads it again, so a lost executor never costs more than one stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hourwatt.llm.line_dedup import remove_boilerplate
+from hourwatt.llm.ngram_join import ngram_join
+from hourwatt.llm.pii import find_spans, redacted
+from hourwatt.llm.pu_quality import KEEP, score, train
+from hourwatt.llm.q_bpe import vocabulary
+from hourwatt.llm.registry import table
+from hourwatt.llm.retrieval_packing import ids_crc32, pack
+from hourwatt.llm.scratch import stored
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject; rows without a text are rejected or kept by the score of none."""
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model, out="_quality").where(F.col("_quality") >= KEEP).drop("_quality")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that many sources share; their lengths follow."""
+    cut = remove_boilerplate(docs).withColumn("_changed", F.col("n_removed") > 0).drop("n_lines", "n_removed")
+    return _resized(cut).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id."""
+    classes = ngram_join(docs)
+    gone = classes.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    found = find_spans(docs, out="_spans")
+    hidden = found.withColumn("_changed", F.size("_spans") > 0).withColumn("text", redacted(F.col("text"), F.col("_spans")))
+    return _resized(hidden).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 2048 tokens."""
+    return ids_crc32(pack(docs.select("doc_id", "text"), vocabulary("byte_bpe_50k.tiktoken")))
+
+
+def _resized(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.when(F.col("_changed"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_changed")
+
+
+STAGES = [
+    ("quality", quality),
+    ("lines", lines),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("packing", packing),
+]
+# A learnt classifier has no SQL; the stages are tested one by one in tests/llm.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

@@ -22,12 +22,12 @@ from hourwatt.llm.scratch import stored
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; rows without a text are rejected or kept by the score of none."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model, out="_quality").where(F.col("_quality") >= KEEP).drop("_quality")
+    return score(docs, model, out="__quality").where(F.col("__quality") >= KEEP).drop("__quality")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many sources share; their lengths follow."""
-    cut = remove_boilerplate(docs).withColumn("_changed", F.col("n_removed") > 0).drop("n_lines", "n_removed")
+    cut = remove_boilerplate(docs).withColumn("__changed", F.col("n_removed") > 0).drop("n_lines", "n_removed")
     return _resized(cut).select(*docs.columns)
 
 
@@ -40,8 +40,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind."""
-    found = find_spans(docs, out="_spans")
-    hidden = found.withColumn("_changed", F.size("_spans") > 0).withColumn("text", redacted(F.col("text"), F.col("_spans")))
+    found = find_spans(docs, out="__spans")
+    hidden = found.withColumn("__changed", F.size("__spans") > 0).withColumn("text", redacted(F.col("text"), F.col("__spans")))
     return _resized(hidden).select(*docs.columns)
 
 
@@ -51,7 +51,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _resized(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars", F.when(F.col("_changed"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_changed")
+    return docs.withColumn("n_chars", F.when(F.col("__changed"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("__changed")
 
 
 STAGES = [

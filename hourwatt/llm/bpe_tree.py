@@ -10,8 +10,8 @@ growth in any case.
 Words that white space bounds never influence each other, so their ids are kept in a bounded table per worker.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; special tokens spelt out in a text are
-those tokens, as the library reads them; exact repeats of a row give equal rows; other columns, whatever their names,
-pass through. The vocabulary file's path is a parameter and has to exist on every executor.
+those tokens, as the library reads them; exact repeats of a row give equal rows; other columns pass through, except one
+called as the output is. The vocabulary file's path is a parameter and has to exist on every executor.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hourwatt.llm.scratch import without
+
 PIECE = 8192
 TABLE_WORDS = 150_000
 LONG_WORD = 256
@@ -167,10 +169,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", doc: str = "doc_id",
 
     Short texts are encoded where they are read. Only texts that are cut travel, and only their pieces and ids.
     """
+    docs = without(docs, *([] if out == text else [out]))
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    keyed = docs.select(*rest, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    short = keyed.where(F.length("_text") <= piece)
-    long = keyed.where(F.length("_text") > piece).withColumns({"_k1": F.col(f"`{doc}`").cast("string"), "_k2": F.xxhash64("_text")})
+    keyed = docs.select(*rest, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
+    short = keyed.where(F.length("__text") <= piece)
+    long = keyed.where(F.length("__text") > piece).withColumns({"__k1": F.col(f"`{doc}`").cast("string"), "__k2": F.xxhash64("__text")})
     schema = T.StructType([f for f in docs.schema.fields if f.name != text] + [T.StructField(out, T.ArrayType(T.IntegerType()))])
     width, names = len(rest), schema.names
 
@@ -182,7 +185,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", doc: str = "doc_id",
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for k1, k2, whole in zip(batch["_k1"], batch["_k2"], batch["_text"]):
+            for k1, k2, whole in zip(batch["__k1"], batch["__k2"], batch["__text"]):
                 parts = leaves(whole, piece)
                 yield pd.DataFrame({"k1": pd.Series([k1] * len(parts), dtype=object), "k2": k2, "part": range(len(parts)), "piece": parts})
 
@@ -193,17 +196,18 @@ def encode(docs: DataFrame, path: str, text: str = "text", doc: str = "doc_id",
     def grow(frame: pd.DataFrame) -> pd.DataFrame:
         own = frame.drop_duplicates("part").sort_values("part")
         ids = tree_encoded(tokenizer(path), own["piece"].tolist(), [np.frombuffer(x, dtype=np.int32) for x in own["ids"]])
-        return pd.DataFrame({"_j1": [frame["k1"].iloc[0]], "_j2": [frame["k2"].iloc[0]], out: [ids]})
+        return pd.DataFrame({"__j1": [frame["k1"].iloc[0]], "__j2": [frame["k2"].iloc[0]], out: [ids]})
 
-    pieces = long.select("_k1", "_k2", "_text").mapInPandas(cut, "k1 string, k2 long, part int, piece string")
+    pieces = long.select("__k1", "__k2", "__text").mapInPandas(cut, "k1 string, k2 long, part int, piece string")
     coded = pieces.repartition("k1", "k2", "part").mapInPandas(encode_leaf, "k1 string, k2 long, part int, piece string, ids binary")
-    whole = coded.groupBy("k1", "k2").applyInPandas(grow, f"_j1 string, _j2 long, `{out}` array<int>")
-    back = long.drop("_text").join(whole, F.col("_k1").eqNullSafe(F.col("_j1")) & (F.col("_k2") == F.col("_j2")))
+    whole = coded.groupBy("k1", "k2").applyInPandas(grow, f"__j1 string, __j2 long, `{out}` array<int>")
+    back = long.drop("__text").join(whole, F.col("__k1").eqNullSafe(F.col("__j1")) & (F.col("__k2") == F.col("__j2")))
     return short.mapInArrow(direct, schema).unionByName(back.select(*rest, F.col(f"`{out}`")))
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``coded`` with ``out``, the text that its ids stand for, special tokens included."""
+    coded = without(coded, out)
     schema = T.StructType([*coded.schema.fields, T.StructField(out, T.StringType())])
     place, names = coded.columns.index(ids), schema.names
 

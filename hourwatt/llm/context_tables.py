@@ -53,7 +53,7 @@ def runs_by_document(found: DataFrame, contexts: DataFrame, partial: DataFrame)
 
 
 def with_runs(docs: DataFrame, doc: str, text: str, runs: DataFrame) -> DataFrame:
-    """``docs`` with the columns ``_start`` and ``_count`` of its document's runs; null where it has none."""
-    keyed = docs.select("*", *[c.alias(n) for c, n in zip(document_key(doc, text), ("_k1", "_k2"))])
-    named = runs.select(F.col("k1").alias("_r1"), F.col("k2").alias("_r2"), F.col("start").alias("_start"), F.col("count").alias("_count"))
-    return keyed.join(named, F.col("_k1").eqNullSafe(F.col("_r1")) & (F.col("_k2") == F.col("_r2")), "left").drop("_k1", "_k2", "_r1", "_r2")
+    """``docs`` with the columns ``__start`` and ``__count`` of its document's runs; null where it has none."""
+    keyed = docs.select("*", *[c.alias(n) for c, n in zip(document_key(doc, text), ("__k1", "__k2"))])
+    named = runs.select(F.col("k1").alias("__r1"), F.col("k2").alias("__r2"), F.col("start").alias("__start"), F.col("count").alias("__count"))
+    return keyed.join(named, F.col("__k1").eqNullSafe(F.col("__r1")) & (F.col("__k2") == F.col("__r2")), "left").drop("__k1", "__k2", "__r1", "__r2")

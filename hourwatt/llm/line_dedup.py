@@ -9,7 +9,7 @@
 
 Defined results: a null text has no lines and stays null; an empty line is never removed; a null site is a site of its
 own; a document whose lines all go keeps an empty text; repeated rows are treated alike; other columns, whatever their
-names, pass through.
+names, pass through, except that columns called n_lines or n_removed are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourwatt.llm.scratch import stored
+from hourwatt.llm.scratch import stored, without
 
 MIN_SITES = 10
 LG_K = 12
@@ -54,17 +54,18 @@ def remove_boilerplate(docs: DataFrame, text: str = "text", site: str = "source"
 
     Only the hashes that a document holds travel to it: at most one small array per document.
     """
+    docs = without(docs, "n_lines", "n_removed")
     spread_out = lines if lines is not None else boilerplate_lines(docs, text, site, doc, min_sites)
     held = (
         _line_rows(docs, text, site, doc).join(spread_out, ["h", "g"], "left_semi")
-        .groupBy("doc").agg(F.collect_set(F.struct("h", "g")).alias("_held"))
+        .groupBy("doc").agg(F.collect_set(F.struct("h", "g")).alias("__held"))
     )
     joined = docs.alias("d").join(held.alias("b"), F.col(f"d.`{doc}`").eqNullSafe(F.col("b.doc")), "left")
     columns = [F.col(f"d.`{c}`") for c in docs.columns]
-    split = joined.select(*columns, F.col("b._held").alias("_held"), F.split(F.col(f"d.`{text}`"), "\n", -1).alias("_lines"))
-    kept = F.when(F.col("_held").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: (x == "") | ~F.array_contains("_held", line_key(x))))
+    split = joined.select(*columns, F.col("b.__held").alias("__held"), F.split(F.col(f"d.`{text}`"), "\n", -1).alias("__lines"))
+    kept = F.when(F.col("__held").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x: (x == "") | ~F.array_contains("__held", line_key(x))))
     names = [F.col(f"`{c}`") for c in docs.columns]
-    filtered = split.select(*names, F.col("_lines"), kept.alias("_kept"))
-    out = [F.array_join("_kept", "\n").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    n_lines = F.coalesce(F.size("_lines"), F.lit(0)).cast("long")
-    return filtered.select(*out, F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(n_lines).cast("long").alias("n_lines"), F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(F.size("_lines") - F.size("_kept")).cast("long").alias("n_removed"))
+    filtered = split.select(*names, F.col("__lines"), kept.alias("__kept"))
+    out = [F.array_join("__kept", "\n").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    n_lines = F.coalesce(F.size("__lines"), F.lit(0)).cast("long")
+    return filtered.select(*out, F.when(F.col("__lines").isNull(), F.lit(0)).otherwise(n_lines).cast("long").alias("n_lines"), F.when(F.col("__lines").isNull(), F.lit(0)).otherwise(F.size("__lines") - F.size("__kept")).cast("long").alias("n_removed"))

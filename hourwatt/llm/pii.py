@@ -5,7 +5,7 @@ span move its score. Spans of the four base kinds that pass their validator alwa
 the kinds this method adds (bank account numbers, social security numbers) need a score of ``KEEP`` or more.
 
 Defined results: a null or empty text has no spans and stays as it is; repeated rows are treated row by row; every
-other column of the input passes through untouched.
+other column of the input passes through untouched, except one called as the output is.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hourwatt.llm.scratch import without
+
 # Kinds in their order, patterns, start scores and context words.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE_KINDS = KINDS[:4]
@@ -80,7 +82,7 @@ def _valid(kind: str, value: Column) -> Column:
 
 def _proposed(text: Column, kind: str) -> Column:
     """Matches of one kind with their places and score: the gaps between matches give places and context."""
-    found, gaps = F.col(f"_m_{kind}"), F.split(text, PATTERNS[kind], -1)
+    found, gaps = F.col(f"__m_{kind}"), F.split(text, PATTERNS[kind], -1)
     parts = F.arrays_zip(found.alias("value"), F.slice(gaps, F.lit(1), F.size(found)).alias("before"), F.slice(gaps, F.lit(2), F.size(found)).alias("after"))
 
     def add(acc: Column, part: Column) -> Column:
@@ -103,9 +105,10 @@ def find_spans(docs: DataFrame, text: str = "text", out: str = "pii_spans") -> D
 
     ``order`` is the kind's place in ``KINDS``. Nothing is shuffled: the work of a row depends on its text only.
     """
+    docs = without(docs, out)
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    proposed = docs.select(*columns, *[F.regexp_extract_all(whole, F.lit(PATTERNS[k]), F.lit(0)).alias(f"_m_{k}") for k in KINDS])
+    proposed = docs.select(*columns, *[F.regexp_extract_all(whole, F.lit(PATTERNS[k]), F.lit(0)).alias(f"__m_{k}") for k in KINDS])
     return proposed.select(*columns, F.array_sort(F.concat(*[_proposed(whole, k) for k in KINDS])).alias(out))
 
 

@@ -14,7 +14,8 @@ Only the training is bounded: at most ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` te
 whole text is scored, where it is read, without a shuffle.
 
 Defined results: a null or empty text has no features but its length and is scored like any other; without a positive
-every score is 0.5; a document whose labels contradict each other is no positive; other columns pass through.
+every score is 0.5; a document whose labels contradict each other is no positive; other columns pass through,
+except one called as the output is.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hourwatt.llm.scratch import without
 from hourwatt.llm.windows import batches_of, word_codes
 
 MAX_POSITIVE = 12_000
@@ -35,7 +37,8 @@ MAX_UNLABELLED = 24_000
 KEEP = 0.3
 BATCH_BYTES = 1 << 20
 CLASSES = 8
-EPOCHS, BATCH, RATE, DECAY = 60, 512, 0.02, 1e-4
+STEPS, BATCH, RATE, DECAY = 3000, 512, 0.02, 1e-2
+LARGEST = 8.0
 
 
 def _classes() -> np.ndarray:
@@ -48,11 +51,12 @@ def _classes() -> np.ndarray:
 
 
 BYTE_CLASS = _classes()
-FEATURES = CLASSES**3 + 5
+FEATURES = CLASSES**3 + 6
+SHRINK_BYTES = 60
 
 
 def features(texts: list[bytes]) -> np.ndarray:
-    """One row per text: square roots of trigram shares, then word statistics."""
+    """One row per text: square roots of trigram shares, word statistics, and last how far its length can be trusted."""
     out = np.zeros((len(texts), FEATURES), dtype=np.float32)
     for part in batches_of([len(t) + 3 for t in texts], BATCH_BYTES):
         own = texts[part]
@@ -74,7 +78,8 @@ def features(texts: list[bytes]) -> np.ndarray:
         new[1:] = (codes[order][1:] != codes[order][:-1]) | (owner[order][1:] != owner[order][:-1])
         distinct = np.bincount(owner[order][new], minlength=len(own))
         lines = np.array([t.count(b"\n") + 1 for t in own])
-        extra = [np.sqrt(np.bincount(owner, same, len(own)) / scale), distinct / scale, np.log1p(words) / 10, np.sqrt(np.diff(edges) / scale) / 10, np.sqrt(lines / scale)]
+        sizes = np.diff(edges) - 2
+        extra = [np.sqrt(np.bincount(owner, same, len(own)) / scale), distinct / scale, np.log1p(words) / 10, np.sqrt(np.diff(edges) / scale) / 10, np.sqrt(lines / scale), sizes / (sizes + SHRINK_BYTES)]
         out[part, CLASSES**3 :] = np.stack(extra, axis=1)
     return out
 
@@ -86,8 +91,12 @@ class Model(NamedTuple):
     bias: float
     prior: float
 
+    def ready(self, x: np.ndarray) -> np.ndarray:
+        """Standardised features; those of short texts are drawn to the mean, for their shares are mostly noise."""
+        return np.clip((x[:, :-1] - self.mean) / self.scale, -LARGEST, LARGEST) * x[:, -1:]
+
     def scores(self, x: np.ndarray) -> np.ndarray:
-        g = ((x - self.mean) / self.scale) @ self.weights + self.bias
+        g = self.ready(x) @ self.weights + self.bias
         return 1 / (1 + np.exp(-np.clip(g, -50, 50)))
 
 
@@ -97,7 +106,7 @@ def _adam(grad, size: int, steps: int) -> np.ndarray:
     for t in range(1, steps + 1):
         g = grad(theta, t)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        theta = theta - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        theta = theta - RATE * (1 - 0.9 * t / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return theta
 
 
@@ -121,18 +130,18 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 5) -> Model:
     """Estimate the prior, then minimise the non-negative risk."""
     rng = np.random.default_rng(seed)
     both = np.concatenate([positive, unlabelled]).astype(np.float64)
-    mean, scale = both.mean(axis=0), both.std(axis=0)
+    mean, scale = both[:, :-1].mean(axis=0), both[:, :-1].std(axis=0)
     scale = np.where(scale > 1e-6, scale, 1.0)
-    ready = lambda x: np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))])
+    plain = Model(mean, scale, np.zeros(len(mean)), 0.0, 0.0)
+    ready = lambda x: np.hstack([plain.ready(x), np.ones((len(x), 1))])
     p, u = ready(positive), ready(unlabelled)
     p, u = p[rng.permutation(len(p))], u[rng.permutation(len(u))]
-    steps = EPOCHS * max(1, len(u) // BATCH)
 
     def batch(x: np.ndarray) -> np.ndarray:
         return x[rng.integers(0, len(x), min(BATCH, len(x)))]
 
     half_p, half_u = p[: max(1, len(p) // 2)], u[: max(1, len(u) // 2)]
-    first = _adam(lambda w, t: _slope(batch(half_p), w, 1)[1] + _slope(batch(half_u), w, -1)[1] + DECAY * w, p.shape[1], steps // 4)
+    first = _adam(lambda w, t: _slope(batch(half_p), w, 1)[1] + _slope(batch(half_u), w, -1)[1] + DECAY * w, p.shape[1], STEPS // 4)
     prior = estimated_prior(p[len(half_p) // 2 :] @ first, u[len(half_u) // 2 :] @ first)
 
     def risk(theta: np.ndarray, t: int) -> np.ndarray:
@@ -143,7 +152,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 5) -> Model:
             return -(other - prior * down) + DECAY * theta
         return prior * up + other - prior * down + DECAY * theta
 
-    theta = _adam(risk, p.shape[1], steps)
+    theta = _adam(risk, p.shape[1], STEPS)
     return Model(mean, scale, theta[:-1], float(theta[-1]), prior)
 
 
@@ -178,6 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "do
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with ``out``, the quality of every whole text between 0 and 1."""
+    docs = without(docs, out)
     if model is None:
         return docs.withColumn(out, F.lit(0.5))
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])

@@ -8,7 +8,8 @@
    the one that does not fit is cut, and what is left of it seeds the next window. Only a shard's last window needs padding.
 
 Defined results: a null or empty text is the end id alone; equal rows are packed each for itself; ids of special tokens
-spelt out in a text are those tokens'; other columns pass through with every piece of their document.
+spelt out in a text are those tokens'; other columns pass through with every piece of their document, except those called
+as an added one.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourwatt.llm.scratch import stored
+from hourwatt.llm.scratch import stored, without
 
 WINDOW = 2048
 END_ID = 1
@@ -34,6 +35,7 @@ QUERY_TERMS = 24
 NEIGHBOURS = 64
 K1, B = 1.2, 0.75
 BATCH_TEXTS = 256
+ADDED = {"start": "long", "length": "long", "ids": "binary", "doc_tokens": "long", "sequence_id": "long", "offset": "long"}
 # The pre-splitting pattern and the special token of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPECIAL = {"<|endoftext|>": 50256}
@@ -59,9 +61,9 @@ def ids_of(path: str, texts: list[str | None]) -> list[np.ndarray]:
 
 
 def _encoded(docs: DataFrame, path: str, text: str) -> DataFrame:
-    """``docs`` without its text, plus ``_ids`` (packed) and ``_key``, a hash that deals documents out evenly."""
+    """``docs`` without its text, plus ``__ids`` (packed) and ``__key``, a hash that deals documents out evenly."""
     rest = [c for c in docs.columns if c != text]
-    schema = T.StructType([f for f in docs.schema.fields if f.name != text] + [T.StructField("_ids", T.BinaryType()), T.StructField("_key", T.LongType())])
+    schema = T.StructType([f for f in docs.schema.fields if f.name != text] + [T.StructField("__ids", T.BinaryType()), T.StructField("__key", T.LongType())])
     names, width = schema.names, len(rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +74,7 @@ def _encoded(docs: DataFrame, path: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], ids, batch.column(width + 1)], names=names)
 
     every = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if not isinstance(docs.schema[c].dataType, T.MapType)])
-    return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`"), every.alias("_key")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`"), every.alias("__key")).mapInArrow(run, schema)
 
 
 def _frequencies(encoded: DataFrame) -> tuple[np.ndarray, int, int]:
@@ -89,7 +91,7 @@ def _frequencies(encoded: DataFrame) -> tuple[np.ndarray, int, int]:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, [-1, -2])), pa.array(np.append(total[used], [docs, tokens]))], names=["id", "n"])
 
-    rows = encoded.select("_ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = encoded.select("__ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     found = dict(zip(rows["id"], rows["n"]))
     total = np.zeros(VOCABULARY_SIZE, dtype=np.int64)
     kept = rows[rows["id"] >= 0]
@@ -161,19 +163,20 @@ def pack(docs: DataFrame, path: str, text: str = "text", window: int = WINDOW, s
     """One row per piece: the columns of ``docs`` but its text, then start, length, ids (packed unsigned 16-bit),
     doc_tokens, sequence_id and offset."""
     spark = docs.sparkSession
+    docs = without(docs, *[name for name in ADDED if name != text])
     encoded = stored(_encoded(docs, path, text), "encoded")
     frequency, n, tokens = _frequencies(encoded)
     idf = spark.sparkContext.broadcast(np.log1p((n - frequency + 0.5) / (frequency + 0.5)).astype(np.float32))
     mean = min(tokens / max(n, 1), window)
     shards = max(1, -(-tokens // shard_tokens))
     rest = [f for f in docs.schema.fields if f.name != text]
-    added = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    added = ", ".join(f"`{name}` {kind}" for name, kind in ADDED.items())
     schema = T.StructType(rest + T._parse_datatype_string(added).fields)
     columns = [f.name for f in rest]
 
     def fill_shard(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_key", kind="stable").reset_index(drop=True)
-        ids = [np.frombuffer(x, dtype=np.uint16) for x in frame["_ids"]]
+        frame = frame.sort_values("__key", kind="stable").reset_index(drop=True)
+        ids = [np.frombuffer(x, dtype=np.uint16) for x in frame["__ids"]]
         heads = [len(x) // window * window for x in ids]
         rows, sequence = [], 0
         for d, head in enumerate(heads):
@@ -189,8 +192,8 @@ def pack(docs: DataFrame, path: str, text: str = "text", window: int = WINDOW, s
         facts = {"start": start, "length": length, "ids": [ids[k][a : a + b].tobytes() for k, a, b in zip(d, start, length)], "doc_tokens": np.array([len(x) for x in ids])[d], "sequence_id": (int(key[0]) << 32) + s, "offset": offset}
         return pd.concat([out, pd.DataFrame(facts)], axis=1).set_axis(schema.names, axis=1)
 
-    dealt = encoded.withColumn("_shard", F.pmod(F.xxhash64("_key"), F.lit(shards)))
-    return dealt.groupBy("_shard").applyInPandas(fill_shard, schema)
+    dealt = encoded.withColumn("__shard", F.pmod(F.xxhash64("__key"), F.lit(shards)))
+    return dealt.groupBy("__shard").applyInPandas(fill_shard, schema)
 
 
 def ids_crc32(packed: DataFrame, ids: str = "ids", out: str = "ids_crc32") -> DataFrame:

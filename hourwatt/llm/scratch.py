@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from hourwatt.session import scratch_path
 
 
+def without(docs: DataFrame, *added: str) -> DataFrame:
+    """``docs`` less the columns whose names the caller is about to add; names are compared as Spark does, without case."""
+    names = {a.lower() for a in added}
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names])
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet below spark.checkpoint.dir and read it back.
 

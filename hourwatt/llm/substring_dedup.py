@@ -11,8 +11,8 @@ The sketch's width follows the corpus and stops at ``SKETCH_BYTES``; beyond that
 grouping and still loses none. Only that bounded sketch is broadcast.
 
 Defined results: a null text has no words and stays null; texts shorter than a window lose nothing; kept words are
-joined by one space; exact repeats of a row lose all windows in every copy; other columns, whatever their names, pass
-through.
+joined by one space; exact repeats of a row lose all windows in every copy; other columns pass through, except that
+columns called n_words or n_removed are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourwatt.llm import context_tables as ct
-from hourwatt.llm.scratch import stored
+from hourwatt.llm.scratch import stored, without
 from hourwatt.llm.windows import MULTIPLIERS, Contexts, Rolling, batches_of, contexts, covered, mixed, word_codes
 
 WINDOW = 35
@@ -167,6 +167,7 @@ def _window_hashes(source: DataFrame, shared: DataFrame, window: int, piece: int
 
 def remove_repeated_windows(docs: DataFrame, text: str = "text", doc: str = "doc_id", window: int = WINDOW, piece: int = PIECE) -> DataFrame:
     """``docs`` with ``text`` cut to its kept words, plus ``n_words`` and ``n_removed``."""
+    docs = without(docs, "n_words", "n_removed")
     source = docs.select(*ct.document_key(doc, text), F.col(f"`{text}`").cast("binary").alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.length(F.col(f"`{text}`"))), F.lit(0))).first()[0]
     bits = _bits(size // CHARS_PER_ANCHOR)
@@ -191,7 +192,7 @@ def _cut(joined: DataFrame, docs: DataFrame, text: str, window: int) -> DataFram
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, n_words, n_removed = [], [], []
-            for t, starts, counts in zip(batch.column(place).to_pylist(), batch.column("_start").to_pylist(), batch.column("_count").to_pylist()):
+            for t, starts, counts in zip(batch.column(place).to_pylist(), batch.column("__start").to_pylist(), batch.column("__count").to_pylist()):
                 words = t.encode().split() if t is not None else []
                 gone = 0
                 n_words.append(len(words))

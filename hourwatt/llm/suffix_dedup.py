@@ -15,7 +15,7 @@ combines before the shuffle and gives the same result.
 
 Defined results: matches never cross documents; a null text is empty bytes and stays null; exact repeats of a row lose
 their repeated bytes in every copy; the text column comes back as binary, for cuts may fall inside a character; other
-columns, whatever their names, pass through.
+columns pass through, except that columns called n_bytes, n_removed or n_spans are replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourwatt.llm import context_tables as ct
-from hourwatt.llm.scratch import stored
+from hourwatt.llm.scratch import stored, without
 from hourwatt.llm.suffix_merge import common_prefix, decoded, front_coded, merged
 from hourwatt.llm.windows import BYTE_CODES, MULTIPLIERS, Rolling, batches_of, contexts, covered
 
@@ -172,6 +172,7 @@ def _merge_range(window: int):
 
 def remove_repeated_strings(docs: DataFrame, text: str = "text", doc: str = "doc_id", window: int = WINDOW, piece: int = PIECE) -> DataFrame:
     """``docs`` with ``text`` as its kept bytes, plus ``n_bytes``, ``n_removed`` and ``n_spans``."""
+    docs = without(docs, "n_bytes", "n_removed", "n_spans")
     source = docs.select(*ct.document_key(doc, text), F.col(f"`{text}`").cast("binary").alias("text"))
     found = stored(_contexts(source, window, piece), "suffix-contexts")
     place = F.min_by(F.struct("k1", "k2", "first", "count", "lead"), F.struct("k2", "first")).alias("at")
@@ -199,7 +200,7 @@ def _cut(joined: DataFrame, docs: DataFrame, text: str, window: int) -> DataFram
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, facts = [], []
-            for t, starts, counts in zip(batch.column(place).to_pylist(), batch.column("_start").to_pylist(), batch.column("_count").to_pylist()):
+            for t, starts, counts in zip(batch.column(place).to_pylist(), batch.column("__start").to_pylist(), batch.column("__count").to_pylist()):
                 data, gone, spans = (t or "").encode(), 0, 0
                 size = len(data)
                 if starts:

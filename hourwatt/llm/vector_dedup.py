@@ -17,6 +17,7 @@ other; a row with a null id keeps a null component unless it is linked. Other co
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -88,25 +89,28 @@ def _cells(units: np.ndarray, plan: dict) -> tuple[np.ndarray, np.ndarray]:
     return values, keys
 
 
-def _linked(left: list, right: list | None, table: int, threshold: float, plan: dict):
-    """Links between two blocks of a cell, or within one: those no earlier table has found."""
-    rows = left if right is None else left + right
-    units = _units([r["v"] for r in rows])
-    values, keys = _cells(units, plan)
-    cut = len(left)
-    x, y = (slice(0, cut), slice(0, cut)) if right is None else (slice(0, cut), slice(cut, None))
-    hits = np.zeros((values[x].shape[0], values[y].shape[0]), dtype=np.int16)
-    for j in range(PROJECTIONS):
-        hits += np.abs(values[x, j][:, None] - values[y, j][None, :]) <= plan["window"]
+def _linked(units: np.ndarray, values: np.ndarray, keys: np.ndarray, cut: int, table: int, threshold: float, plan: dict):
+    """Links within the rows of one block (cut is their number) or between those before and after ``cut``: those that
+    no earlier table has found."""
+    alone = cut == len(units)
+    x, y = (slice(0, cut), slice(0, cut)) if alone else (slice(0, cut), slice(cut, None))
+    if len(values[x]) * len(values[y]) <= 4096:
+        hits = (np.abs(values[x][:, None, :] - values[y][None, :, :]) <= plan["window"]).sum(axis=2, dtype=np.int16)
+    else:
+        hits = np.zeros((len(values[x]), len(values[y])), dtype=np.int16)
+        for j in range(PROJECTIONS):
+            hits += np.abs(values[x, j][:, None] - values[y, j][None, :]) <= plan["window"]
     good = hits >= plan["need"]
-    if right is None:
+    if alone:
         good &= np.tri(cut, k=-1, dtype=bool).T
     a, b = np.nonzero(good)
-    b = b + (0 if right is None else cut)
+    if not len(a):
+        return a, b
+    b = b + (0 if alone else cut)
     exact = np.einsum("ij,ij->i", units[a], units[b]) >= threshold
     a, b = a[exact], b[exact]
     new = ~(keys[a, :table] == keys[b, :table]).any(axis=1) if table else np.ones(len(a), dtype=bool)
-    return rows, a[new], b[new]
+    return a[new], b[new]
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -133,24 +137,31 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     dealt = own.select(*cell, "key", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = dealt.select(*cell, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key").join(distinct.select("key", "v", "copies"), "key")
     sides = lambda block: F.collect_list(F.when(F.col("block") == F.col(block), F.struct("key", "v", "copies")))
-    tasks = pairs.groupBy(*cell, "i", "j").agg(sides("i").alias("left"), F.when(F.col("i") != F.col("j"), sides("j")).alias("right"))
+    tasks = pairs.groupBy(*cell, "i", "j").agg(sides("i").alias("left"), F.when(F.col("i") != F.col("j"), sides("j")).alias("right")).select("tab", "left", "right")
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keys, counts, ends = [], [], []
-            for table, left, right in zip(batch["tab"], batch["left"], batch["right"]):
-                if not len(left) or right is not None and not len(right):
-                    continue
-                rows, a, b = _linked(list(left), None if right is None else list(right), table, threshold, plan)
-                if not len(a):
-                    continue
-                copies = np.array([r["copies"] for r in rows])
-                links = np.bincount(a, copies[b], len(rows)) + np.bincount(b, copies[a], len(rows))
-                hit = np.flatnonzero(links)
-                forest = spanning_links(len(rows), a, b)
-                keys += [rows[i]["key"] for i in hit] + [rows[i]["key"] for i, _ in forest]
-                counts += links[hit].astype(int).tolist() + [0] * len(forest)
-                ends += [None] * len(hit) + [rows[i]["key"] for _, i in forest]
+            tasks = [(t, list(left), [] if right is None else list(right)) for t, left, right in zip(batch["tab"], batch["left"], batch["right"]) if len(left) and (right is None or len(right))]
+            for _, own in itertools.groupby(sorted(tasks, key=lambda t: len(t[1][0]["v"])), key=lambda t: len(t[1][0]["v"])):
+                own = list(own)
+                every = [r for _, left, right in own for r in left + right]
+                units = _units([r["v"] for r in every])
+                values, cells_of = _cells(units, plan)
+                at = 0
+                for table, left, right in own:
+                    part, rows = slice(at, at + len(left) + len(right)), left + right
+                    at = part.stop
+                    a, b = _linked(units[part], values[part], cells_of[part], len(left), table, threshold, plan)
+                    if not len(a):
+                        continue
+                    copies = np.array([r["copies"] for r in rows])
+                    links = np.bincount(a, copies[b], len(rows)) + np.bincount(b, copies[a], len(rows))
+                    hit = np.flatnonzero(links)
+                    forest = spanning_links(len(rows), a, b)
+                    keys += [rows[i]["key"] for i in hit] + [rows[i]["key"] for i, _ in forest]
+                    counts += links[hit].astype(int).tolist() + [0] * len(forest)
+                    ends += [None] * len(hit) + [rows[i]["key"] for _, i in forest]
             yield pd.DataFrame({"key": pd.Series(keys, dtype=object), "links": pd.Series(counts, dtype="int64"), "other": pd.Series(ends, dtype=object)})
 
     found = stored(tasks.mapInPandas(link, "key string, links long, other string"), "vector-links")

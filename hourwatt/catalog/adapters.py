@@ -28,6 +28,7 @@ WINDOWS = (
 )
 MODELS = (C.NAIVE_MODEL, "naive_lag_168h", "rolling_mean_24h")
 PAGE_RECORDS = 100
+BROKEN_EVERY = 37
 
 
 def factors():
@@ -157,12 +158,12 @@ def price_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def workloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order as a schedulable workload of one to four hours within twelve hours."""
+    """Every order as a workload of 1 to 24 hours within 12 hours of an earliest start at any minute; some cannot run."""
     key = F.col("o_orderkey")
-    start = F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp")) + (key % 28) * 86400)
+    start = F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp")) + (key % 28) * 86400 + (key % 60) * 60)
     return table(spark, sf_dir, "orders").select(
         key.cast("string").alias("workload_id"), region_name(F.col("o_custkey")).alias("region"), start.alias("earliest_start_utc"),
-        (start + F.expr("interval 12 hours")).alias("latest_end_utc"), (60 + (key % 4) * 60).cast("int").alias("duration_minutes"),
+        (start + F.expr("interval 12 hours")).alias("latest_end_utc"), (60 + (key % 24) * 60).cast("int").alias("duration_minutes"),
         F.col("o_totalprice").alias("power_kw"), F.lit(600).alias("max_delay_minutes"), F.col("o_orderpriority").alias("service_level"),
     )
 
@@ -189,6 +190,12 @@ def _page() -> Column:
     return F.floor(F.col("event_id") / PAGE_RECORDS).alias("page")
 
 
+def broken_too(pages: DataFrame) -> DataFrame:
+    """The pages and, for every ``BROKEN_EVERY``-th one, a copy whose payload breaks off half way."""
+    half = F.expr("substring(response_payload, 1, cast(length(response_payload) / 2 as int))")
+    return pages.unionByName(pages.filter(F.col("page") % BROKEN_EVERY == 0).withColumn("response_payload", half))
+
+
 def price_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price payloads of 100 points; error events carry a null price."""
     ev = events(spark, sf_dir)

@@ -467,10 +467,10 @@ def k07b(s, d):
 _blocks = """(select a.region, {d} as d, a.ts, avg(b.price) as price from p a join p b on b.region = a.region and b.ts >= a.ts and b.ts < a.ts + interval {d} hours
   group by 1, 2, 3 having count(*) = {d})"""
 _workload_sql = f"""with p as (select region, h as ts, cast(sum(cast(value as decimal(18,6))) as double) / count(value) as price from v_ev group by 1, 2),
-w as (select cast(o_orderkey as varchar) as workload_id, {{regions}}[1 + o_custkey % 12] as region, timestamp '2024-01-01 00:00:00' + to_days(cast(o_orderkey % 28 as integer)) as earliest,
-  cast(1 + o_orderkey % 4 as integer) as d from orders),
-starts as (select workload_id, region, d, unnest(generate_series(earliest, least(earliest + to_hours(12 - d), earliest + interval 10 hours), interval 1 hour)) as ts from w),
-b as ({' union all '.join(f'select * from {_blocks.format(d=d)} b{d}' for d in range(1, 5))}),
+w as (select cast(o_orderkey as varchar) as workload_id, {{regions}}[1 + o_custkey % 12] as region, timestamp '2024-01-01 00:00:00' + to_days(cast(o_orderkey % 28 as integer)) + to_minutes(o_orderkey % 60) as earliest,
+  cast(1 + o_orderkey % 24 as integer) as d from orders),
+starts as (select workload_id, region, d, unnest(generate_series(date_trunc('hour', earliest + interval 59 minutes), least(earliest + to_hours(12 - d), earliest + interval 10 hours), interval 1 hour)) as ts from w),
+b as ({' union all '.join(f'select * from {_blocks.format(d=d)} b{d}' for d in range(1, 13))}),
 c as (select s.workload_id, s.region, s.d, s.ts, b.price from starts s join b on b.region = s.region and b.d = s.d and b.ts = s.ts)"""
 
 
@@ -479,8 +479,8 @@ def _with_regions(tail):
 
 
 def candidates(s, d):
-    prices = A.price_by(s, d, "region")
-    return workload.workload_candidates(A.workloads(s, d), workload.block_averages(prices, 4, "price_eur_mwh"))
+    prices, jobs = A.price_by(s, d, "region"), A.workloads(s, d)
+    return workload.workload_candidates(jobs, workload.block_averages(prices, workload.workload_durations(jobs), "price_eur_mwh"))
 
 
 @query("J07_workload_interval_join", _with_regions(f"select workload_id, region, d as duration_hours, {T('ts')} as start_utc, {R('price')} as avg_price_eur_mwh from c"))
@@ -488,7 +488,7 @@ def j07(s, d):
     return candidates(s, d).select("workload_id", "region", "duration_hours", "start_utc", "avg_price_eur_mwh")
 
 
-@query("W14_workload_best_start", _with_regions(f"""select workload_id, count(*) as candidate_count, {T('(list(ts order by price, ts))[1]')} as best_start_utc, {R('min(price)')} as best_avg_price_eur_mwh,
-  {R('arg_min(price, ts)')} as run_now_avg_price_eur_mwh from c group by 1"""))
+@query("W14_workload_best_start", _with_regions(f"""select w.workload_id, count(c.ts) as candidate_count, {T('(list(ts order by price, ts) filter (ts is not null))[1]')} as best_start_utc, {R('min(price)')} as best_avg_price_eur_mwh,
+  {R('arg_min(price, ts)')} as run_now_avg_price_eur_mwh from w left join c on c.workload_id = w.workload_id group by 1"""))
 def w14(s, d):
-    return workload.best_workload_starts(candidates(s, d), "avg_price_eur_mwh")
+    return workload.best_workload_starts(A.workloads(s, d), candidates(s, d), "avg_price_eur_mwh")

@@ -37,7 +37,7 @@ _zone = f"'energy-charts:FR:' || {ISO.format('h')}"
 @query("S04_price_payloads", f"""select 'api' as source, {_zone} as source_record_id, 'FR' as region, {T('h')} as timestamp_utc, '1h' as granularity, 'day_ahead' as market,
   {R('round(cast(sum(cast(value as decimal(18,6))) as double) / count(*), 6)')} as price_eur_mwh, 'EUR' as currency from v_ev where event_type <> 'error' group by h""")
 def s04(s, d):
-    return payloads.parse_price_pages(A.price_pages(s, d))
+    return payloads.parse_price_pages(A.broken_too(A.price_pages(s, d)), on_invalid="skip")
 
 
 _last = "row_number() over (partition by region, event_id // 100 order by ts desc) = 1"
@@ -48,7 +48,7 @@ _last = "row_number() over (partition by region, event_id // 100 order by ts des
   {R(f'case when last_of_page then null else value end')} as wind_speed_mps, null::double as rain_mm, k::int as weather_code,
   'open-meteo:' || region || ':' || {ISO.format('ts')} as source_record_id from (select *, {_last} as last_of_page from v_ev) e""")
 def s05(s, d):
-    rows = payloads.parse_weather_pages(A.weather_pages(s, d))
+    rows = payloads.parse_weather_pages(A.broken_too(A.weather_pages(s, d)), on_invalid="skip")
     return rows.select(
         "region", TS, "temperature_c", "relative_humidity_2m_pct", "humidity_pct", "shortwave_radiation_wm2", "solar_irradiance_wm2", "wind_speed_mps", "rain_mm",
         "weather_code", "source_record_id",
@@ -59,7 +59,7 @@ def s05(s, d):
   select event_type, value, start + to_minutes(cast(minutes * (pos - 1) as bigint)) as ts from (select event_type, value, row_number() over (partition by event_id // 100 order by event_id) as pos,
     min(h) over (partition by event_id // 100) as start, case (event_id // 100) % 3 when 0 then 15 when 1 then 30 else 60 end as minutes from v_ev) p) q where event_type <> 'error'""")
 def s06(s, d):
-    rows = payloads.parse_price_xml_pages(A.xml_pages(s, d), "10YFR-RTE------C")
+    rows = payloads.parse_price_xml_pages(A.broken_too(A.xml_pages(s, d)), "10YFR-RTE------C", on_invalid="skip")
     return rows.select("source_record_id", TS, "price_eur_mwh")
 
 
@@ -73,7 +73,7 @@ def s08(s, d):
 
 @query("S09_record_extraction", "select event_id, k as consommation, region as libelle_region from v_ev")
 def s09(s, d):
-    rows = payloads.extract_records(A.record_pages(s, d))
+    rows = payloads.extract_records(A.broken_too(A.record_pages(s, d)), on_invalid="skip")
     parsed = rows.select(F.from_json("record", "event_id bigint, consommation bigint, libelle_region string").alias("r"))
     return parsed.select("r.*")
 

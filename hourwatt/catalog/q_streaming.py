@@ -15,7 +15,7 @@ from hourwatt.streaming import energy as E
 
 def event_stream(s, d):
     schema = A.table(s, d, "events").schema
-    ev = E.read_folder(prepare_session(s), d, schema, "events.parquet")
+    ev = E.read_folder(prepare_session(s), f"{d}/events.parquet*", schema)
     return ev.withColumns(
         {"technology": A.technology(F.col("event_type")), "region": A.region_name(F.col("user_id")), "k": F.from_json("props", "k int")["k"]}
     )

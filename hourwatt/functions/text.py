@@ -56,13 +56,13 @@ def confidence_label(score: Column) -> Column:
 
 
 def regime_label(value: Column, q1: Column, q2: Column, q3: Column) -> Column:
-    """Quartile regime; the bins are closed on the right."""
+    """Quartile regime; the bins are closed on the right. A null value has none."""
     low, medium_low, medium_high, high = REGIME_LABELS
     return (
         F.when(value <= q1, low)
         .when(value <= q2, medium_low)
         .when(value <= q3, medium_high)
-        .otherwise(high)
+        .when(value > q3, high)
     )
 
 

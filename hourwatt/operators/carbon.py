@@ -55,10 +55,13 @@ def require_factors(factors: Factors, sources: Sequence[str]) -> None:
 
 
 def pivot_generation(predictions: DataFrame, sources: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """One row per (keys, hour, window, model): first non-null value per source, both sides at once."""
+    """One row per (keys, hour, window, model): the value per source, both sides at once.
+
+    Where a source has several rows the largest value counts, whatever their order.
+    """
     aggs = [
         F.expr(
-            f"first(case when target = '{s}' then cast({side}_mwh as double) end, true) as {side}_{s}_generation_mwh"
+            f"max(case when target = '{s}' then cast({side}_mwh as double) end) as {side}_{s}_generation_mwh"
         )
         for s in sources
         for side in SIDES

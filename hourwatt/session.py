@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,12 +21,14 @@ def prepare_session(spark: SparkSession) -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    The cluster names it in ``spark.checkpoint.dir``; a temporary folder stands in only where that
-    setting is missing (tests, a laptop).
+    The cluster names it in ``spark.checkpoint.dir``. Where that is missing, a temporary folder stands in on a local
+    master only, as there the driver is the one executor; on a cluster it is an error.
     """
     context = spark.sparkContext
     configured = spark.conf.get(CHECKPOINT_SETTING, None)
     if context.getCheckpointDir() is None:
+        if not configured and not re.match(r"local(\[|$)", context.master):
+            raise ValueError(f"{CHECKPOINT_SETTING} must name a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="hourwatt-"))
     return configured or context.getCheckpointDir()
 

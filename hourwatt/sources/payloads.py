@@ -18,19 +18,43 @@ XML_SCHEMA = (
 )
 
 
-def extract_records(pages: DataFrame, payload: str = "response_payload", records_field: str = "results") -> DataFrame:
-    """One row per record of a page, as JSON text.
+def accepted_pages(pages: DataFrame, problem: Column, on_invalid: str = "fail") -> DataFrame:
+    """Pages without a problem; one with a problem fails the job, or is left out with ``on_invalid="skip"``."""
+    if on_invalid == "skip":
+        return pages.filter(problem.isNull())
+    return pages.filter(F.when(problem.isNull(), F.lit(True)).otherwise(F.raise_error(problem).cast("boolean")))
 
-    A page is a list of records or an object with the list in ``records_field``; anything that is not an
-    object is dropped.
-    """
+
+def rejected_pages(pages: DataFrame, problem: Column) -> DataFrame:
+    """The pages that a parser leaves out, with the reason in ``problem``."""
+    return pages.withColumn("problem", problem).filter(F.col("problem").isNotNull())
+
+
+def _record_items(payload: str, records_field: str) -> Column:
     text = F.ltrim(F.col(payload))
     listed = F.when(text.startswith("["), text).otherwise(F.get_json_object(text, f"$.{records_field}"))
-    items = F.from_json(listed, "array<string>")
-    rows = pages.select(*[c for c in pages.columns if c != payload], F.explode(items).alias("record"))
+    return F.from_json(listed, "array<string>")
+
+
+def record_page_problem(payload: str = "response_payload", records_field: str = "results") -> Column:
+    """Why a page of records cannot be read, or null."""
+    return F.when(_record_items(payload, records_field).isNull(), F.lit("the page holds no list of records"))
+
+
+def extract_records(pages: DataFrame, payload: str = "response_payload", records_field: str = "results", on_invalid: str = "fail") -> DataFrame:
+    """One row per record of a page, as JSON text.
+
+    A page is a list of records or an object with the list in ``records_field``; list elements that are no objects are
+    dropped. A page without such a list fails the job, or is left out with ``on_invalid="skip"``.
+    """
+    good = accepted_pages(pages, record_page_problem(payload, records_field), on_invalid)
+    rows = good.select(*[c for c in pages.columns if c != payload], F.explode(_record_items(payload, records_field)).alias("record"))
     return rows.filter(F.ltrim("record").startswith("{"))
 
 
+XML_OPTIONS = {"ignoreNamespace": "true", "rowTag": "Publication_MarketDocument"}
+
+
 def _price_problem(p: Column) -> Column:
     return (
         F.when(p["unit"].isNull() | (p["unit"] != C.PRICE_UNIT), F.concat(F.lit("unsupported price unit: "), F.coalesce(p["unit"], F.lit("none"))))
@@ -46,11 +70,7 @@ def parse_price_pages(pages: DataFrame, zone: str = C.NATIONAL_REGION, payload:
     ``on_invalid="skip"`` (see ``invalid_price_pages`` for the rejected ones).
     """
     parsed = pages.select(F.from_json(payload, PRICE_SCHEMA).alias("p"))
-    problem = _price_problem(F.col("p"))
-    if on_invalid == "skip":
-        parsed = parsed.filter(problem.isNull())
-    else:
-        parsed = parsed.filter(F.when(problem.isNull(), F.lit(True)).otherwise(F.raise_error(problem).cast("boolean")))
+    parsed = accepted_pages(parsed, _price_problem(F.col("p")), on_invalid)
     points = parsed.select(F.inline(F.arrays_zip("p.unix_seconds", "p.price"))).filter(F.col("price").isNotNull())
     hour = F.date_trunc("hour", F.timestamp_seconds("unix_seconds"))
     hourly = points.groupBy(hour.alias("timestamp_utc")).agg((F.sum("price") / F.count("price")).cast(DECIMAL_TYPE).alias("price_eur_mwh"))
@@ -64,15 +84,22 @@ def parse_price_pages(pages: DataFrame, zone: str = C.NATIONAL_REGION, payload:
 
 def invalid_price_pages(pages: DataFrame, payload: str = "response_payload") -> DataFrame:
     """Pages the price parser rejects, with the reason."""
-    marked = pages.withColumn("problem", _price_problem(F.from_json(payload, PRICE_SCHEMA)))
-    return marked.filter(F.col("problem").isNotNull())
+    return rejected_pages(pages, _price_problem(F.from_json(payload, PRICE_SCHEMA)))
 
 
-def parse_weather_pages(pages: DataFrame, region: str = "region", payload: str = "response_payload") -> DataFrame:
+def weather_page_problem(payload: str = "response_payload") -> Column:
+    """Why a weather page cannot be read, or null."""
+    times = F.from_json(payload, "hourly struct<time: array<string>>")["hourly"]["time"]
+    return F.when(times.isNull(), F.lit("the page has no hourly times")).when(F.exists(times, lambda t: iso_timestamp(t).isNull()), F.lit("the page has a time that is no time"))
+
+
+def parse_weather_pages(pages: DataFrame, region: str = "region", payload: str = "response_payload", on_invalid: str = "fail") -> DataFrame:
     """Weather payloads (one array per variable) to one row per hour.
 
-    Arrays may be shorter than ``time``: positions past the end are null. Times without offset are UTC.
+    Arrays may be shorter than ``time``: positions past the end are null. Times without offset are UTC. A page that
+    cannot be read fails the job, or is left out with ``on_invalid="skip"``.
     """
+    pages = accepted_pages(pages, weather_page_problem(payload), on_invalid)
     variables = ", ".join(f"{v}: array<{'int' if v == 'weather_code' else DECIMAL_TYPE}>" for v in C.WEATHER_FIELDS)
     parsed = pages.select(F.col(region).alias("region"), F.from_json(payload, f"hourly struct<time: array<string>, {variables}>").alias("p"))
     hours = parsed.select("region", F.col("p.hourly").alias("h"), F.posexplode("p.hourly.time").alias("_pos", "_time"))
@@ -88,13 +115,23 @@ def parse_weather_pages(pages: DataFrame, region: str = "region", payload: str =
     )
 
 
-def parse_price_xml_pages(pages: DataFrame, zone: str, payload: str = "response_payload") -> DataFrame:
+def xml_page_problem(payload: str = "response_payload") -> Column:
+    """Why a price document cannot be read, or null."""
+    series = F.from_xml(F.col(payload), XML_SCHEMA, XML_OPTIONS)["TimeSeries"]
+    starts = F.flatten(F.transform(F.filter(series, lambda s: s["Period"].isNotNull()), lambda s: F.transform(s["Period"], lambda p: p["timeInterval"]["start"])))
+    return F.when(series.isNull(), F.lit("the document has no series")).when(
+        F.exists(starts, lambda t: (F.coalesce(t, F.lit("")) != "") & iso_timestamp(t).isNull()), F.lit("the document has a start that is no time")
+    )
+
+
+def parse_price_xml_pages(pages: DataFrame, zone: str, payload: str = "response_payload", on_invalid: str = "fail") -> DataFrame:
     """Price XML documents to points: period start + resolution * (position - 1).
 
-    Resolutions other than PT15M and PT30M count as one hour; points without position or price are skipped.
+    Resolutions other than PT15M and PT30M count as one hour; points without position or price are skipped. A document
+    that cannot be read fails the job, or is left out with ``on_invalid="skip"``.
     """
-    options = {"ignoreNamespace": "true", "rowTag": "Publication_MarketDocument"}
-    doc = pages.select(F.from_xml(F.col(payload), XML_SCHEMA, options).alias("d"))
+    options = XML_OPTIONS
+    doc = accepted_pages(pages, xml_page_problem(payload), on_invalid).select(F.from_xml(F.col(payload), XML_SCHEMA, options).alias("d"))
     periods = doc.select(F.explode("d.TimeSeries").alias("s")).select(F.explode("s.Period").alias("p"))
     points = periods.filter(F.coalesce(F.col("p.timeInterval.start"), F.lit("")) != "").select(
         iso_timestamp(F.col("p.timeInterval.start")).alias("_start"), F.col("p.resolution").alias("_resolution"),

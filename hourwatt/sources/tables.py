@@ -59,14 +59,17 @@ def append_raw_pages(pages: DataFrame, path: str) -> None:
 
 
 def file_manifest(spark: SparkSession, root: str, expected: Sequence[str]) -> DataFrame:
-    """(path, exists, size_bytes) of the expected files under a folder; file contents are not read."""
-    found = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        .select(F.element_at(F.split("path", "/"), -1).alias("path"), "length")
-    )
-    wanted = spark.createDataFrame([(name,) for name in expected], "path string")
-    sizes = wanted.join(found, "path", "left").groupBy("path").agg(F.sum("length").alias("size_bytes"))
-    return sizes.select("path", F.col("size_bytes").isNotNull().alias("exists"), F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"))
+    """(path, exists, size_bytes) of the expected files or table folders under a folder; contents are not read.
+
+    Only the expected paths are looked up, in the file system that holds them; a folder counts with all it holds.
+    """
+    jvm, rows = spark._jvm, []
+    for name in dict.fromkeys(expected):
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        there = system.exists(path)
+        rows.append((name, there, system.getContentSummary(path).getLength() if there else 0))
+    return spark.createDataFrame(rows, "path string, exists boolean, size_bytes long")
 
 
 def require_files(manifest: DataFrame) -> DataFrame:

@@ -6,11 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hourwatt.schemas import RECORD_KEY
 from hourwatt.session import cut_lineage
 
 PRESERVED = ("id", "created_at")
+INGESTED = "ingestion_timestamp_utc"
 
 
 def keep_one(df: DataFrame, keys: Sequence[str], *order: Column | str) -> DataFrame:
@@ -23,6 +25,12 @@ def keep_one(df: DataFrame, keys: Sequence[str], *order: Column | str) -> DataFr
     return numbered.filter(F.col("_n") == 1).drop("_n")
 
 
+def latest_first(df: DataFrame, keys: Sequence[str]) -> list[Column]:
+    """Order without a version: the latest ingestion wins, then the largest values, whatever the input order."""
+    rest = [c for c in df.columns if c not in keys and c != INGESTED]
+    return [F.desc_nulls_last(c) for c in ([INGESTED] if INGESTED in df.columns else []) + rest] or [F.col(k) for k in keys]
+
+
 def require_record_id(df: DataFrame, column: str = "source_record_id") -> DataFrame:
     """Fail the job when a row has no record id."""
     present = F.coalesce(F.col(column), F.lit("")) != ""
@@ -41,8 +49,7 @@ def upsert(
     bucketed by key there is no further shuffle.
     """
     keys = list(keys)
-    # Without a version the lowest row by all its values wins, whatever the input order.
-    latest = keep_one(batch, keys, *(order or [c for c in batch.columns if c not in keys] or keys))
+    latest = keep_one(batch, keys, *(order or latest_first(batch, keys)))
     new = latest.withColumn("_new", F.lit(True)).alias("new")
     old = target.alias("old")
     joined = old.join(new, keys, "full_outer")
@@ -73,8 +80,13 @@ def write_upsert(
     """
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     if jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
-        # The batch's schema keeps the partition column's type (Parquet folders would be inferred).
-        current = spark.read.schema(batch.schema).parquet(path)
+        # The stored columns stay, those that this batch lacks included; the partition column keeps the batch's type,
+        # which folder names would not give.
+        stored = spark.read.parquet(path).schema
+        known = {f.name: f for f in batch.schema.fields}
+        fields = [known[f.name] if f.name == partition else f for f in stored.fields]
+        fields += [f for f in batch.schema.fields if f.name not in stored.names]
+        current = spark.read.schema(T.StructType(fields)).parquet(path)
         touched = batch.select(partition).distinct()
         target = current.join(touched, partition, "left_semi")
     else:

@@ -16,7 +16,11 @@ from hourwatt.sources.upsert import write_upsert
 
 
 def read_folder(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.parquet", files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet files of a folder as a stream; NTZ timestamps become zoned (watermarks need them)."""
+    """Parquet files of a folder as a stream; NTZ timestamps become zoned (watermarks need them).
+
+    ``path`` may be a glob itself: ``<root>/events.parquet*`` takes a table that is one file as well as one that is a
+    folder of part files.
+    """
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)

@@ -186,8 +186,20 @@ def test_workload_table_equals_single_workload(spark):
         [("w1", "FR", DAY + dt.timedelta(hours=8), DAY + dt.timedelta(hours=22), 180, 5.0, 10_000), ("late", "FR", DAY, DAY + dt.timedelta(hours=1), 180, 5.0, 60)],
         "workload_id string, region string, earliest_start_utc timestamp, latest_end_utc timestamp, duration_minutes int, power_kw double, max_delay_minutes int",
     )
-    got = workload.workload_candidates(jobs, workload.block_averages(rows, 4, "price")).orderBy("start_utc").collect()
+    got = workload.workload_candidates(jobs, workload.block_averages(rows, workload.workload_durations(jobs), "price")).orderBy("start_utc").collect()
     c = WorkloadConstraints(earliest_start_utc="2024-01-16 08:00:00", latest_end_utc="2024-01-16 22:00:00", duration_hours=3)
     wanted = workload.candidate_windows(hourly(spark, range(24)), c, filter_on="start").orderBy("timestamp_utc").collect()
     assert [r.start_utc for r in got] == [r.timestamp_utc for r in wanted] and {r.workload_id for r in got} == {"w1"}
     assert [r.avg_price for r in got] == pytest.approx([r.actual_avg_price_eur_mwh for r in wanted])
+
+
+def test_off_grid_and_long_workloads_are_kept(spark):
+    start = dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([("R", start + dt.timedelta(hours=h), float(h)) for h in range(24)], "region string, timestamp_utc timestamp, price double")
+    jobs = spark.createDataFrame(
+        [("off", "R", start + dt.timedelta(minutes=30), start + dt.timedelta(hours=4), 60, 600), ("long", "R", start, start + dt.timedelta(hours=9), 480, 600), ("never", "R", start, start + dt.timedelta(hours=1), 180, 600)],
+        "workload_id string, region string, earliest_start_utc timestamp, latest_end_utc timestamp, duration_minutes int, max_delay_minutes int",
+    ).withColumn("power_kw", F.lit(1.0))
+    found = workload.workload_candidates(jobs, workload.block_averages(rows, workload.workload_durations(jobs), "price"))
+    best = {r.workload_id: (r.candidate_count, r.best_start_utc) for r in workload.best_workload_starts(jobs, found, "avg_price").collect()}
+    assert best == {"off": (3, start + dt.timedelta(hours=1)), "long": (2, start), "never": (0, None)}

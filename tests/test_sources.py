@@ -63,8 +63,24 @@ def test_price_xml(spark):
 
 def test_record_extraction(spark):
     pages = page(spark, {"results": [{"a": 1}, "x", 3, None, {"a": 2}]}, [{"a": 5}, []], {"other": 1}, "null")
-    got = payloads.extract_records(pages).select(F.get_json_object("record", "$.a").cast("int").alias("a")).orderBy("a").collect()
+    got = payloads.extract_records(pages, on_invalid="skip").select(F.get_json_object("record", "$.a").cast("int").alias("a")).orderBy("a").collect()
     assert [r.a for r in got] == [1, 2, 5]
+    assert payloads.rejected_pages(pages, payloads.record_page_problem()).count() == 2
+    with pytest.raises(Exception, match="no list of records"):
+        payloads.extract_records(pages).collect()
+
+
+def test_broken_pages_are_never_lost_silently(spark):
+    good = {"hourly": {"time": ["2024-01-01T00:00"], "temperature_2m": [1]}}
+    pages = page(spark, good, "{broken", {"hourly": {"time": ["2024-01-01T00:00", "never"]}}).withColumn("region", F.lit("R"))
+    for parse in (payloads.parse_weather_pages, lambda p, **k: payloads.parse_price_xml_pages(p, "Z", **k)):
+        with pytest.raises(Exception, match="the (page|document) has"):
+            parse(pages).collect()
+    rows = payloads.parse_weather_pages(pages, on_invalid="skip").collect()
+    assert [r.source_record_id for r in rows] == ["open-meteo:R:2024-01-01T00:00:00+00:00"]
+    assert payloads.rejected_pages(pages, payloads.weather_page_problem()).count() == 2
+    bad_start = "<Publication_MarketDocument><TimeSeries><Period><timeInterval><start>soon</start></timeInterval><Point><position>1</position><price.amount>5</price.amount></Point></Period></TimeSeries></Publication_MarketDocument>"
+    assert payloads.rejected_pages(page(spark, bad_start, "<a"), payloads.xml_page_problem()).count() == 2
 
 
 def test_hourly_mix_rules(spark):
@@ -78,6 +94,19 @@ def test_hourly_mix_rules(spark):
     assert float(empty.total_production_mwh) == 0.0 and empty.source_record_id == "odre:regional:R:2024-01-01T00:00:00+00:00"
 
 
+def test_narrow_batches_keep_stored_columns(spark, tmp_path):
+    path = str(tmp_path / "t")
+    full = spark.createDataFrame([(1, "a", 1.0, "p"), (2, "b", 2.0, "p")], "k int, name string, v double, part string")
+    write_upsert(spark, path, full, "part", ["k"])
+    write_upsert(spark, path, full.select("k", (F.col("v") + 10).alias("v"), "part").where("k = 1"), "part", ["k"])
+    assert sorted(tuple(r) for r in spark.read.parquet(path).select("k", "name", "v").collect()) == [(1, "a", 11.0), (2, "b", 2.0)]
+
+
+def test_latest_ingestion_wins(spark):
+    rows = spark.createDataFrame([(1, "2024-01-01", 9.0), (1, "2024-01-02", 3.0)], "k int, ingestion_timestamp_utc string, v double")
+    assert upsert(rows.limit(0), rows, ["k"]).first().v == 3.0
+
+
 def test_upsert_rules(spark):
     old = spark.createDataFrame([("api", "1", "x", "first", 1.0), ("api", "2", "x", "first", 2.0)], "source string, source_record_id string, id string, created_at string, v double")
     new = spark.createDataFrame([("api", "2", "y", "second", 5.0, 1), ("api", "2", "y", "second", 7.0, 2), ("api", "3", "y", "second", 9.0, 1)], "source string, source_record_id string, id string, created_at string, v double, version int")

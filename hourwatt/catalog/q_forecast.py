@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourwatt import constants as C
+from hourwatt.catalog import adapters as A
 from hourwatt.catalog.q_features import base
 from hourwatt.catalog.registry import query
 from hourwatt.operators.calendar import TS
@@ -20,14 +24,21 @@ WINDOWS = (
 )
 
 
+# Every target that the tables have values of; no event stands for oil, hydro or bioenergy.
+TARGETS = tuple(t for t in C.FORECAST_TARGETS if t in (*A.TECH_SOURCES, "consumption", "production"))
+
+
 def features(s, d):
     return modeling_features(base(s, d))
 
 
-def _one_model(s, d, name):
-    train, test = split_window(cut_lineage(features(s, d)), WINDOWS[-1])
-    rows, _ = M.forecast_target(train, test, WINDOWS[-1], "wind", (name,))
-    return rows
+def _one_model(s, d, name, targets=TARGETS):
+    """Predictions of one model for every window and target."""
+    table, frames = cut_lineage(features(s, d)), []
+    for window in WINDOWS:
+        train, test = split_window(table, window)
+        frames += [M.forecast_target(train, test, window, target, (name,))[0] for target in targets]
+    return reduce(DataFrame.unionByName, frames)
 
 
 @query("M02_ridge")
@@ -37,7 +48,7 @@ def m02(s, d):
 
 @query("M03_random_forest")
 def m03(s, d):
-    return _one_model(s, d, "random_forest")
+    return _one_model(s, d, "random_forest", ("consumption", "production", "wind"))
 
 
 @query("M04_boosted_trees")
@@ -49,27 +60,34 @@ def m04(s, d):
 
 @query("M05_price_walk_forward")
 def m05(s, d):
-    return M.walk_forward_price(features(s, d), WINDOWS, (C.NAIVE_MODEL, "ridge")).metrics
+    return M.walk_forward_price(features(s, d), WINDOWS, (C.NAIVE_MODEL, "ridge", "random_forest")).metrics
 
 
 @query("M06_upstream_signals")
 def m06(s, d):
-    train, test = split_window(cut_lineage(features(s, d)), WINDOWS[0])
-    _, enriched, _ = M.add_signals(train, test, WINDOWS[0])
-    return enriched.select(TS, *C.SIGNAL_FEATURES)
+    table, frames = cut_lineage(features(s, d)), []
+    for window in WINDOWS:
+        train, test = split_window(table, window)
+        _, enriched, _ = M.add_signals(train, test, window)
+        frames.append(enriched.select(TS, F.lit(window.name).alias("window"), *C.SIGNAL_FEATURES))
+    return reduce(DataFrame.unionByName, frames)
 
 
 @query("M07_target_evaluation")
 def m07(s, d):
-    return M.walk_forward_targets(features(s, d), ("consumption", "production", "wind"), WINDOWS, (C.NAIVE_MODEL, "ridge")).summary
+    return M.walk_forward_targets(features(s, d), TARGETS, WINDOWS, (C.NAIVE_MODEL, "ridge")).summary
 
 
 @query("M08_feature_importance")
 def m08(s, d):
-    train, _ = split_window(cut_lineage(features(s, d)), WINDOWS[0])
-    names = C.target_features("solar")
-    model = M.fit_model("ridge", train, names, "solar_mwh")
-    return M.feature_importance(model, s, WINDOWS[0].name, "solar", "ridge")
+    table, frames = cut_lineage(features(s, d)), []
+    for window in WINDOWS:
+        train, _ = split_window(table, window)
+        for target in TARGETS:
+            column, prefix = C.FORECAST_TARGETS[target]
+            model = M.fit_model("ridge", train, C.target_features(prefix), column)
+            frames.append(M.feature_importance(model, s, window.name, target, "ridge"))
+    return reduce(DataFrame.unionByName, frames)
 
 
 @query("S16_model_persistence")

@@ -228,8 +228,8 @@ def u03(s, d):
     return common.select(F.lit("common").alias("side"), F.col("model").alias("name")).unionByName(missing.select(F.lit("missing").alias("side"), "name"))
 
 
-@query("U04_provisional_merge", f"""with early as (select region, h as ts, sum(k * 0.25)::double as mwh from v_ev where event_type in ('click', 'view') group by 1, 2),
-late as (select region, h as ts, sum(k * 0.25)::double as mwh from v_ev where event_type in ('view', 'error') group by 1, 2)
+@query("U04_provisional_merge", f"""with early as (select region, h as ts, sum(k * 0.25)::double as mwh from v_ev where event_type <> 'error' group by 1, 2),
+late as (select region, h as ts, sum(k * 0.25)::double as mwh from v_ev where event_type in ('view', 'error', 'signup') group by 1, 2)
 select coalesce(l.region, e.region) as region, {T('coalesce(l.ts, e.ts)')} as timestamp_utc, {R('coalesce(l.mwh, e.mwh)')} as consumption_mwh from early e full join late l on l.region = e.region and l.ts = e.ts""")
 def u04(s, d):
     from hourwatt import constants as C
@@ -238,8 +238,8 @@ def u04(s, d):
 
     ev = A.events(s, d)
     rec = ev.select("ts", "event_type", F.col("region").alias("libelle_region"), F.col("k").alias("consommation"), F.col("k").alias("taux_co2"))
-    historical = hourly_mix(rec.filter(F.col("event_type").isin("click", "view")), C.REGIONAL_SCOPE)
-    provisional = hourly_mix(rec.filter(F.col("event_type").isin("view", "error")), C.REGIONAL_SCOPE)
+    historical = hourly_mix(rec.filter(F.col("event_type") != "error"), C.REGIONAL_SCOPE)
+    provisional = hourly_mix(rec.filter(F.col("event_type").isin("view", "error", "signup")), C.REGIONAL_SCOPE)
     return merge_datasets([historical, provisional]).select("region", TS, "consumption_mwh")
 
 

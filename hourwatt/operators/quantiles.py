@@ -13,9 +13,19 @@ _ALL = "_all"
 
 
 def _search(counted: DataFrame, targets: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    """Counted values that may still hold a target's rank."""
-    few = targets if keys != [_ALL] else F.broadcast(targets)  # without keys: two rows per fraction
-    return counted.join(few, keys).filter(F.col(value).between(F.col("_lo"), F.col("_hi")))
+    """Counted values that may still hold a target's rank.
+
+    A key has two targets per fraction; they travel as one array, so a value meets them in its own row. Without keys that
+    array is the only row there is, read as a scalar.
+    """
+    columns = [c for c in targets.columns if c not in keys]
+    packed = targets.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias("_targets"))
+    if list(keys) == [_ALL]:
+        with_targets = counted.withColumn("_targets", packed.select("_targets").scalar())
+    else:
+        with_targets = counted.join(packed, keys)
+    rows = with_targets.select(*keys, value, "_n", F.inline("_targets"))
+    return rows.filter(F.col(value).between(F.col("_lo"), F.col("_hi")))
 
 
 def exact_quantiles(df: DataFrame, value: str, fractions: Sequence[float], keys: Sequence[str] = (), name: str = "quantiles") -> DataFrame:
@@ -36,6 +46,7 @@ def exact_quantiles(df: DataFrame, value: str, fractions: Sequence[float], keys:
     both = F.explode(F.array(F.floor("_position"), F.ceil("_position"))).alias("_rank")
     target = [*group, "_f", "_part", "_rank"]
     targets = ranks.select(*group, "_f", "_part", "_lo", "_hi", F.lit(0).cast("bigint").alias("_below"), both).distinct()
+    # Each round narrows 4096 times; after two, 16 million buckets have been told apart.
     for _ in range(ROUNDS):
         share = F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
         bucket = F.least(F.coalesce(F.floor(share * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1))

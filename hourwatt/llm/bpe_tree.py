@@ -32,10 +32,23 @@ from pyspark.sql import types as T
 from hourwatt.llm.scratch import without
 
 PIECE = 8192
-TABLE_WORDS = 150_000
+TABLE_WORDS = 60_000
 LONG_WORD = 256
 WINDOW = 64
 BATCH_TEXTS = 256
+# The rules by which the vocabulary normalises and splits, and what they come to in the first 256 code
+# points once the text is in lower case.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+_LETTERS, _DIGITS, _SPACES = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_SPACES}{_LETTERS}{_DIGITS}]+")
+PRINTABLE = re.compile("[!-~]+")
 # White space for the language's split() that the vocabulary's patterns do not count as such.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -53,33 +66,79 @@ def tokenizer(path: str):
     return out
 
 
-class WordTable:
-    """Ids of words as bytes; words not met for a while fall out."""
+@functools.lru_cache(maxsize=1)
+def _byte_signs() -> list[str]:
+    """The sign that stands for each byte in a byte-level vocabulary: itself where printable, else one from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
-    def __init__(self, path: str):
-        self.encode_batch = tokenizer(path).encode_batch_fast
-        self.now: dict[str, bytes] = {}
+
+class _Recent(dict):
+    """A table whose entries fall out when they have not been met for a while."""
+
+    def __init__(self):
+        super().__init__()
         self.before: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words = [re.split("[ \n]+", t) if ODD_SPACE.search(t) else t.split() for t in texts]
-        wanted = set().union(*words)
-        if len(self.now) > TABLE_WORDS:
-            self.before, self.now = self.now, {}
-        wanted.difference_update(self.now)
+    def missing(self, wanted: set[str]) -> list[str]:
+        """Those of ``wanted`` that have to be made; the others are in the table afterwards."""
+        if len(self) > TABLE_WORDS:
+            self.before = dict(self)
+            self.clear()
+        wanted.difference_update(self)
         fresh = []
         for word in wanted:
             known = self.before.get(word)
             if known is None:
                 fresh.append(word)
             else:
-                self.now[word] = known
-        for word, found in zip(fresh, self.encode_batch(fresh, add_special_tokens=False)):
-            self.now[word] = array.array("i", found.ids).tobytes()
-        out = [b"".join(map(self.now.__getitem__, w)) for w in words]
+                self[word] = known
+        return fresh
+
+    def forget_long(self, fresh: list[str]) -> None:
         for word in fresh:
             if len(word) > LONG_WORD:
-                del self.now[word]
+                del self[word]
+
+
+class WordTable:
+    """Encodes texts word by word and keeps the ids of recent words.
+
+    Texts of the first 256 code points need no normalising but lower case; they are split as the vocabulary's pattern
+    splits them, and its model encodes the words. Other texts are split at white space, and the library does the rest.
+    """
+
+    def __init__(self, path: str):
+        coder = tokenizer(path)
+        self.encode_batch, self.model = coder.encode_batch_fast, coder.model
+        parts = [(coder.normalizer, NORMALIZER), (coder.pre_tokenizer, PRE_TOKENIZER)]
+        self.known_rules = all(part is not None and json.loads(part.__getstate__()) == rule for part, rule in parts)
+        self.words, self.chunks = _Recent(), _Recent()
+
+    def _plain(self, text: str) -> bool:
+        if not self.known_rules or "<|" in text:
+            return False
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return True
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        plain = [self._plain(t) for t in texts]
+        split = [LATIN_WORDS.findall(t.lower()) if p else re.split("[ \n]+", t) if ODD_SPACE.search(t) else t.split() for t, p in zip(texts, plain)]
+        words = self.words.missing(set().union(*[x for x, p in zip(split, plain) if p]))
+        signs, model = _byte_signs(), self.model.tokenize
+        for word in words:
+            written = word if PRINTABLE.fullmatch(word) else "".join([signs[b] for b in word.encode()])
+            self.words[word] = array.array("i", [t.id for t in model(written)]).tobytes()
+        chunks = self.chunks.missing(set().union(*[x for x, p in zip(split, plain) if not p]))
+        for chunk, found in zip(chunks, self.encode_batch(chunks, add_special_tokens=False)):
+            self.chunks[chunk] = array.array("i", found.ids).tobytes()
+        out = [b"".join(map((self.words if p else self.chunks).__getitem__, x)) for x, p in zip(split, plain)]
+        self.words.forget_long(words)
+        self.chunks.forget_long(chunks)
         return out
 
 
@@ -189,9 +248,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", doc: str = "doc_id",
                 parts = leaves(whole, piece)
                 yield pd.DataFrame({"k1": pd.Series([k1] * len(parts), dtype=object), "k2": k2, "part": range(len(parts)), "piece": parts})
 
-    def encode_leaf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(ids=_table(path).encode(batch["piece"].tolist()))
+    def encode_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_TEXTS):
+                batch = whole.slice(at, BATCH_TEXTS)
+                ids = pa.array(_table(path).encode(batch.column(3).to_pylist()), pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=["k1", "k2", "part", "piece", "ids"])
 
     def grow(frame: pd.DataFrame) -> pd.DataFrame:
         own = frame.drop_duplicates("part").sort_values("part")
@@ -199,7 +261,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", doc: str = "doc_id",
         return pd.DataFrame({"__j1": [frame["k1"].iloc[0]], "__j2": [frame["k2"].iloc[0]], out: [ids]})
 
     pieces = long.select("__k1", "__k2", "__text").mapInPandas(cut, "k1 string, k2 long, part int, piece string")
-    coded = pieces.repartition("k1", "k2", "part").mapInPandas(encode_leaf, "k1 string, k2 long, part int, piece string, ids binary")
+    coded = pieces.repartition("k1", "k2", "part").mapInArrow(encode_leaf, "k1 string, k2 long, part int, piece string, ids binary")
     whole = coded.groupBy("k1", "k2").applyInPandas(grow, f"__j1 string, __j2 long, `{out}` array<int>")
     back = long.drop("__text").join(whole, F.col("__k1").eqNullSafe(F.col("__j1")) & (F.col("__k2") == F.col("__j2")))
     return short.mapInArrow(direct, schema).unionByName(back.select(*rest, F.col(f"`{out}`")))
@@ -214,7 +276,7 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(path)
         # Without a decoder of its own a vocabulary's tokens are joined by spaces.
-        plain = json.loads(coder.to_str())["decoder"] is None
+        plain = coder.decoder is None
         tokens = {i: t for t, i in coder.get_vocab(with_added_tokens=True).items()}
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_TEXTS):

@@ -27,8 +27,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many sources share; their lengths follow."""
-    cut = remove_boilerplate(docs).withColumn("__changed", F.col("n_removed") > 0).drop("n_lines", "n_removed")
-    return _resized(cut).select(*docs.columns)
+    whole = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    cut = remove_boilerplate(whole).withColumn("__changed", F.col("n_removed") > 0)
+    rest = [F.col("__row")[c].alias(c) for c in docs.columns if c != "text"]
+    return _resized(cut.select("text", "__changed", *rest)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

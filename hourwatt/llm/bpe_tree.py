@@ -21,9 +21,9 @@ import functools
 import json
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +35,7 @@ PIECE = 8192
 TABLE_WORDS = 60_000
 LONG_WORD = 256
 WINDOW = 64
+EDGE = 1024
 BATCH_TEXTS = 256
 # The rules by which the vocabulary normalises and splits, and what they come to in the first 256 code
 # points once the text is in lower case.
@@ -168,6 +169,25 @@ def leaves(text: str, piece: int = PIECE) -> list[str]:
     return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
 
 
+class Node(NamedTuple):
+    """A stretch of text with its ids. Of long ones only the edges are kept where they are enough to join them."""
+
+    start: str
+    stop: str
+    whole: bool  # start is the whole text, and so is stop
+    ids: np.ndarray
+
+
+def trimmed(text: str, ids: np.ndarray) -> Node:
+    """Keep ``EDGE`` characters on each side, cut at white space; a text without white space there is kept whole."""
+    if len(text) > 4 * EDGE:
+        head = [p for p in (text.find(" ", WINDOW, EDGE), text.find("\n", WINDOW, EDGE)) if p >= 0]
+        tail = max(text.rfind(" ", len(text) - EDGE, len(text) - WINDOW), text.rfind("\n", len(text) - EDGE, len(text) - WINDOW))
+        if head and tail >= 0:
+            return Node(text[:EDGE], text[len(text) - EDGE :], False, ids)
+    return Node(text, text, True, ids)
+
+
 def _edge(coder, text: str, last: bool) -> list[tuple[int, int, int]]:
     """(start, end, id) of the tokens at one end of a text, from a word boundary at least WINDOW characters in."""
     if last:
@@ -179,19 +199,21 @@ def _edge(coder, text: str, last: bool) -> list[tuple[int, int, int]]:
     return [(a, b, i) for (a, b), i in zip(found.offsets, found.ids)]
 
 
-def joined(coder, left: str, left_ids: np.ndarray, right: str, right_ids: np.ndarray) -> np.ndarray:
-    """Ids of left + right from the ids of both."""
-    cut = len(left)
-    tail, head = _edge(coder, left, True), _edge(coder, right, False)
-    tail_place = {t: len(left_ids) - len(tail) + k for k, t in enumerate(tail)}
+def joined(coder, left: Node, right: Node) -> Node:
+    """The node of left's and right's texts in a row."""
+    before, after = left.stop, right.start
+    cut = len(before)
+    tail, head = _edge(coder, before, True), _edge(coder, after, False)
+    tail_place = {t: len(left.ids) - len(tail) + k for k, t in enumerate(tail)}
     head_place = {(a + cut, b + cut, i): k for k, (a, b, i) in enumerate(head)}
     reach = WINDOW
     while True:
-        start, stop = max(0, cut - reach), min(len(right), reach)
-        found = coder.encode(left[start:] + right[:stop], add_special_tokens=False)
+        start, stop = max(0, cut - reach), min(len(after), reach)
+        found = coder.encode(before[start:] + after[:stop], add_special_tokens=False)
         tokens = [(a + start, b + start, i) for (a, b), i in zip(found.offsets, found.ids)]
         inner = lambda k: k + 1 >= len(tokens) or tokens[k + 1][0] >= tokens[k][1]
-        begin, end = (0, 0) if start == 0 else None, (len(tokens), len(right_ids)) if stop == len(right) else None
+        begin = (0, 0) if start == 0 and left.whole else None
+        end = (len(tokens), len(right.ids)) if stop == len(after) and right.whole else None
         if begin is None:
             for k in range(2, len(tokens)):
                 here = tail_place.get(tokens[k])
@@ -205,17 +227,31 @@ def joined(coder, left: str, left_ids: np.ndarray, right: str, right_ids: np.nda
                     end = (k, here)
                     break
         if begin is not None and end is not None:
-            return np.concatenate([left_ids[: begin[1]], np.array(found.ids[begin[0] : end[0]], dtype=np.int32), right_ids[end[1] :]])
+            ids = np.concatenate([left.ids[: begin[1]], np.array(found.ids[begin[0] : end[0]], dtype=np.int32), right.ids[end[1] :]])
+            if left.whole and right.whole:
+                return trimmed(before + after, ids)
+            # A whole side is shorter than an edge needs, or unsplit; with it the kept edge grows.
+            return Node(before + after if left.whole else left.start, before + after if right.whole else right.stop, False, ids)
+        if start == 0 and stop == len(after):
+            raise ValueError("the kept edges are too short to join two halves")
         reach *= 2
 
 
-def tree_encoded(coder, pieces: list[str], ids: list[np.ndarray]) -> np.ndarray:
+def tree_encoded(coder, nodes: list[Node]) -> np.ndarray:
     """Join the encoded leaves of one text, neighbours first."""
-    nodes = list(zip(pieces, ids))
     while len(nodes) > 1:
-        paired = [(a + b, joined(coder, a, x, b, y)) for (a, x), (b, y) in zip(nodes[0::2], nodes[1::2])]
-        nodes = paired + nodes[len(nodes) // 2 * 2 :]
-    return nodes[0][1]
+        nodes = [joined(coder, a, b) for a, b in zip(nodes[0::2], nodes[1::2])] + nodes[len(nodes) // 2 * 2 :]
+    return nodes[0].ids
+
+
+def _packed(ids: np.ndarray) -> bytes:
+    """Two bytes an id where all fit, else four; the last byte tells."""
+    small = ids.max(initial=0) < 1 << 16
+    return ids.astype(np.uint16).tobytes() + b"\2" if small else ids.tobytes() + b"\4"
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw[:-1], dtype=np.uint16 if raw[-1] == 2 else np.int32).astype(np.int32)
 
 
 def _lists(raw: list[bytes]) -> pa.Array:
@@ -226,13 +262,12 @@ def _lists(raw: list[bytes]) -> pa.Array:
 def encode(docs: DataFrame, path: str, text: str = "text", doc: str = "doc_id", out: str = "ids", piece: int = PIECE) -> DataFrame:
     """``docs`` with the text column replaced by ``out``, the ids of its whole text.
 
-    Short texts are encoded where they are read. Only texts that are cut travel, and only their pieces and ids.
+    Short texts are encoded where they are read. Only texts that are cut travel: as pieces, and then as ids with the
+    edges of their pieces. A document's other columns go with its first piece.
     """
     docs = without(docs, *([] if out == text else [out]))
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
     keyed = docs.select(*rest, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    short = keyed.where(F.length("__text") <= piece)
-    long = keyed.where(F.length("__text") > piece).withColumns({"__k1": F.col(f"`{doc}`").cast("string"), "__k2": F.xxhash64("__text")})
     schema = T.StructType([f for f in docs.schema.fields if f.name != text] + [T.StructField(out, T.ArrayType(T.IntegerType()))])
     width, names = len(rest), schema.names
 
@@ -242,29 +277,54 @@ def encode(docs: DataFrame, path: str, text: str = "text", doc: str = "doc_id",
                 batch = whole.slice(at, BATCH_TEXTS)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], _lists(_table(path).encode(batch.column(width).to_pylist()))], names=names)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k1, k2, whole in zip(batch["__k1"], batch["__k2"], batch["__text"]):
-                parts = leaves(whole, piece)
-                yield pd.DataFrame({"k1": pd.Series([k1] * len(parts), dtype=object), "k2": k2, "part": range(len(parts)), "piece": parts})
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_TEXTS):
+                batch = whole.slice(at, BATCH_TEXTS)
+                parts = [leaves(t, piece) for t in batch.column("text").to_pylist()]
+                number = [k for own in parts for k in range(len(own))]
+                row = pa.array([i for i, own in enumerate(parts) for _ in own])
+                first = pa.array([i if k == 0 else None for i, own in enumerate(parts) for k in range(len(own))], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("k1").take(row), batch.column("k2").take(row), batch.column("row").take(first), pa.array(number, pa.int32()), pa.array([p for own in parts for p in own], pa.string())],
+                    names=["k1", "k2", "row", "part", "piece"],
+                )
 
     def encode_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_TEXTS):
                 batch = whole.slice(at, BATCH_TEXTS)
-                ids = pa.array(_table(path).encode(batch.column(3).to_pylist()), pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=["k1", "k2", "part", "piece", "ids"])
-
-    def grow(frame: pd.DataFrame) -> pd.DataFrame:
-        own = frame.drop_duplicates("part").sort_values("part")
-        ids = tree_encoded(tokenizer(path), own["piece"].tolist(), [np.frombuffer(x, dtype=np.int32) for x in own["ids"]])
-        return pd.DataFrame({"__j1": [frame["k1"].iloc[0]], "__j2": [frame["k2"].iloc[0]], out: [ids]})
+                texts = batch.column("piece").to_pylist()
+                nodes = [trimmed(t, np.frombuffer(x, dtype=np.int32)) for t, x in zip(texts, _table(path).encode(texts))]
+                kept = [pa.array([n.start for n in nodes], pa.string()), pa.array([None if n.whole else n.stop for n in nodes], pa.string()), pa.array([_packed(n.ids) for n in nodes], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], *kept], names=["k1", "k2", "row", "part", "start", "stop", "ids"])
 
-    pieces = long.select("__k1", "__k2", "__text").mapInPandas(cut, "k1 string, k2 long, part int, piece string")
-    coded = pieces.repartition("k1", "k2", "part").mapInArrow(encode_leaf, "k1 string, k2 long, part int, piece string, ids binary")
-    whole = coded.groupBy("k1", "k2").applyInPandas(grow, f"__j1 string, __j2 long, `{out}` array<int>")
-    back = long.drop("__text").join(whole, F.col("__k1").eqNullSafe(F.col("__j1")) & (F.col("__k2") == F.col("__j2")))
-    return short.mapInArrow(direct, schema).unionByName(back.select(*rest, F.col(f"`{out}`")))
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = tokenizer(path)
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_TEXTS):
+                batch = whole.slice(at, BATCH_TEXTS)
+                made = []
+                for pieces in batch.column("pieces").to_pylist():
+                    own = {p["part"]: p for p in pieces}
+                    nodes = [Node(p["start"], p["start"] if p["stop"] is None else p["stop"], p["stop"] is None, _unpacked(p["ids"])) for _, p in sorted(own.items())]
+                    made.append(tree_encoded(coder, nodes).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column("rows"), _lists(made)], names=["rows", "ids"])
+
+    long = keyed.where(F.length("__text") > piece).select(
+        F.col(f"`{doc}`").cast("string").alias("k1"), F.xxhash64("__text").alias("k2"), F.struct(*rest).alias("row"), F.col("__text").alias("text")
+    )
+    # Only first pieces have a row, so the column takes nulls.
+    named = [T.StructField(f.name, f.dataType, True) for f in long.schema.fields[:3]]
+    pieces = long.mapInArrow(cut, T.StructType([*named, T.StructField("part", T.IntegerType()), T.StructField("piece", T.StringType())]))
+    leaf_schema = T.StructType([*pieces.schema.fields[:4], *[T.StructField(n, T.StringType()) for n in ("start", "stop")], T.StructField("ids", T.BinaryType())])
+    coded = pieces.repartition("k1", "k2", "part").mapInArrow(encode_leaf, leaf_schema)
+    # collect_list leaves out nulls: the rows of first pieces alone stay.
+    gathered = coded.groupBy("k1", "k2").agg(F.collect_list(F.struct("part", "start", "stop", "ids")).alias("pieces"), F.collect_list("row").alias("rows"))
+    rows_schema = T.StructType([T.StructField("rows", T.ArrayType(long.schema["row"].dataType)), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    whole = gathered.select("pieces", "rows").mapInArrow(grow, rows_schema).select(F.explode("rows").alias("row"), "ids")
+    back = whole.select(*[F.col("row")[f.name].alias(f.name) for f in schema.fields[:-1]], F.col("ids").alias(out))
+    return keyed.where(F.length("__text") <= piece).mapInArrow(direct, schema).unionByName(back)
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -277,12 +337,16 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
         coder = tokenizer(path)
         # Without a decoder of its own a vocabulary's tokens are joined by spaces.
         plain = coder.decoder is None
-        tokens = {i: t for t, i in coder.get_vocab(with_added_tokens=True).items()}
+        tokens = np.empty(coder.get_vocab_size(with_added_tokens=True), dtype=object)
+        for token, i in coder.get_vocab(with_added_tokens=True).items():
+            tokens[i] = token
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_TEXTS):
                 batch = whole.slice(at, BATCH_TEXTS)
-                lists = [x or [] for x in batch.column(place).to_pylist()]
-                texts = [" ".join(map(tokens.__getitem__, x)) for x in lists] if plain else coder.decode_batch(lists, skip_special_tokens=False)
+                column = batch.column(place)
+                sizes = column.value_lengths().fill_null(0).to_numpy()
+                lists = np.split(column.flatten().to_numpy(), np.cumsum(sizes)[:-1])
+                texts = [" ".join(tokens[x].tolist()) for x in lists] if plain else coder.decode_batch([x.tolist() for x in lists], skip_special_tokens=False)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
 
     return coded.mapInArrow(read, schema)

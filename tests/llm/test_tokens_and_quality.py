@@ -12,7 +12,8 @@ import corpus_pipeline
 import hourwatt.llm.pu_quality as pq
 from brute import sha
 from fixtures import edge_docs, edge_rows, no_docs, prose
-from hourwatt.llm.bpe_tree import WordTable, decode, encode, joined, leaves, tokenizer, tree_encoded
+import hourwatt.llm.bpe_tree as bpe_tree
+from hourwatt.llm.bpe_tree import WordTable, decode, encode, joined, leaves, tokenizer, tree_encoded, trimmed
 from hourwatt.llm.q_bpe import vocabulary
 from hourwatt.llm.retrieval_packing import WINDOW, Index, fill, ids_crc32, ids_of, pack
 
@@ -33,16 +34,27 @@ def test_trees_equal_the_library():
         text = random_text(rng)
         parts = leaves(text, rng.choice([7, 20, 64, 150]))
         assert "".join(parts) == text
-        ids = [np.frombuffer(x, dtype=np.int32) for x in table.encode(parts)]
-        assert tree_encoded(coder, parts, ids).tolist() == coder.encode(text, add_special_tokens=False).ids, repr(text)
+        nodes = [trimmed(t, np.frombuffer(x, dtype=np.int32)) for t, x in zip(parts, table.encode(parts))]
+        assert tree_encoded(coder, nodes).tolist() == coder.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_long_unsplit_text_joins_locally():
     coder, table = tokenizer(WORDS), WordTable(WORDS)
     text = "".join(random.Random(1).choice("abcdefgh") for _ in range(20_000))
     left, right = leaves(text, 10_000)
-    a, b = (np.frombuffer(x, dtype=np.int32) for x in table.encode([left, right]))
-    assert joined(coder, left, a, right, b).tolist() == coder.encode(text, add_special_tokens=False).ids
+    a, b = (trimmed(t, np.frombuffer(x, dtype=np.int32)) for t, x in zip((left, right), table.encode([left, right])))
+    assert a.whole and joined(coder, a, b).ids.tolist() == coder.encode(text, add_special_tokens=False).ids
+
+
+def test_long_texts_join_by_their_edges(monkeypatch):
+    monkeypatch.setattr(bpe_tree, "EDGE", 100)
+    coder, table, rng = tokenizer(WORDS), WordTable(WORDS), random.Random(9)
+    for n in range(60):
+        text = " ".join("".join(rng.choice("abcdé'!") for _ in range(rng.choice([3, 6, 9, 150]))) for _ in range(400))
+        parts = leaves(text, rng.choice([450, 700, 1500]))
+        nodes = [trimmed(t, np.frombuffer(x, dtype=np.int32)) for t, x in zip(parts, table.encode(parts))]
+        assert tree_encoded(coder, nodes).tolist() == coder.encode(text, add_special_tokens=False).ids
+        assert n or any(not x.whole for x in nodes)
 
 
 def test_encode_and_decode_edge_rows(spark):

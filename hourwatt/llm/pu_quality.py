@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from hourwatt.llm.scratch import without
 from hourwatt.llm.windows import batches_of, word_codes
 
-MAX_POSITIVE = 12_000
-MAX_UNLABELLED = 24_000
+MAX_POSITIVE = 8_000
+MAX_UNLABELLED = 16_000
 KEEP = 0.3
 BATCH_BYTES = 1 << 20
 CLASSES = 8
@@ -52,7 +52,7 @@ def _classes() -> np.ndarray:
 
 
 BYTE_CLASS = _classes()
-FEATURES = CLASSES**3 + 6
+FEATURES = CLASSES**3 + 8
 SHRINK_BYTES = 60
 
 
@@ -83,7 +83,8 @@ def features(texts: list[bytes]) -> np.ndarray:
         distinct = np.bincount(owner[order][new], minlength=len(own))
         lines = np.array([t.count(b"\n") + 1 for t in own])
         sizes = np.diff(edges) - 2
-        extra = [np.sqrt(np.bincount(owner, same, len(own)) / scale), distinct / scale, np.log1p(words) / 10, np.sqrt(np.diff(edges) / scale) / 10, np.sqrt(lines / scale), sizes / (sizes + SHRINK_BYTES)]
+        again = np.bincount(owner, same, len(own)) / scale
+        extra = [np.sqrt(again), again, np.minimum(5 * again, 1), distinct / scale, np.log1p(words) / 10, np.sqrt(np.diff(edges) / scale) / 10, np.sqrt(lines / scale), sizes / (sizes + SHRINK_BYTES)]
         out[part, CLASSES**3 :] = np.stack(extra, axis=1)
     return out
 
@@ -97,7 +98,11 @@ class Model(NamedTuple):
 
     def ready(self, x: np.ndarray) -> np.ndarray:
         """Standardised features; those of short texts are drawn to the mean, for their shares are mostly noise."""
-        return np.clip((x[:, :-1] - self.mean) / self.scale, -LARGEST, LARGEST) * x[:, -1:]
+        out = x[:, :-1] - self.mean
+        out /= self.scale
+        np.clip(out, -LARGEST, LARGEST, out=out)
+        out *= x[:, -1:]
+        return out
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         g = self.ready(x) @ self.weights + self.bias
@@ -133,27 +138,29 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, risk: float =
 def fit(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 5) -> Model:
     """Estimate the prior, then minimise the non-negative risk."""
     rng = np.random.default_rng(seed)
-    both = np.concatenate([positive, unlabelled]).astype(np.float64)
-    mean, scale = both[:, :-1].mean(axis=0), both[:, :-1].std(axis=0)
-    scale = np.where(scale > 1e-6, scale, 1.0)
-    plain = Model(mean, scale, np.zeros(len(mean)), 0.0, 0.0)
-    ready = lambda x: np.hstack([plain.ready(x), np.ones((len(x), 1))])
+    n = len(positive) + len(unlabelled)
+    total = lambda f: f(positive[:, :-1]) + f(unlabelled[:, :-1])
+    mean = (total(lambda x: x.sum(axis=0, dtype=np.float64)) / n).astype(np.float32)
+    scale = np.sqrt(np.maximum(total(lambda x: np.einsum("ij,ij->j", x, x, dtype=np.float64)) / n - mean.astype(np.float64) ** 2, 0)).astype(np.float32)
+    scale = np.where(scale > 1e-4, scale, np.float32(1))
+    plain = Model(mean, scale, np.zeros(len(mean), dtype=np.float32), 0.0, 0.0)
+    ready = lambda x: np.hstack([plain.ready(x), np.ones((len(x), 1), dtype=np.float32)])
     p, u = ready(positive), ready(unlabelled)
 
-    def batch(x: np.ndarray) -> np.ndarray:
-        return x[rng.integers(0, len(x), min(BATCH, len(x)))]
+    def batch(rows: np.ndarray) -> np.ndarray:
+        return rows[rng.integers(0, len(rows), min(BATCH, len(rows)))]
 
     priors = []
     for _ in range(SPLITS):
-        (p1, p2), (u1, u2) = (np.array_split(x[rng.permutation(len(x))], 2) for x in (p, u))
+        (p1, p2), (u1, u2) = (np.array_split(rng.permutation(len(x)), 2) for x in (p, u))
         if not len(p2) or not len(u2):
             p2, u2 = p1, u1
-        tell = _adam(lambda w, t: _slope(batch(p1), w, 1)[1] + _slope(batch(u1), w, -1)[1] + SPLIT_DECAY * w, p.shape[1], SPLIT_STEPS)
-        priors.append(estimated_prior(p2 @ tell, u2 @ tell))
+        tell = _adam(lambda w, t: _slope(p[batch(p1)], w, 1)[1] + _slope(u[batch(u1)], w, -1)[1] + SPLIT_DECAY * w, p.shape[1], SPLIT_STEPS)
+        priors.append(estimated_prior((p @ tell)[p2], (u @ tell)[u2]))
     prior = float(np.median(priors))
 
     def risk(theta: np.ndarray, t: int) -> np.ndarray:
-        bp, bu = batch(p), batch(u)
+        bp, bu = p[batch(np.arange(len(p)))], u[batch(np.arange(len(u)))]
         _, up = _slope(bp, theta, 1)
         (lp, down), (lu, other) = _slope(bp, theta, -1), _slope(bu, theta, -1)
         if lu - prior * lp < 0:
@@ -172,15 +179,17 @@ def held_out(doc: str = "doc_id") -> Column:
 def _sample(docs: DataFrame, ids: DataFrame, text: str, doc: str, most: int) -> np.ndarray:
     """Features of at most ``most`` documents, the first by a hash of their id."""
     chosen = ids.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(most)
-    rows = docs.select(F.col(f"`{doc}`").alias("id"), F.col(f"`{text}`").cast("binary").alias("text")).join(F.broadcast(chosen), "id").select("text")
+    rows = docs.select(F.col(f"`{doc}`").alias("id"), F.col(f"`{text}`").cast("binary").alias("text")).join(F.broadcast(chosen), "id")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = features([t or b"" for t in batch.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in made], pa.binary())], names=["f"])
+            made = features([t or b"" for t in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array([r.tobytes() for r in made], pa.binary())], names=["place", "f"])
 
-    found = rows.mapInArrow(describe, "f binary").toArrow().column("f").to_pylist()
-    return np.frombuffer(b"".join(sorted(found)), dtype=np.float32).reshape(-1, FEATURES)
+    # In the order of a hash of id and text: the same training set, in the same order, on every run.
+    found = rows.select(F.xxhash64("id", "text").alias("place"), "text").mapInArrow(describe, "place long, f binary").toArrow().combine_chunks()
+    out = np.frombuffer(b"".join(found.column("f").to_pylist()), dtype=np.float32).reshape(-1, FEATURES)
+    return out[np.argsort(found.column("place").to_numpy(), kind="stable")]
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "doc_id", label: str = "quality") -> Model | None:

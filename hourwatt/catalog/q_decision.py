@@ -433,14 +433,19 @@ def s14b(s, d):
     return dashboard.filter_values(decision.top_recommendations(ranked), decision.top_scenario_recommendations(decision.scenario_rankings(ranked)))
 
 
-@query("S14c_dashboard_documents", "select decision_group, count(*) as recommendations, 3 * count(*) as scenario_rows from v_rec group by 1")
+@query("S14c_dashboard_documents", f"""select "window", decision_group, count(*) as recommendations, 3 * count(*) as scenario_rows, min(model) as first_model,
+  {R(H('max(confidence)'))} as best_confidence from v_rec group by 1, 2""")
 def s14c(s, d):
     ranked = rankings(s, d)
     documents = dashboard.date_documents(
-        decision.top_recommendations(ranked), decision.top_scenario_recommendations(decision.scenario_rankings(ranked))
+        decision.recommendations_with_confidence(ranked), decision.top_scenario_recommendations(decision.scenario_rankings(ranked))
     )
     size = lambda c: F.json_array_length(c).cast("bigint")
-    return documents.select("decision_group", size("recommendations").alias("recommendations"), size("scenario_recommendations").alias("scenario_rows"))
+    read = F.from_json("recommendations", "array<struct<model: string, confidence_score: double>>")
+    return documents.select(
+        "window", "decision_group", size("recommendations").alias("recommendations"), size("scenario_recommendations").alias("scenario_rows"),
+        F.array_min(read["model"]).alias("first_model"), F.array_max(read["confidence_score"]).alias("best_confidence"),
+    )
 
 
 @query("P10_dashboard_filters", f"""select {KEYS}, decision_group, p_rank as recommendation_rank, 'Clean First' as scenario_title from v_scenario

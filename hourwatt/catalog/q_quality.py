@@ -81,7 +81,7 @@ def d01(s, d):
 def d02(s, d):
     t = tables(s, d)
     checks = quality.run_checks(t["electricity_prices"], t["hourly_electricity_mix"], t["weather_observations"])
-    return quality.compact_report(checks, {"table_coverage": quality.table_coverage(t)})
+    return quality.compact_report(checks, quality.check_details(t["electricity_prices"], t["hourly_electricity_mix"], t["weather_observations"]))
 
 
 def bad_weather(s, d):
@@ -291,9 +291,9 @@ def p13(s, d):
 @query("W17_importance_rank", f"""select o_orderpriority as model, o_custkey as feature, {R('sum(cast(o_totalprice as decimal(18,2)))')} as importance,
   row_number() over (partition by o_orderpriority order by sum(cast(o_totalprice as decimal(18,2))) desc, o_custkey) as rank from orders group by 1, 2""")
 def w17(s, d):
-    from pyspark.sql import Window
+    from hourwatt.operators.ranking import rank_across_ranges
 
     totals = A.table(s, d, "orders").groupBy(F.col("o_orderpriority").alias("model"), F.col("o_custkey").alias("feature")).agg(
         F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("importance")
     )
-    return totals.withColumn("rank", F.row_number().over(Window.partitionBy("model").orderBy(F.desc("importance"), "feature")))
+    return rank_across_ranges(totals, ["model"], [F.desc("importance"), F.col("feature")])

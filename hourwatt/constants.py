@@ -123,6 +123,7 @@ LAG_HOURS = (1, 24, 48, 72, 168, 336)
 MEAN_HOURS = (24, 168)
 SPREAD_HOURS = 24
 
+# Feature table columns by family, in the order of the output.
 CALENDAR_COLUMNS = (
     "hour", "day_of_week", "month", "day_of_year", "is_weekend", "is_peak_hour",
     "is_morning_ramp", "is_evening_peak", "is_overnight", "hour_sin", "hour_cos",
@@ -143,7 +144,7 @@ WEATHER_AGG_COLUMNS = (
     "avg_surface_pressure_hpa",
 )
 
-# Target column -> feature prefix, for every series that gets lag and rolling features.
+# Target column -> feature prefix, for every series that gets lag and rolling features.
 FEATURE_TARGETS = {
     "price_eur_mwh": "price",
     "consumption_mwh": "consumption",
@@ -151,7 +152,7 @@ FEATURE_TARGETS = {
     **{f"{source}_mwh": source for source in GENERATION_SOURCES},
 }
 
-# Forecast target name -> (column, feature prefix).
+# Forecast target name -> (column, feature prefix).
 FORECAST_TARGETS = {
     "consumption": ("consumption_mwh", "consumption"),
     "production": ("total_production_mwh", "total_production"),
@@ -217,6 +218,7 @@ def target_features(prefix: str) -> list[str]:
 
 
 # Columns that must be present for a row to enter the modelling table.
+# Columns a modelling row must have.
 REQUIRED_MODELING_COLUMNS = [
     "price_eur_mwh", "consumption_mwh", "total_production_mwh", "price_lag_168h", "price_lag_336h",
     "price_rolling_mean_168h", "consumption_lag_24h", "consumption_lag_168h", "wind_lag_24h",

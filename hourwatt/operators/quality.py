@@ -99,14 +99,9 @@ def _check(name: str, rows: DataFrame, passed: Column) -> DataFrame:
     return rows.agg(F.count("*").alias("detail_rows"), passed.alias("passed")).select(F.lit(name).alias("check_name"), "passed", "detail_rows")
 
 
-def run_checks(prices: DataFrame, mix: DataFrame, weather: DataFrame) -> DataFrame:
-    """The six checks with their pass rules: expect rows, expect none, or all counts zero."""
+def check_details(prices: DataFrame, mix: DataFrame, weather: DataFrame) -> dict[str, DataFrame]:
+    """The rows behind each of the six checks."""
     tables = {"electricity_prices": prices, "hourly_electricity_mix": mix, "weather_observations": weather}
-    has_rows, no_rows = F.count("*") > 0, F.count("*") == 0
-
-    def all_zero(column: str) -> Column:
-        return F.coalesce(F.max(column), F.lit(0)) == 0
-
     nulls = null_counts(
         tables,
         {
@@ -114,22 +109,37 @@ def run_checks(prices: DataFrame, mix: DataFrame, weather: DataFrame) -> DataFra
             "weather_observations": ["temperature_c", "wind_speed_mps", "shortwave_radiation_wm2"],
         },
     )
-    return _union(
-        [
-            _check("table_coverage", table_coverage(tables), has_rows),
-            _check("duplicate_source_ids", duplicate_record_ids(tables), no_rows),
-            _check("missing_price_hours", missing_hour_counts(prices, ["region"], "n"), all_zero("n")),
-            _check("missing_mix_hours", missing_hour_counts(mix, ["region", "scope"], "n"), all_zero("n")),
-            _check("missing_weather_hours", missing_hour_counts(weather, ["region"], "n"), all_zero("n")),
-            _check("key_null_rates", nulls, has_rows),
-        ]
-    )
+    return {
+        "table_coverage": table_coverage(tables),
+        "duplicate_source_ids": duplicate_record_ids(tables),
+        "missing_price_hours": missing_hour_counts(prices, ["region"], "n"),
+        "missing_mix_hours": missing_hour_counts(mix, ["region", "scope"], "n"),
+        "missing_weather_hours": missing_hour_counts(weather, ["region"], "n"),
+        "key_null_rates": nulls,
+    }
+
+
+def run_checks(prices: DataFrame, mix: DataFrame, weather: DataFrame) -> DataFrame:
+    """The six checks with their pass rules: expect rows, expect none, or all counts zero."""
+    details = check_details(prices, mix, weather)
+    has_rows, no_rows = F.count("*") > 0, F.count("*") == 0
+
+    def all_zero(column: str) -> Column:
+        return F.coalesce(F.max(column), F.lit(0)) == 0
+
+    rules = {
+        "table_coverage": has_rows, "duplicate_source_ids": no_rows, "missing_price_hours": all_zero("n"), "missing_mix_hours": all_zero("n"),
+        "missing_weather_hours": all_zero("n"), "key_null_rates": has_rows,
+    }
+    return _union([_check(name, details[name], rule) for name, rule in rules.items()])
 
 
 def compact_report(checks: DataFrame, details: Mapping[str, DataFrame], rows: int = 10) -> DataFrame:
-    """PASS/FAIL lines, each with at most ``rows`` detail rows as JSON text (a top-k report)."""
+    """PASS/FAIL lines, each with at most ``rows`` detail rows as JSON text and how many more there are (a top-k report)."""
     status = F.when(F.col("passed"), "PASS").otherwise("FAIL")
     lines = [checks.select("check_name", F.concat(status, F.lit(": "), F.col("check_name")).alias("line"))]
+    more = F.concat((F.col("detail_rows") - rows).cast("string"), F.lit(" more rows"))
+    lines.append(checks.filter(F.col("detail_rows") > rows).select("check_name", more.alias("line")))
     for name, df in details.items():
         text = F.to_json(F.struct(*[F.col(c) for c in df.columns]))
         lines.append(df.select(F.lit(name).alias("check_name"), text.alias("line")).orderBy("line").limit(rows))

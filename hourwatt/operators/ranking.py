@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from hourwatt.functions.numeric import safe_divide
 from hourwatt.operators.calendar import TS
 from hourwatt.operators.quantiles import exact_quantiles
+from hourwatt.session import cut_lineage
 
 
 def first_rank(value: str, group: Sequence[str], *ties: str) -> Column:
@@ -32,6 +33,21 @@ def average_rank(value: str, group: Sequence[str]) -> Column:
     return F.rank().over(Window.partitionBy(*group).orderBy(value)) + (ties - 1) / F.lit(2.0)
 
 
+def rank_across_ranges(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """1..n inside every group, however large a group is; ``order`` has to be total.
+
+    Rows are dealt to ranges of (group, order), so a group with many rows spans several ranges. A row's rank is its place in
+    its range plus the rows of the group in earlier ranges, of which there is one count per range. The dealt rows are
+    stored, as both steps have to see the same ranges.
+    """
+    placed = cut_lineage(df.repartitionByRange(*[F.col(g) for g in group], *order).withColumn("_range", F.spark_partition_id()))
+    in_range = Window.partitionBy(*group, "_range").orderBy(*order)
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(*group, "_range").agg(F.count("*").alias("_n")).withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    ranked = placed.withColumn("_place", F.row_number().over(in_range)).join(offsets.drop("_n"), [*group, "_range"])
+    return ranked.withColumn(name, F.col("_place") + F.col("_offset")).drop("_range", "_place", "_offset")
+
+
 def decision_date(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd")
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from hourwatt.functions.numeric import half_even
 from hourwatt.functions.text import scenario_title
@@ -33,21 +36,28 @@ def champion_scenarios(scenario_recommendations: DataFrame, champion: DataFrame)
     return champion_recommendations(scenario_recommendations, champion)
 
 
-def date_documents(recommendations: DataFrame, scenario_rows: DataFrame) -> DataFrame:
-    """One JSON document per decision date with its recommendations and scenario rows.
+def _record(rows: DataFrame) -> Column:
+    """A row as the document holds it: numbers with 4 digits, NaN as null."""
+    fields = []
+    for f in rows.schema.fields:
+        column = F.col(f.name)
+        if isinstance(f.dataType, (DoubleType, FloatType)):
+            column = F.when(~F.isnan(column), half_even(column, 4))
+        fields.append(column.alias(f.name))
+    return F.struct(*fields)
+
+
+def date_documents(recommendations: DataFrame, scenario_rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One JSON document per (keys, window, decision date) with its recommendations and scenario rows.
 
-    The document is sharded by date: a date holds top-N rows per window and scenario, so no task or
-    driver ever gathers the whole table.
+    Sharded so, a document holds the top rows of one day's candidates per model and scenario; no task or driver ever
+    gathers the whole table.
     """
-    parts = []
+    shard, parts = [*keys, "window", "decision_group"], []
     for kind, rows in (("recommendations", recommendations), ("scenario_recommendations", scenario_rows)):
-        record = F.struct(*[F.col(c) for c in rows.columns])
-        parts.append(
-            rows.groupBy("decision_group").agg(
-                F.to_json(F.sort_array(F.collect_list(F.struct(F.col("window"), F.col("recommendation_rank"), F.col(TS), record.alias("row"))))["row"]).alias(kind)
-            )
-        )
-    return parts[0].join(parts[1], "decision_group", "full_outer")
+        entry = F.struct(F.col("recommendation_rank"), F.col(TS), F.col("model"), _record(rows).alias("row"))
+        parts.append(rows.groupBy(*shard).agg(F.to_json(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["row"]), {"ignoreNullFields": "false"}).alias(kind)))
+    return parts[0].join(parts[1], shard, "full_outer")
 
 
 def recommendations_of_date(recommendations: DataFrame, date: str | None = None) -> DataFrame:

@@ -47,7 +47,7 @@ def decision_run(
     hourly = workload.hourly_decision_inputs(price_rankings, hourly_carbon, constraints.methodology, keys)
     rankings = cut_lineage(workload_rankings(hourly, constraints, keys))
     if rankings.isEmpty():
-        raise ValueError("no feasible workload candidates after applying constraints")
+        raise ValueError("the constraints leave no feasible start hour")
     recommendations = decision.recommendations_with_confidence(rankings, top_n, keys)
     quality = decision.ranking_quality_summary(decision.ranking_quality_by_group(rankings, keys), keys)
     models = decision.champion_table(price_summary, carbon_summary, quality, constraints.methodology, keys)

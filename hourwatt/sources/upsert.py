@@ -34,7 +34,7 @@ def latest_first(df: DataFrame, keys: Sequence[str]) -> list[Column]:
 def require_record_id(df: DataFrame, column: str = "source_record_id") -> DataFrame:
     """Fail the job when a row has no record id."""
     present = F.coalesce(F.col(column), F.lit("")) != ""
-    error = F.raise_error(F.lit(f"{column} is required for idempotent upserts")).cast("boolean")
+    error = F.raise_error(F.lit(f"a row without {column} cannot be merged twice with the same result")).cast("boolean")
     return df.filter(F.when(present, F.lit(True)).otherwise(error))
 
 

@@ -116,7 +116,7 @@ def test_upsert_rules(spark):
     assert rows["1"].v == 1.0 and rows["3"].created_at == "second"
     assert sorted(upsert(once, new, order=[F.desc("version"), "v"]).collect()) == sorted(once.collect())
     for bad in ("", None):
-        with pytest.raises(Exception, match="required for idempotent"):
+        with pytest.raises(Exception, match="cannot be merged twice"):
             require_record_id(spark.createDataFrame([("api", bad)], "source string, source_record_id string")).collect()
 
 

@@ -102,6 +102,48 @@ def d09(s, d):
     return quality.violation_counts(bad_weather(s, d), rules())
 
 
+def _broken_events(s, d):
+    """Every event as a price, a mix and a checkpoint row; each kind of event breaks rules of its own."""
+    ev, kind = A.events(s, d), F.col("event_type")
+    blank = lambda name, good: F.when(kind == name, F.lit("")).otherwise(F.lit(good))
+    return ev.select(
+        F.when(kind == "error", "guess").otherwise("api").alias("source"), blank("signup", "FR").alias("region"),
+        F.when(kind != "view", F.col("ts")).alias(TS), F.when(F.col("k") > 50, "2h").otherwise("1h").alias("granularity"),
+        blank("click", "day_ahead").alias("market"), F.when(kind != "purchase", F.col("value")).alias("price_eur_mwh"),
+        F.when(F.col("value") > 50, "EURO").otherwise("EUR").alias("currency"), F.when(kind == "click", "local").otherwise("regional").alias("scope"),
+        (F.col("value") - 20).alias("nuclear_mwh"), (F.col("k") - 10).alias("consumption_mwh"),
+        F.when(kind == "error", "lost").otherwise("completed").alias("status"), (F.col("k") - 5).alias("rows_loaded"),
+        F.to_date("ts").alias("window_start_date"), F.date_sub(F.to_date("ts"), (F.col("k") % 3).cast("int") - 1).alias("window_end_date"),
+    )
+
+
+_observed = {
+    "source_known": "event_type = 'error'", "region_not_empty": "event_type = 'signup'", "timestamp_present": "event_type = 'view'", "granularity_known": "k > 50",
+}
+_priced = {"market_not_empty": "event_type = 'click'", "price_present": "event_type = 'purchase'", "currency_three_letters": "value > 50"}
+_mixed = {"scope_known": "event_type = 'click'", "nuclear_mwh_not_negative": "value < 20", "consumption_mwh_not_negative": "k < 10"}
+_tracked = {"status_known": "event_type = 'error'", "rows_loaded_not_negative": "k < 5", "window_ordered": "k % 3 = 2"}
+
+
+def _violations_sql(rules):
+    return " union all ".join(f"select count(*) as row_count, '{name}' as rule, count(*) filter ({broken}) as violations from v_ev" for name, broken in rules.items())
+
+
+@query("D09c_price_rules", _violations_sql(_observed | _priced))
+def d09c(s, d):
+    return quality.violation_counts(_broken_events(s, d), schemas.price_rules())
+
+
+@query("D09d_mix_rules", _violations_sql(_observed | _mixed))
+def d09d(s, d):
+    return quality.violation_counts(_broken_events(s, d), {n: r for n, r in schemas.mix_rules().items() if n in _observed | _mixed})
+
+
+@query("D09e_checkpoint_rules", _violations_sql(_tracked))
+def d09e(s, d):
+    return quality.violation_counts(_broken_events(s, d), schemas.checkpoint_rules())
+
+
 @query("D09b_quarantine", """select region, count(*) filter (where ok) as valid_rows, count(*) filter (where not ok) as quarantined_rows from (
   select region, k + cast(value as decimal(18,6)) - 100 between 0 and 100 as ok from v_ev) t group by 1""")
 def d09b(s, d):

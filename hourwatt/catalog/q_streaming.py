@@ -71,3 +71,15 @@ def st04(s, d):
     select target, ts, case when ts - lag(ts) over (partition by target order by ts) = interval 1 hour then 0 else 1 end as new_island from v_mix_long) a) b group by target, island""")
 def st05(s, d):
     return E.coverage_islands(A.mix_long(s, d), ["target"])
+
+
+@query("ST05b_coverage_stream", f"""select target, {T('min(ts)')} as first_hour, {T('max(ts)')} as last_hour, count(*) as hours from (
+  select *, sum(new_island) over (partition by target order by ts) as island from (
+    select target, ts, case when ts - lag(ts) over (partition by target order by ts) = interval 1 hour then 0 else 1 end as new_island from v_mix_long) a) b
+group by target, island having max(ts) + interval 90 minutes <= (select max(ts) - interval 1 hour from v_mix_long)""")
+def st05b(s, d):
+    """The islands that the watermark has closed; the open ones are the stream's tail."""
+    landed = scratch_path(s, "island-hours")
+    A.mix_long(s, d).select("target", TS).write.parquet(landed)
+    hours = E.read_folder(s, landed, s.read.parquet(landed).schema)
+    return E.run_to_parquet(E.coverage_islands(hours, ["target"], delay="1 hour"), "islands")

@@ -21,10 +21,12 @@ from hourwatt.sources.dimensions import load_emission_factors
 TECHNOLOGY = {"click": "nuclear", "error": "coal", "purchase": "gas", "signup": "solar", "view": "wind"}
 TECH_SOURCES = ("nuclear", "gas", "coal", "wind", "solar")
 RECORD_FIELD = {"nuclear": "nucleaire", "coal": "charbon", "gas": "gaz", "solar": "solaire", "wind": "eolien"}
+# The last window has no end, so that no later event is left out.
+OPEN_END = "2999-12-31 23:00:00"
 WINDOWS = (
     ForecastWindow("wf_1", "2024-01-01 00:00:00", "2024-01-07 23:00:00", "2024-01-08 00:00:00", "2024-01-14 23:00:00"),
     ForecastWindow("wf_2", "2024-01-01 00:00:00", "2024-01-14 23:00:00", "2024-01-15 00:00:00", "2024-01-21 23:00:00"),
-    ForecastWindow("wf_3", "2024-01-01 00:00:00", "2024-01-21 23:00:00", "2024-01-22 00:00:00", "2024-01-30 23:00:00"),
+    ForecastWindow("wf_3", "2024-01-01 00:00:00", "2024-01-21 23:00:00", "2024-01-22 00:00:00", OPEN_END),
 )
 MODELS = (C.NAIVE_MODEL, "naive_lag_168h", "rolling_mean_24h")
 PAGE_RECORDS = 100

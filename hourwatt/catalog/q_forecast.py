@@ -20,7 +20,7 @@ from hourwatt.session import cut_lineage, scratch_path
 # The month of events leaves rows with full 14-day history from the 15th on.
 WINDOWS = (
     ForecastWindow("wf_a", "2024-01-15 00:00:00", "2024-01-22 23:00:00", "2024-01-23 00:00:00", "2024-01-26 23:00:00"),
-    ForecastWindow("wf_b", "2024-01-15 00:00:00", "2024-01-26 23:00:00", "2024-01-27 00:00:00", "2024-01-30 23:00:00"),
+    ForecastWindow("wf_b", "2024-01-15 00:00:00", "2024-01-26 23:00:00", "2024-01-27 00:00:00", A.OPEN_END),
 )
 
 

@@ -36,7 +36,8 @@ def repeated_by_hash(shared: DataFrame) -> DataFrame:
     windows = shared.select(*KEY, "n", F.posexplode("hashes").alias("place", "hash"), "lead").withColumn("offset", F.col("lead") - F.col("place"))
     same = ["anchor", "offset", "hash"]
     repeated = windows.groupBy(*same).agg(F.sum("n").alias("rows")).where("rows > 1").select(*same)
-    return windows.where("n = 1").join(repeated, same, "left_semi").groupBy(*KEY).agg(F.collect_list(F.struct("place", F.lit(1).alias("count"))).alias("runs"))
+    # Estimates do not see how many windows a context has, so the repeated ones are not broadcast.
+    return windows.where("n = 1").join(repeated.hint("merge"), same, "left_semi").groupBy(*KEY).agg(F.collect_list(F.struct("place", F.lit(1).alias("count"))).alias("runs"))
 
 
 def runs_by_document(found: DataFrame, contexts: DataFrame, partial: DataFrame) -> DataFrame:

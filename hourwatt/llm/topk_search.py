@@ -153,8 +153,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
                 sums.append(float(_bounds(_as_rows(q, dims), _as_rows(t, dims), _as_rows(b, dims)).max(axis=1).sum()))
             yield pd.DataFrame({"grp": batch["grp"], "block": batch["block"], "bound": sums})
 
-    named = every.withColumnRenamed("ints", "q_ints").withColumnRenamed("ids", "q_ids")
-    bounds = named.drop("q_ids").join(supers.select("block", "tops", "lows"), "block").mapInPandas(outer_bound, "grp int, block int, bound double")
+    # Estimates do not see how explode() multiplies rows, so these joins are kept from broadcasting a side.
+    named = every.withColumnRenamed("ints", "q_ints").withColumnRenamed("ids", "q_ids").hint("merge")
+    blocks = supers.hint("merge")
+    bounds = named.drop("q_ids").join(blocks.select("block", "tops", "lows"), "block").mapInPandas(outer_bound, "grp int, block int, bound double")
     first = stored(bounds.groupBy("grp").agg(F.max_by("block", F.struct("bound", "block")).alias("block")), "search-first")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,7 +170,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     found = "grp int, place long, query_id long, vec_id long, score long"
     columns = ["grp", "q_ids", "q_ints", "floors", "ids", "ints", "tops", "lows"]
     opening = stored(
-        named.join(first, ["grp", "block"]).withColumn("floors", F.lit(None).cast("binary")).join(supers, "block").select(*columns).mapInPandas(search, found), "search-opening"
+        named.join(first, ["grp", "block"]).withColumn("floors", F.lit(None).cast("binary")).join(blocks, "block").select(*columns).mapInPandas(search, found), "search-opening"
     )
 
     def floors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,7 +186,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     kth = opening.groupBy("grp", "place").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k)
     kths = kth.groupBy("grp").agg(F.collect_list(F.struct("place", "kth")).alias("kths"))
     floored = groups.select("grp", F.col("ids").alias("q_ids")).join(kths, "grp", "left").mapInPandas(floors, "grp int, floors binary")
-    others = named.join(first, ["grp", "block"], "left_anti").join(floored, "grp").join(supers, "block").select(*columns)
+    others = named.join(first, ["grp", "block"], "left_anti").join(floored.hint("merge"), "grp").join(blocks, "block").select(*columns)
     best = Window.partitionBy("grp", "place").orderBy(F.desc("score"), "vec_id")
     ranked = opening.unionByName(others.mapInPandas(search, found)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -135,3 +135,16 @@ def test_top_k_equals_brute_force(spark, monkeypatch, sizes):
 def test_large_components_stay_exact_or_in_range():
     big = np.full((1, 64), 2**26, dtype=np.int32)
     assert ts._product(big, big)[0, 0] == 64 * 2**52
+
+
+def test_components_of_chains_stars_and_rings(spark):
+    from hourwatt.llm.components import components, spanning_links
+
+    chain = [("c%02d" % i, "c%02d" % (i + 1)) for i in range(20)]
+    star = [("s00", "s%02d" % i) for i in range(1, 30)]
+    ring = [("r%d" % i, "r%d" % ((i + 1) % 5)) for i in range(5)]
+    links = chain + star + ring + [("x", "x")]
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a string, b string")).collect()}
+    assert got == {n: {"c": "c00", "s": "s00", "r": "r0"}[n[0]] for pair in chain + star + ring for n in pair}
+    a, b = np.array([0, 1, 2, 0]), np.array([1, 2, 0, 3])
+    assert len(spanning_links(4, a, b)) == 3

@@ -15,16 +15,12 @@ _ALL = "_all"
 def _search(counted: DataFrame, targets: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     """Counted values that may still hold a target's rank.
 
-    A key has two targets per fraction; they travel as one array, so a value meets them in its own row. Without keys that
-    array is the only row there is, read as a scalar.
+    A key has two targets per fraction; they travel as one array, so a value meets them in its own row.
     """
     columns = [c for c in targets.columns if c not in keys]
     packed = targets.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias("_targets"))
-    if list(keys) == [_ALL]:
-        with_targets = counted.withColumn("_targets", packed.select("_targets").scalar())
-    else:
-        with_targets = counted.join(packed, keys)
-    rows = with_targets.select(*keys, value, "_n", F.inline("_targets"))
+    few = F.broadcast(packed) if list(keys) == [_ALL] else packed  # without keys: one row
+    rows = counted.join(few, keys).select(*keys, value, "_n", F.inline("_targets"))
     return rows.filter(F.col(value).between(F.col("_lo"), F.col("_hi")))
 
 
@@ -39,7 +35,8 @@ def exact_quantiles(df: DataFrame, value: str, fractions: Sequence[float], keys:
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     group = list(keys)
     if not group:
-        counted, group = counted.withColumn(_ALL, F.lit(0)), [_ALL]
+        # Always 0, yet no literal: the optimiser would fold one and be left with a join without a key.
+        counted, group = counted.withColumn(_ALL, F.pmod(F.hash(value), F.lit(1))), [_ALL]
     bounds = counted.groupBy(*group).agg(F.sum("_n").alias("_total"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     entries = ", ".join(f"named_struct('_f', {i}, '_position', {float(q)!r}D * (_total - 1))" for i, q in enumerate(fractions))
     ranks = bounds.selectExpr("*", f"inline(array({entries}))").withColumn("_part", F.col("_position") - F.floor("_position"))

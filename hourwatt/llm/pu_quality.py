@@ -36,6 +36,7 @@ MAX_POSITIVE = 8_000
 MAX_UNLABELLED = 16_000
 KEEP = 0.3
 BATCH_BYTES = 1 << 20
+BATCH_TEXTS = 512
 CLASSES = 8
 STEPS, BATCH, RATE, DECAY = 3000, 512, 0.02, 1e-2
 LARGEST = 8.0
@@ -182,9 +183,11 @@ def _sample(docs: DataFrame, ids: DataFrame, text: str, doc: str, most: int) ->
     rows = docs.select(F.col(f"`{doc}`").alias("id"), F.col(f"`{text}`").cast("binary").alias("text")).join(F.broadcast(chosen), "id")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = features([t or b"" for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array([r.tobytes() for r in made], pa.binary())], names=["place", "f"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_TEXTS):
+                batch = whole.slice(at, BATCH_TEXTS)
+                made = features([t or b"" for t in batch.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array([r.tobytes() for r in made], pa.binary())], names=["place", "f"])
 
     # In the order of a hash of id and text: the same training set, in the same order, on every run.
     found = rows.select(F.xxhash64("id", "text").alias("place"), "text").mapInArrow(describe, "place long, f binary").toArrow().combine_chunks()
@@ -211,9 +214,10 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "
     place, names = docs.columns.index(text), schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(place).to_pylist()]
-            made = np.concatenate([model.scores(features(texts[i : i + 1024])) for i in range(0, len(texts), 1024)]) if texts else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], names=names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_TEXTS):
+                batch = whole.slice(at, BATCH_TEXTS)
+                made = model.scores(features([(t or "").encode() for t in batch.column(place).to_pylist()]))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], names=names)
 
     return docs.mapInArrow(run, schema)

@@ -5,7 +5,8 @@ are encoded in parallel, so one very long text does not hold one task. Going up
 is encoded again and grown until, on both sides, two neighbouring tokens agree with the halves in id and place; from
 there on the halves' tokens hold. That is exact: whether tokens may stand side by side depends on the two alone, and
 every pair of the result stands side by side in one of the three encodings. A window that covers both halves ends the
-growth in any case.
+growth in any case. Where the kept edges do not agree (blanks that give no tokens, a long run of one sign at the join), the
+words that meet at the join are encoded again from the blank before to the blank after it; every kept edge has one.
 
 Words that white space bounds never influence each other, so their ids are kept in a bounded table per worker.
 
@@ -203,6 +204,13 @@ def joined(coder, left: Node, right: Node) -> Node:
     """The node of left's and right's texts in a row."""
     before, after = left.stop, right.start
     cut = len(before)
+
+    def made(ids: np.ndarray) -> Node:
+        if left.whole and right.whole:
+            return trimmed(before + after, ids)
+        # A whole side is shorter than an edge needs, or unsplit; with it the kept edge grows.
+        return Node(before + after if left.whole else left.start, before + after if right.whole else right.stop, False, ids)
+
     tail, head = _edge(coder, before, True), _edge(coder, after, False)
     tail_place = {t: len(left.ids) - len(tail) + k for k, t in enumerate(tail)}
     head_place = {(a + cut, b + cut, i): k for k, (a, b, i) in enumerate(head)}
@@ -227,14 +235,16 @@ def joined(coder, left: Node, right: Node) -> Node:
                     end = (k, here)
                     break
         if begin is not None and end is not None:
-            ids = np.concatenate([left.ids[: begin[1]], np.array(found.ids[begin[0] : end[0]], dtype=np.int32), right.ids[end[1] :]])
-            if left.whole and right.whole:
-                return trimmed(before + after, ids)
-            # A whole side is shorter than an edge needs, or unsplit; with it the kept edge grows.
-            return Node(before + after if left.whole else left.start, before + after if right.whole else right.stop, False, ids)
+            return made(np.concatenate([left.ids[: begin[1]], np.array(found.ids[begin[0] : end[0]], dtype=np.int32), right.ids[end[1] :]]))
         if start == 0 and stop == len(after):
-            raise ValueError("the kept edges are too short to join two halves")
+            break
         reach *= 2
+    # Words that blanks bound do not influence each other: only the one cut by the join, or none, is encoded again.
+    first = max(before.rfind(" "), before.rfind("\n")) + 1
+    last = min([p for p in (after.find(" "), after.find("\n")) if p >= 0], default=len(after))
+    count = lambda text: len(coder.encode(text, add_special_tokens=False).ids)
+    word = np.array(coder.encode(before[first:] + after[:last], add_special_tokens=False).ids, dtype=np.int32)
+    return made(np.concatenate([left.ids[: len(left.ids) - count(before[first:])], word, right.ids[count(after[:last]) :]]))
 
 
 def tree_encoded(coder, nodes: list[Node]) -> np.ndarray:

@@ -57,6 +57,25 @@ def test_long_texts_join_by_their_edges(monkeypatch):
         assert n or any(not x.whole for x in nodes)
 
 
+def test_edges_without_tokens_or_off_the_grid_join():
+    coder, table = tokenizer(WORDS), WordTable(WORDS)
+    run = lambda sign, n: prose(1, 900)[:3003] + " " + sign * n + " " + prose(2, 1500)
+    texts = [run(sign, n) for sign in "=-_é" for n in (70, 131, 700)] + ["a b " + " " * 30_000 + "c d", " \n" * 12_000, prose(3, 2000) + "\n" * 9000 + prose(4, 2000)]
+    rng, offered = random.Random(8), 0
+    for text in texts:
+        for cut in (3004 + 3, 3004 + 61, len(text) // 2):
+            if len(text) > cut + 4 * bpe_tree.EDGE:
+                parts = [text[max(0, cut - 5000) : cut], text[cut:]]
+                nodes = [trimmed(t, np.frombuffer(x, dtype=np.int32)) for t, x in zip(parts, table.encode(parts))]
+                offered += any(not x.whole for x in nodes)
+                assert tree_encoded(coder, nodes).tolist() == coder.encode("".join(parts), add_special_tokens=False).ids
+    for text in texts + ["".join(rng.choice(["=" * rng.randint(1, 400), " " * rng.randint(1, 300), "ab", "\n"]) for _ in range(300)) for _ in range(30)]:
+        parts = leaves(text, 4500)
+        nodes = [trimmed(t, np.frombuffer(x, dtype=np.int32)) for t, x in zip(parts, table.encode(parts))]
+        assert tree_encoded(coder, nodes).tolist() == coder.encode(text, add_special_tokens=False).ids
+    assert offered
+
+
 def test_encode_and_decode_edge_rows(spark):
     coder = tokenizer(WORDS)
     coded = encode(edge_docs(spark).drop("ids"), WORDS, piece=500)

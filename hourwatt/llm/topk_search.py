@@ -83,11 +83,6 @@ def _packed(coded: DataFrame, rows: int, parts: int, dims: int, with_bounds: boo
     return coded.repartitionByRange(parts, "code", "id").sortWithinPartitions("code", "id").mapInPandas(pack, schema)
 
 
-def _numbered(packed: DataFrame, name: str) -> DataFrame:
-    """Number the packed rows from 0 without gaps: there is one row for thousands of vectors, ordered by part."""
-    return packed.withColumn(name, F.row_number().over(Window.orderBy("part")) - 1)
-
-
 def _as_rows(raw: bytes, dims: int) -> np.ndarray:
     return np.frombuffer(raw, dtype=np.int32).reshape(-1, dims)
 
@@ -141,10 +136,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dims = measured["dims"]
     pick = lambda rows: _coded(rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")), dims)
-    supers = stored(_numbered(_packed(pick(good), SUPER, -(-measured["n"] // (4 * SUPER)), dims, True), "block"), "search-blocks")
-    groups = stored(_numbered(_packed(pick(good.where(is_query)), GROUP, -(-measured["q"] // (4 * GROUP)), dims, False), "grp"), "search-queries").drop("part")
-    n_blocks = supers.count()
-    every = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+    # Parts are told apart by their own number, so the vectors stay in the tasks that packed them.
+    supers = stored(_packed(pick(good), SUPER, -(-measured["n"] // (4 * SUPER)), dims, True).withColumnRenamed("part", "block"), "search-blocks")
+    groups = stored(_packed(pick(good.where(is_query)), GROUP, -(-measured["q"] // (4 * GROUP)), dims, False).withColumnRenamed("part", "grp"), "search-queries")
+    every = groups.crossJoin(supers.select("block"))
 
     def outer_bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -153,10 +148,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
                 sums.append(float(_bounds(_as_rows(q, dims), _as_rows(t, dims), _as_rows(b, dims)).max(axis=1).sum()))
             yield pd.DataFrame({"grp": batch["grp"], "block": batch["block"], "bound": sums})
 
-    # Estimates do not see how explode() multiplies rows, so these joins are kept from broadcasting a side.
+    # Estimates do not see how many rows every pair of parts makes, so these joins are kept from broadcasting a side.
     named = every.withColumnRenamed("ints", "q_ints").withColumnRenamed("ids", "q_ids").hint("merge")
     blocks = supers.hint("merge")
-    bounds = named.drop("q_ids").join(blocks.select("block", "tops", "lows"), "block").mapInPandas(outer_bound, "grp int, block int, bound double")
+    bounds = named.drop("q_ids").join(blocks.select("block", "tops", "lows"), "block").mapInPandas(outer_bound, "grp long, block long, bound double")
     first = stored(bounds.groupBy("grp").agg(F.max_by("block", F.struct("bound", "block")).alias("block")), "search-first")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,7 +162,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
                 place, ids, scores = _search(q_ids, _as_rows(r.q_ints, dims), floor, np.frombuffer(r.ids, dtype=np.int64), _as_rows(r.ints, dims), _as_rows(r.tops, dims), _as_rows(r.lows, dims), k)
                 yield pd.DataFrame({"grp": r.grp, "place": place, "query_id": q_ids[place], "vec_id": ids, "score": scores})
 
-    found = "grp int, place long, query_id long, vec_id long, score long"
+    found = "grp long, place long, query_id long, vec_id long, score long"
     columns = ["grp", "q_ids", "q_ints", "floors", "ids", "ints", "tops", "lows"]
     opening = stored(
         named.join(first, ["grp", "block"]).withColumn("floors", F.lit(None).cast("binary")).join(blocks, "block").select(*columns).mapInPandas(search, found), "search-opening"
@@ -185,7 +180,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
 
     kth = opening.groupBy("grp", "place").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k)
     kths = kth.groupBy("grp").agg(F.collect_list(F.struct("place", "kth")).alias("kths"))
-    floored = groups.select("grp", F.col("ids").alias("q_ids")).join(kths, "grp", "left").mapInPandas(floors, "grp int, floors binary")
+    floored = groups.select("grp", F.col("ids").alias("q_ids")).join(kths, "grp", "left").mapInPandas(floors, "grp long, floors binary")
     others = named.join(first, ["grp", "block"], "left_anti").join(floored.hint("merge"), "grp").join(blocks, "block").select(*columns)
     best = Window.partitionBy("grp", "place").orderBy(F.desc("score"), "vec_id")
     ranked = opening.unionByName(others.mapInPandas(search, found)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

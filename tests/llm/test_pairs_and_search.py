@@ -132,6 +132,16 @@ def test_top_k_equals_brute_force(spark, monkeypatch, sizes):
     assert sorted(got) == want
 
 
+def test_no_task_meets_all_vectors(spark, monkeypatch):
+    plans, write = [], ts.stored
+    monkeypatch.setattr(ts, "SUPER", 16)
+    monkeypatch.setattr(ts, "GROUP", 1)
+    monkeypatch.setattr(ts, "stored", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, name))[1])
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 11)]) for i in range(300)], "vec_id long, embedding array<double>")
+    assert ts.top_k(df, F.col("vec_id") % 20 == 0).count() == 300
+    assert len(plans) == 4 and not any("SinglePartition" in p for p in plans)
+
+
 def test_large_components_stay_exact_or_in_range():
     big = np.full((1, 64), 2**26, dtype=np.int32)
     assert ts._product(big, big)[0, 0] == 64 * 2**52

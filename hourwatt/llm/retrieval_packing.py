@@ -3,9 +3,11 @@
 1. Every text is encoded and ended by ``END_ID``; only packed ids travel. Stretches of whole windows at the start of long
    documents are sequences of their own; what is left of each document, shorter than a window, is packed.
 2. Document frequencies of the ids are counted over all documents. The vocabulary bounds them, so they are broadcast.
-3. Documents are dealt to shards of about ``SHARD_TOKENS`` ids. Each shard builds its BM25 inverted index. The first unused
-   document seeds a window; the index returns its best unused neighbours, which fill the window one after the other;
-   the one that does not fit is cut, and what is left of it seeds the next window. Only a shard's last window needs padding.
+3. Documents are dealt to shards of about ``SHARD_TOKENS`` ids by likeness, so that related ones meet whatever the size of
+   the corpus: each is sketched by its weighted terms, and a tree of two-means cuts, learnt on a sample, leads to its
+   shard. Each shard builds its BM25 inverted index. The first unused document seeds a window; the index returns its
+   best unused neighbours, which fill the window one after the other; the one that does not fit is cut, and what is left of
+   it seeds the next window. Only a shard's last window needs padding.
 
 Defined results: a null or empty text is the end id alone; equal rows are packed each for itself; ids of special tokens
 spelt out in a text are those tokens'; other columns pass through with every piece of their document, except those called
@@ -18,6 +20,7 @@ import base64
 import functools
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -34,6 +37,11 @@ SHARD_TOKENS = 1 << 20
 QUERY_TERMS = 24
 NEIGHBOURS = 64
 K1, B = 1.2, 0.75
+SKETCH = 64
+SHARD_SAMPLE = 32
+MOST_SAMPLE = 1 << 19
+CUT_DIRECTIONS = 8
+MEANS_ROUNDS = 12
 BATCH_TEXTS = 256
 ADDED = {"start": "long", "length": "long", "ids": "binary", "doc_tokens": "long", "sequence_id": "long", "offset": "long"}
 # The pre-splitting pattern and the special token of the byte-level vocabulary.
@@ -99,6 +107,117 @@ def _frequencies(encoded: DataFrame) -> tuple[np.ndarray, int, int]:
     return total, int(found.get(-1, 0)), int(found.get(-2, 0))
 
 
+@functools.lru_cache(maxsize=1)
+def _directions() -> np.ndarray:
+    return np.random.default_rng(11).standard_normal((VOCABULARY_SIZE, SKETCH), dtype=np.float32)
+
+
+def sketches(docs: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+    """One row per document, of length one: its terms' weights on random directions. Like documents have like rows."""
+    out = np.zeros((len(docs), SKETCH), dtype=np.float32)
+    for row, ids in zip(out, docs):
+        terms, times = np.unique(ids, return_counts=True)
+        row[:] = (idf[terms] * times / (times + K1)).astype(np.float32) @ _directions()[terms]
+    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float16)
+
+
+class Tree(NamedTuple):
+    """Cuts that lead a sketch to its shards; a leaf (no children) has ``parts`` shards from ``first`` on."""
+
+    directions: np.ndarray
+    limits: np.ndarray
+    children: np.ndarray
+    first: np.ndarray
+    parts: np.ndarray
+
+    def shards(self, points: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        points, node = points.astype(np.float32), np.zeros(len(points), dtype=np.int64)
+        while len(open_ := np.flatnonzero(self.children[node, 0] > 0)):
+            at = node[open_]
+            beyond = np.einsum("ij,ij->i", points[open_], self.directions[at]) > self.limits[at]
+            node[open_] = self.children[at, beyond.astype(np.int64)]
+        return self.first[node] + keys % self.parts[node]
+
+
+def likeness_tree(points: np.ndarray, sizes: np.ndarray, shards: int) -> Tree:
+    """Cut a sample of sketches where it is emptiest between two means found along its main directions, and both sides again,
+    until each part stands for one shard.
+
+    Where all sketches of a part are equal nothing lexical tells them apart, and its documents are dealt out by key.
+    """
+    points, todo, dealt = points.astype(np.float32), [(0, np.arange(len(points)), shards)], 0
+    directions, limits, children, first, parts = [None], [0.0], [(0, 0)], [0], [1]
+    while todo:
+        node, own, wanted = todo.pop()
+        x, direction, cut = points[own], np.zeros(SKETCH, dtype=np.float32), None
+        if wanted > 1 and len(own) > 1:
+            centred, best = x - x.mean(axis=0), 0.0
+            for v in np.linalg.eigh(centred.T @ centred)[1][:, : -CUT_DIRECTIONS - 1 : -1].T:
+                # Two means from this direction on, so that groups are parted whole.
+                for _ in range(MEANS_ROUNDS):
+                    beyond = centred @ v > np.median(centred @ v)
+                    if beyond.all() or not beyond.any():
+                        break
+                    v = centred[beyond].mean(axis=0) - centred[~beyond].mean(axis=0)
+                v = v / max(np.linalg.norm(v), 1e-9)
+                found = x @ v
+                by = np.argsort(found, kind="stable")
+                reach = np.cumsum(sizes[own][by]) / sizes[own].sum()
+                line, near = found[by], max(1, len(own) // 64)
+                # A gap is where values differ; the emptier the line around it, the fewer like documents it parts.
+                gaps = np.flatnonzero(np.diff(line) > 1e-4)
+                middle = gaps[(reach[gaps] > 0.25) & (reach[gaps] < 0.75)]
+                gaps = middle if len(middle) else gaps[np.argsort(np.abs(reach[gaps] - 0.5))[:1]]
+                wide = (line[np.minimum(gaps + near, len(own) - 1)] - line[np.maximum(gaps + 1 - near, 0)]) / max(found.std(), 1e-9)
+                if len(gaps) and wide.max() > best:
+                    best, cut = wide.max(), gaps[wide.argmax()]
+                    direction, along, order, reached = v.astype(np.float32), found, by, reach
+        directions[node] = direction
+        if cut is None:
+            first[node], parts[node], dealt = dealt, wanted, dealt + wanted
+            continue
+        left = min(max(round(wanted * reached[cut]), 1), wanted - 1)
+        limits[node] = (along[order[cut]] + along[order[cut + 1]]) / 2
+        children[node] = (len(parts), len(parts) + 1)
+        todo += [(len(parts), own[order[: cut + 1]], left), (len(parts) + 1, own[order[cut + 1 :]], wanted - left)]
+        directions += [None, None]
+        limits += [0.0, 0.0]
+        children += [(0, 0), (0, 0)]
+        first += [0, 0]
+        parts += [1, 1]
+    return Tree(np.array(directions, dtype=np.float32), np.array(limits, dtype=np.float32), np.array(children), np.array(first), np.array(parts))
+
+
+def _learnt_tree(encoded: DataFrame, idf, n: int, shards: int) -> Tree:
+    """The tree of a sample: about ``SHARD_SAMPLE`` documents a shard, 128 bytes each."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.frombuffer(x, dtype=np.uint16) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in sketches(ids, idf.value)], pa.binary()), pa.array([len(x) for x in ids], pa.int64())], names=["sketch", "size"])
+
+    share = min(1.0, min(max(SHARD_SAMPLE * shards, 4096), MOST_SAMPLE) / n)
+    rows = encoded.select("__ids").sample(share, 5).mapInArrow(sketch, "sketch binary, size long").toPandas()
+    points = np.frombuffer(b"".join(rows["sketch"]), dtype=np.float16).reshape(-1, SKETCH)
+    return likeness_tree(points, rows["size"].to_numpy(np.float64), shards)
+
+
+def _dealt(encoded: DataFrame, idf, tree) -> DataFrame:
+    """``encoded`` with ``__shard``, where each document's likes go."""
+    schema = T.StructType([*encoded.schema.fields, T.StructField("__shard", T.LongType())])
+    names, ids, key = schema.names, encoded.columns.index("__ids"), encoded.columns.index("__key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_TEXTS):
+                batch = whole.slice(at, BATCH_TEXTS)
+                points = sketches([np.frombuffer(x, dtype=np.uint16) for x in batch.column(ids).to_pylist()], idf.value)
+                found = tree.value.shards(points, batch.column(key).to_numpy())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=names)
+
+    return encoded.mapInArrow(run, schema)
+
+
 class Index:
     """BM25 inverted index of one shard: postings by term, documents in order."""
 
@@ -192,7 +311,10 @@ def pack(docs: DataFrame, path: str, text: str = "text", window: int = WINDOW, s
         facts = {"start": start, "length": length, "ids": [ids[k][a : a + b].tobytes() for k, a, b in zip(d, start, length)], "doc_tokens": np.array([len(x) for x in ids])[d], "sequence_id": (int(key[0]) << 32) + s, "offset": offset}
         return pd.concat([out, pd.DataFrame(facts)], axis=1).set_axis(schema.names, axis=1)
 
-    dealt = encoded.withColumn("__shard", F.pmod(F.xxhash64("__key"), F.lit(shards)))
+    if shards == 1:
+        dealt = encoded.withColumn("__shard", F.lit(0).cast("long"))
+    else:
+        dealt = _dealt(encoded, idf, spark.sparkContext.broadcast(_learnt_tree(encoded, idf, n, shards)))
     return dealt.groupBy("__shard").applyInPandas(fill_shard, schema)
 
 

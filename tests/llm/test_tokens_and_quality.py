@@ -15,7 +15,7 @@ from fixtures import edge_docs, edge_rows, no_docs, prose
 import hourwatt.llm.bpe_tree as bpe_tree
 from hourwatt.llm.bpe_tree import WordTable, decode, encode, joined, leaves, tokenizer, tree_encoded, trimmed
 from hourwatt.llm.q_bpe import vocabulary
-from hourwatt.llm.retrieval_packing import WINDOW, Index, fill, ids_crc32, ids_of, pack
+from hourwatt.llm.retrieval_packing import WINDOW, Index, fill, ids_crc32, ids_of, likeness_tree, pack
 
 WORDS = vocabulary("word_bpe_49k.json")
 PIECES = ["ab", "the", "a", "é", "é", "'", "'s", "''", "!!", "7", "42", " ", "\n", "日本", "ing", "<|endoftext|>", "<|startoftext|>", "😀", "Ω", "İ", "́", "각", "가", "_", "\x1c", "Thhaen", "tion", "\xa0"]
@@ -148,6 +148,31 @@ def test_neighbours_share_rare_terms():
     assert {d for d, _, _, s, _ in pieces if s == 0} == {0, 1, 2, 3}
 
 
+def test_related_documents_meet_at_every_size(spark):
+    """Of pairs on one topic four in five share one of sixteen shards; dealt by hash one in sixteen would."""
+    rng, texts = random.Random(6), {}
+    for topic in range(60):
+        own = prose(1000 + topic, 60).split()
+        texts |= {topic + 60 * k: " ".join(rng.choice(own if rng.random() < 0.7 else ["ab", "cd", "ef"]) for _ in range(150)) for k in range(8)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    total = sum(len(x) for x in ids_of(vocabulary("byte_bpe_50k.tiktoken"), list(texts.values())))
+    rows = pack(docs, vocabulary("byte_bpe_50k.tiktoken"), shard_tokens=total // 16 + 1).select("doc_id", "sequence_id", "length").collect()
+    at, sizes = {r.doc_id: r.sequence_id >> 32 for r in rows}, Counter()
+    for r in rows:
+        sizes[r.sequence_id >> 32] += r.length
+    pairs = [at[t + 60 * a] == at[t + 60 * b] for t in range(60) for a in range(8) for b in range(a)]
+    assert sum(pairs) >= 0.8 * len(pairs)
+    assert len(sizes) >= 8 and max(sizes.values()) <= total / 4
+
+
+def test_equal_documents_are_dealt_over_shards():
+    rng = np.random.default_rng(4)
+    points = np.concatenate([np.repeat(rng.standard_normal((1, 64)), 300, axis=0), rng.standard_normal((300, 64))]).astype(np.float16)
+    tree = likeness_tree(points, np.ones(600), 20)
+    sizes = np.bincount(tree.shards(points, np.arange(600)), minlength=20)
+    assert len(sizes) == 20 and sizes.min() > 0 and sizes.max() <= 90
+
+
 def junk(seed: int) -> str:
     return " ".join(w.upper() + "!!" for w in prose(seed, 80).split())
 

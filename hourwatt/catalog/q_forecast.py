@@ -32,35 +32,38 @@ def features(s, d):
     return modeling_features(base(s, d))
 
 
-def _one_model(s, d, name, targets=TARGETS):
-    """Predictions of one model for every window and target."""
+TRAINED = ("ridge", "random_forest", *M.BOOSTED)
+MODELS = (C.NAIVE_MODEL, *TRAINED)
+
+
+def _predictions(s, d, *names):
+    """Predictions of some models for every window and target."""
     table, frames = cut_lineage(features(s, d)), []
     for window in WINDOWS:
         train, test = split_window(table, window)
-        frames += [M.forecast_target(train, test, window, target, (name,))[0] for target in targets]
+        frames += M.side_by_side(lambda target: M.forecast_target(train, test, window, target, names)[0], TARGETS)
     return reduce(DataFrame.unionByName, frames)
 
 
 @query("M02_ridge")
 def m02(s, d):
-    return _one_model(s, d, "ridge")
+    return _predictions(s, d, "ridge")
 
 
 @query("M03_random_forest")
 def m03(s, d):
-    return _one_model(s, d, "random_forest", ("consumption", "production", "wind"))
+    return _predictions(s, d, "random_forest")
 
 
 @query("M04_boosted_trees")
 def m04(s, d):
-    """All three boosted configurations, with ten trees each (the defaults are 300 and 600)."""
-    train, test = split_window(cut_lineage(features(s, d)), WINDOWS[-1])
-    return M.forecast_target(train, test, WINDOWS[-1], "wind", tuple(M.BOOSTED), maxIter=10)[0]
+    """All three boosted configurations, with all their trees."""
+    return _predictions(s, d, *M.BOOSTED)
 
 
 @query("M05_price_walk_forward")
 def m05(s, d):
-    return M.walk_forward_price(features(s, d), WINDOWS, (C.NAIVE_MODEL, "ridge", "random_forest")).metrics
+    return M.walk_forward_price(features(s, d), WINDOWS, MODELS).metrics
 
 
 @query("M06_upstream_signals")
@@ -75,7 +78,7 @@ def m06(s, d):
 
 @query("M07_target_evaluation")
 def m07(s, d):
-    return M.walk_forward_targets(features(s, d), TARGETS, WINDOWS, (C.NAIVE_MODEL, "ridge")).summary
+    return M.walk_forward_targets(features(s, d), TARGETS, WINDOWS, MODELS).summary
 
 
 @query("M08_feature_importance")
@@ -83,10 +86,14 @@ def m08(s, d):
     table, frames = cut_lineage(features(s, d)), []
     for window in WINDOWS:
         train, _ = split_window(table, window)
-        for target in TARGETS:
+
+        def importance(job):
+            target, name = job
             column, prefix = C.FORECAST_TARGETS[target]
-            model = M.fit_model("ridge", train, C.target_features(prefix), column)
-            frames.append(M.feature_importance(model, s, window.name, target, "ridge"))
+            model = M.fit_model(name, train, C.target_features(prefix), column)
+            return M.feature_importance(model, s, window.name, target, name)
+
+        frames += M.side_by_side(importance, [(target, name) for target in TARGETS for name in TRAINED])
     return reduce(DataFrame.unionByName, frames)
 
 
@@ -94,11 +101,14 @@ def m08(s, d):
 def s16(s, d):
     from pyspark.ml import PipelineModel
 
-    run = M.walk_forward_targets(features(s, d), ("wind",), WINDOWS[-1:], (C.NAIVE_MODEL, "ridge"))
-    path = scratch_path(s, "wind-model")
-    models = {name: model for (_, name), model in run.final_models.items()}
-    best = M.save_best_model(models, run.summary, path)
-    _, test = split_window(features(s, d), WINDOWS[-1])
-    reloaded = PipelineModel.load(path)
-    scored = M.predict(reloaded, test, "wind_lag_24h", "predicted_mwh")
-    return scored.select(TS, F.lit(best).alias("model"), F.col("wind_mwh").alias("actual_mwh"), "predicted_mwh")
+    table, frames = cut_lineage(features(s, d)), []
+    run = M.walk_forward_targets(table, TARGETS, WINDOWS, MODELS)
+    _, test = split_window(table, WINDOWS[-1])
+    for target in TARGETS:
+        column, prefix = C.FORECAST_TARGETS[target]
+        path = scratch_path(s, f"{target}-model")
+        models = {name: model for (of, name), model in run.final_models.items() if of == target}
+        best = M.save_best_model(models, run.summary.filter(F.col("target") == target), path)
+        scored = M.predict(PipelineModel.load(path), test, f"{prefix}_lag_24h", "predicted_mwh")
+        frames.append(scored.select(TS, F.lit(target).alias("target"), F.lit(best).alias("model"), F.col(column).alias("actual_mwh"), "predicted_mwh"))
+    return reduce(DataFrame.unionByName, frames)

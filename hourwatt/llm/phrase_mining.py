@@ -51,8 +51,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def words_of(text: str) -> list[bytes]:
-    """Words in UTF-8, A to Z in lower case, with ``END`` for every run of separators."""
-    return _ENDS.sub(b" . ", text.encode().lower()).split()
+    """Words in UTF-8, A to Z in lower case, with ``END`` for every run of separators between two words."""
+    words = _ENDS.sub(b" . ", text.encode().lower()).split()
+    if words and words[0] == END:
+        del words[0]
+    if words and words[-1] == END:
+        del words[-1]
+    return words
 
 
 def chunks_of(words: list[bytes]) -> Iterator[bytes]:

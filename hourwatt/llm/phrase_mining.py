@@ -23,7 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter, defaultdict
-from functools import partial
+from functools import cached_property, partial
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +36,8 @@ from hourwatt.llm.scratch import stored
 LONGEST = 4
 OVERLAP = LONGEST - 1
 PERIOD = 48
-SLAB_WORDS = 1 << 19
+SLAB_WORDS = 3 << 18
+RANK_SHARES = 64
 BITMAP_BITS = 1 << 29
 SLICE_BITS = 1 << 19
 END = b"."
@@ -145,7 +146,10 @@ class _Rows:
         self.begins = self.word.copy()
         for back in range(1, OVERLAP + 1):
             self.begins[np.cumsum(sizes) - back] = False
-        self.hashes = word_hashes(self.words)[self.ids]
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return word_hashes(self.words)[self.ids]
 
     def _at(self, k: int, of: np.ndarray) -> np.ndarray:
         """``of`` at the k-th word after each place; the last places begin nothing."""
@@ -158,14 +162,16 @@ class _Rows:
         return self.word & self._at(1, self.word) & _held(bits, phrase_hash([self.hashes, self._at(1, self.hashes)], self.lang))
 
     def grouped(self, keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(a place of each distinct key, its weight, the key's number per place); weights add up exactly."""
-        _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        weights = np.zeros(len(first), np.int64)
-        if len(places) and int(self.times[places].max()) * len(places) < 1 << 53:
-            weights = np.bincount(inverse, self.times[places], len(first)).astype(np.int64)
-        else:
-            np.add.at(weights, inverse, self.times[places])
-        return places[first], weights, inverse
+        """(a place of each distinct key, its weight, the key's number per place)."""
+        order = np.argsort(keys)
+        ordered = keys[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        first = np.flatnonzero(new)
+        weights = np.add.reduceat(self.times[places[order]], first) if len(first) else np.zeros(0, np.int64)
+        number = np.empty(len(keys), np.int64)
+        number[order] = np.cumsum(new) - 1
+        return places[order[first]], weights, number
 
     def spelt(self, places: np.ndarray, weights: np.ndarray, size: int) -> tuple[list[str], list[bytes], list[int]]:
         columns = [[self.words[i] for i in self.ids[places + k].tolist()] for k in range(size)]
@@ -176,7 +182,13 @@ class _Rows:
         if sizes[0] == 1:
             places = np.flatnonzero(self.begins)
             yield [self.lang], [b""], [int(self.times[places].sum())]
-            yield self.spelt(*self.grouped(self.ids[places], places)[:2], 1)
+            weights = np.zeros(len(self.words), np.int64)
+            if len(places) and int(self.times.max()) * len(places) < 1 << 53:
+                weights = np.bincount(self.ids[places], self.times[places], len(self.words)).astype(np.int64)
+            else:
+                np.add.at(weights, self.ids[places], self.times[places])
+            held = np.flatnonzero(weights)
+            yield [self.lang] * len(held), [self.words[i] for i in held.tolist()], weights[held].tolist()
             return
         fits = self.pairs(bits, sizes[0] - 1)
         allowed = self.begins.copy()
@@ -208,8 +220,7 @@ def _phrases(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], bits) ->
         held.clear()
 
     for batch in batches:
-        for lang, chunk, times in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-            words = chunk.as_py().encode()
+        for lang, words, times in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
             held[lang][0].append(words)
             held[lang][1].append(times)
             size += words.count(b" ") + 1
@@ -288,5 +299,9 @@ def collocations(docs: DataFrame, least: int = 30, covered: int = 80, top: int =
     kept = lowest.join(around, ["lang", "phrase"], "left").where("longer is null or cast(longer as decimal(19,0)) * 100 < cast(a as decimal(19,0)) * %d" % covered)
     rows = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    # Ranked in shares first, so that one task never meets more than the shares' best of a language.
+    shares = Window.partitionBy("lang", "share").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    rows = rows.withColumn("share", F.pmod(F.hash("phrase"), F.lit(RANK_SHARES)))
+    rows = rows.withColumn("rank", F.row_number().over(shares)).where(F.col("rank") <= top).drop("rank", "share")
     best = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return best.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")

@@ -1,4 +1,4 @@
-"""Queries: Spark ML forecasts over the national feature table. Only their rows can be checked."""
+"""Queries: forecasts over the national feature table. Their rows are checked in tests/test_forecast*.py."""
 
 from __future__ import annotations
 
@@ -14,8 +14,10 @@ from hourwatt.catalog.registry import query
 from hourwatt.operators.calendar import TS
 from hourwatt.operators.walk_forward import ForecastWindow, split_window
 from hourwatt.plans import forecast as M
+from hourwatt.plans import model_table as T
 from hourwatt.plans.features import modeling_features
 from hourwatt.session import cut_lineage, scratch_path
+from hourwatt.sources.model_store import publish_models, read_models
 
 # The month of events leaves rows with full 14-day history from the 15th on.
 WINDOWS = (
@@ -32,8 +34,8 @@ def features(s, d):
     return modeling_features(base(s, d))
 
 
-TRAINED = ("ridge", "random_forest", *M.BOOSTED)
-MODELS = (C.NAIVE_MODEL, *TRAINED)
+MODELS = (C.NAIVE_MODEL, *T.TRAINED)
+BOOSTED = ("hist_gradient_boosting", "lightgbm", "xgboost")
 
 
 def _predictions(s, d, *names):
@@ -58,7 +60,7 @@ def m03(s, d):
 @query("M04_boosted_trees")
 def m04(s, d):
     """All three boosted configurations, with all their trees."""
-    return _predictions(s, d, *M.BOOSTED)
+    return M.walk_forward_targets(features(s, d), TARGETS, WINDOWS, BOOSTED).predictions
 
 
 @query("M05_price_walk_forward")
@@ -83,32 +85,19 @@ def m07(s, d):
 
 @query("M08_feature_importance")
 def m08(s, d):
-    table, frames = cut_lineage(features(s, d)), []
-    for window in WINDOWS:
-        train, _ = split_window(table, window)
-
-        def importance(job):
-            target, name = job
-            column, prefix = C.FORECAST_TARGETS[target]
-            model = M.fit_model(name, train, C.target_features(prefix), column)
-            return M.feature_importance(model, s, window.name, target, name)
-
-        frames += M.side_by_side(importance, [(target, name) for target in TARGETS for name in TRAINED])
-    return reduce(DataFrame.unionByName, frames)
+    run = M.walk_forward_targets(features(s, d), TARGETS, WINDOWS, T.TRAINED)
+    return T.importance(run.models, [T.supply_target(t) for t in TARGETS])
 
 
 @query("S16_model_persistence")
 def s16(s, d):
-    from pyspark.ml import PipelineModel
-
-    table, frames = cut_lineage(features(s, d)), []
+    """The best model of each target, published, read again and used on the last window's test hours."""
+    table = cut_lineage(features(s, d))
     run = M.walk_forward_targets(table, TARGETS, WINDOWS, MODELS)
-    _, test = split_window(table, WINDOWS[-1])
-    for target in TARGETS:
-        column, prefix = C.FORECAST_TARGETS[target]
-        path = scratch_path(s, f"{target}-model")
-        models = {name: model for (of, name), model in run.final_models.items() if of == target}
-        best = M.save_best_model(models, run.summary.filter(F.col("target") == target), path)
-        scored = M.predict(PipelineModel.load(path), test, f"{prefix}_lag_24h", "predicted_mwh")
-        frames.append(scored.select(TS, F.lit(target).alias("target"), F.lit(best).alias("model"), F.col(column).alias("actual_mwh"), "predicted_mwh"))
-    return reduce(DataFrame.unionByName, frames)
+    last = run.models.where(F.col("window") == WINDOWS[-1].name)
+    path = scratch_path(s, "models")
+    publish_models(M.best_models(last, run.summary), path)
+    targets = [T.supply_target(t) for t in TARGETS]
+    rows = T.model_rows(table, WINDOWS[-1:], targets).where("role = 'test'")
+    scored = T.score_models(rows, read_models(s, path), targets, naive=False)
+    return scored.select(TS, "target", "model", F.col("actual").alias("actual_mwh"), F.col("predicted").alias("predicted_mwh"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as PT
 
@@ -147,61 +149,127 @@ def s15(s, d):
     return tables.file_manifest(s, d, names)
 
 
-@query("C08_incremental_load", f"""with t as (select h::date as day, count(distinct h) filter (where tech = 'nuclear') as hours, count(*) filter (where tech = 'nuclear') as n from v_ev group by 1),
-m as (select ts::date as day, count(*) as n from v_mix_regional group by 1)
-select strftime(t.day, '%Y-%m-%d') as window_start_date, 'completed' as status, case when t.hours = 24 then t.n else m.n end as rows_loaded from t join m on m.day = t.day""")
-def c08(s, d):
-    return _load(s, d).checkpoints.select("window_start_date", "status", "rows_loaded")
+# Which technology's checkpoints stand for which dataset, so that the states of all five are used.
+STATE_OF = {
+    "nuclear": ("energy_charts", C.PRICE_DATASET), "gas": ("odre", C.NATIONAL_DATASET), "coal": ("odre", C.REGIONAL_DATASET),
+    "solar": ("odre", C.NATIONAL_PROVISIONAL_DATASET), "wind": ("open_meteo", C.WEATHER_DATASET),
+}
+BROKEN_PRICE, BROKEN_WEATHER, PROVISIONAL_FROM = 7, 11, "2024-01-20"
 
 
-def daily_pages(s, d):
-    """Record pages of one day each, with their ingestion window."""
-    ev = A.events(s, d)
-    point = F.struct(
-        "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("date_heure"), F.col("region").alias("libelle_region"),
-        F.col("k").alias("consommation"), F.col("k").alias("taux_co2"),
-        *[F.when(F.col("technology") == tech, F.col("value")).alias(field) for tech, field in A.RECORD_FIELD.items()],
-    )
-    grouped = ev.groupBy(F.to_date("ts").alias("window_start_date"), F.floor(F.col("event_id") / A.PAGE_RECORDS).alias("page")).agg(
-        F.to_json(F.struct(F.sort_array(F.collect_list(point)).alias("results"))).alias("response_payload")
+def landed_pages(s, d):
+    """Pages of one day each of all sources, with their ingestion window; some price and weather pages break off."""
+    ev = A.events(s, d).withColumns({"day": F.to_date("ts"), "page": F.floor(F.col("event_id") / A.PAGE_RECORDS)})
+    price = F.struct("ts", "event_id", F.unix_seconds("ts").alias("s"), F.when(F.col("event_type") != "error", F.col("value")).alias("v"))
+    prices = ev.groupBy("day", "page").agg(F.sort_array(F.collect_list(price)).alias("p")).select(
+        "day", "page", F.lit(C.NATIONAL_REGION).alias("region"),
+        F.to_json(F.struct(F.lit(C.PRICE_UNIT).alias("unit"), F.col("p.s").alias("unix_seconds"), F.col("p.v").alias("price")), {"ignoreNullFields": "false"}).alias("payload"),
     )
-    return grouped.select(
-        F.lit("odre").alias("source_name"), F.lit("mix").alias("dataset_name"), F.lit(load_plan.ALL_REGIONS).alias("region"), "window_start_date",
-        F.col("window_start_date").alias("window_end_date"), F.col("window_start_date").cast("timestamp").alias("page_ts"), "response_payload",
+    weather = ev.groupBy("day", "page", "region").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("t"), "value"))).alias("p")).select(
+        "day", "page", "region", F.to_json(F.struct(F.struct(F.col("p.t").alias("time"), F.col("p.value").alias("temperature_2m")).alias("hourly"))).alias("payload"),
     )
 
-
-def parse_mix_pages(pages):
-    fields = "date_heure string, libelle_region string, consommation string, taux_co2 string, " + ", ".join(f"{f} string" for f in A.RECORD_FIELD.values())
-    records = payloads.extract_records(pages).select(F.from_json("record", fields).alias("r")).select("r.*")
-    from hourwatt.functions.numeric import parse_decimal
-    from hourwatt.functions.text import parse_offset_timestamp
-
-    measures = [c for c in records.columns if c not in ("date_heure", "libelle_region")]
-    typed = records.select(parse_offset_timestamp(F.col("date_heure")).alias("ts"), "libelle_region", *[parse_decimal(F.col(c)).alias(c) for c in measures])
-    return schemas.conform(payloads.hourly_mix(typed, C.REGIONAL_SCOPE), schemas.MIX)
+    def records(rows, added):
+        point = F.struct(
+            "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("date_heure"), F.col("region").alias("libelle_region"),
+            (F.col("k") + added).alias("consommation"), F.col("k").alias("taux_co2"),
+            *[F.when(F.col("technology") == tech, F.col("value")).alias(name) for tech, name in A.RECORD_FIELD.items()],
+        )
+        listed = rows.groupBy("day", "page").agg(F.to_json(F.struct(F.sort_array(F.collect_list(point)).alias("results"))).alias("payload"))
+        return listed.select("day", "page", F.lit(load_plan.ALL_REGIONS).alias("region"), "payload")
+
+    def cut(pages, every):
+        half = F.expr("substring(payload, 1, cast(length(payload) / 2 as int))")
+        return pages.withColumn("payload", F.when(F.col("page") % every == 3, half).otherwise(F.col("payload")))
+
+    def named(pages, source, dataset):
+        return pages.select(
+            F.lit(source).alias("source_name"), F.lit(dataset).alias("dataset_name"), "region", F.col("day").alias("window_start_date"),
+            F.col("day").alias("window_end_date"), F.col("day").cast("timestamp").alias("page_ts"), F.col("payload").alias("response_payload"),
+        )
+
+    national = named(records(ev, 0).withColumn("region", F.lit(C.NATIONAL_REGION)), "odre", C.NATIONAL_DATASET)
+    provisional = records(ev.where(F.col("day") >= F.lit(PROVISIONAL_FROM).cast("date")), 1).withColumn("region", F.lit(C.NATIONAL_REGION))
+    pages = [
+        named(cut(prices, BROKEN_PRICE), "energy_charts", C.PRICE_DATASET), national, named(records(ev, 0), "odre", C.REGIONAL_DATASET),
+        named(provisional, "odre", C.NATIONAL_PROVISIONAL_DATASET), named(cut(weather, BROKEN_WEATHER), "open_meteo", C.WEATHER_DATASET),
+    ]
+    return functools.reduce(lambda a, b: a.unionByName(b), pages)
 
 
 def _load(s, d):
-    state = A.checkpoints(s, d).filter(F.col("region") == "nuclear").withColumn("region", F.lit(load_plan.ALL_REGIONS))
-    pages = daily_pages(s, d)
+    pages = landed_pages(s, d)
     plan = pages.select(*ingestion.WINDOW_KEY).distinct()
-    empty = s.createDataFrame([], schemas.MIX)
-    return load_plan.incremental_load(pages, plan, state, empty, parse_mix_pages, F.lit("2024-02-01 00:00:00").cast("timestamp"), schemas.mix_rules())
+    names = F.create_map(*[x for tech, (source, dataset) in STATE_OF.items() for x in (F.lit(tech), F.struct(F.lit(source).alias("source_name"), F.lit(dataset).alias("dataset_name")))])
+    state = A.checkpoints(s, d).withColumn("_of", names[F.col("region")]).drop("source_name", "dataset_name", "region").select("_of.*", "*").drop("_of")
+    place = ["source_name", "dataset_name", "window_start_date", "window_end_date"]
+    checkpoints = plan.join(state, place).select(*[f.name for f in schemas.CHECKPOINTS.fields])
+    empty = {"prices": schemas.PRICES, "mix": schemas.MIX, "weather": schemas.WEATHER}
+    tables = {name: s.createDataFrame([], schema) for name, schema in empty.items()}
+    return load_plan.incremental_load(pages, plan, checkpoints, tables, F.lit("2024-02-01 00:00:00").cast("timestamp"))
+
+
+_datasets = ", ".join(f"('{tech}', '{source}', '{dataset}')" for tech, (source, dataset) in STATE_OF.items())
+LOADED = f"""names(tech, source_name, dataset_name) as (values {_datasets}),
+t as (select tech, h::date as day, count(distinct h) as hours, count(*) as n from v_ev group by 1, 2),
+e as (select *, h::date as day, event_id // {A.PAGE_RECORDS} as page from v_ev),
+w as (
+  select '{C.PRICE_DATASET}' as dataset_name, '{C.NATIONAL_REGION}' as region, day, count(distinct h) filter (tech <> 'coal') as n, bool_or(page % {BROKEN_PRICE} = 3) as broken from e group by day
+  union all select '{C.NATIONAL_DATASET}', '{C.NATIONAL_REGION}', day, count(distinct h), false from e group by day
+  union all select '{C.REGIONAL_DATASET}', '{load_plan.ALL_REGIONS}', day, count(distinct (region, h)), false from e group by day
+  union all select '{C.NATIONAL_PROVISIONAL_DATASET}', '{C.NATIONAL_REGION}', day, count(distinct h), false from e where day >= date '{PROVISIONAL_FROM}' group by day
+  union all select '{C.WEATHER_DATASET}', region, day, count(distinct date_trunc('second', ts)), bool_or(page % {BROKEN_WEATHER} = 3) from e group by region, day),
+windows as (select source_name, w.*, coalesce(t.hours = 24, false) as known, t.n as before from w join names using (dataset_name) left join t on t.tech = names.tech and t.day = w.day)"""
+
+
+@query("C08_incremental_load", f"""with {LOADED}
+select source_name, dataset_name, region, strftime(day, '%Y-%m-%d') as window_start_date, case when known or not broken then 'completed' else 'failed' end as status,
+  case when known then before when broken then 0 else n end as rows_loaded, broken and not known as has_reason from windows""")
+def c08(s, d):
+    return _load(s, d).checkpoints.select(*ingestion.WINDOW_KEY[:4], "status", "rows_loaded", F.col("error_message").isNotNull().alias("has_reason"))
+
+
+@query("C08b_loaded_mix", f"""with {LOADED},
+due as (select dataset_name, region, day from windows where not known and not broken),
+price as (select 'prices' as "table", '{C.NATIONAL_REGION}' as region, p.ts, p.price as value from
+    (select h as ts, cast(sum(cast(value as decimal(18,6))) as double) / count(value) as price from v_ev where tech <> 'coal' group by 1) p join due on due.day = p.ts::date and dataset_name = '{C.PRICE_DATASET}'),
+mix as (select 'mix' as "table", due.region, e.h as ts, sum(case dataset_name when '{C.NATIONAL_PROVISIONAL_DATASET}' then k + 1 else k end * 0.25) as value, dataset_name
+    from e join due using (day) where dataset_name in ('{C.NATIONAL_DATASET}', '{C.NATIONAL_PROVISIONAL_DATASET}') group by 2, 3, 5),
+regional as (select 'mix' as "table", e.region, e.h as ts, sum(k * 0.25) as value from e join due using (day) where dataset_name = '{C.REGIONAL_DATASET}' group by 2, 3)
+select "table", region, {T('ts')} as timestamp_utc, {R('value')} as value from price
+union all select "table", region, {T('ts')}, {R('value')} from regional
+union all select "table", region, {T('ts')}, {R("arg_max(value, dataset_name)")} from mix group by 1, 2, mix.ts""")
+def c08b(s, d):
+    """Prices and consumption as loaded; the provisional national values win where their windows were loaded too."""
+    loaded = _load(s, d).tables
+    prices = loaded["prices"].select(F.lit("prices").alias("table"), "region", TS, F.col("price_eur_mwh").cast("double").alias("value"))
+    return prices.unionByName(loaded["mix"].select(F.lit("mix").alias("table"), "region", TS, F.col("consumption_mwh").cast("double").alias("value")))
 
 
-@query("C08b_loaded_mix", f"""with t as (select h::date as day, count(distinct h) filter (where tech = 'nuclear') as hours from v_ev group by 1)
-select m.region, {T('m.ts')} as timestamp_utc, {R('m.consumption')} as consumption_mwh, {R('m.nuclear')} as nuclear_mwh, {R('m.production')} as total_production_mwh
-from v_mix_regional m join t on t.day = m.ts::date where t.hours < 24""")
-def c08b(s, d):
-    return _load(s, d).table.select("region", TS, "consumption_mwh", "nuclear_mwh", "total_production_mwh")
+@query("C08c_loaded_rows", f"""with {LOADED}
+select case when dataset_name = '{C.PRICE_DATASET}' then 'prices' when dataset_name = '{C.WEATHER_DATASET}' then 'weather' else 'mix' end as "table",
+  source_name, dataset_name, sum(n)::bigint as rows_loaded from windows where not known and not broken group by all having sum(n) > 0""")
+def c08c(s, d):
+    return load_plan.load_summary(_load(s, d).rows)
 
 
-@query("C09_fetch_window", f"""select m.region, {T('m.ts')} as timestamp_utc, {R('m.consumption')} as consumption_mwh, {R('m.nuclear')} as nuclear_mwh from v_mix_regional m
-where m.ts >= timestamp '2024-01-08' and m.ts < timestamp '2024-01-15'""")
+@query("C09_fetch_window", f"""with e as (select *, h::date as day, event_id // {A.PAGE_RECORDS} as page from v_ev where h >= timestamp '2024-01-08' and h < timestamp '2024-01-15'),
+bad as (select distinct day from e where page % {BROKEN_PRICE} = 3), wet as (select distinct day, region from e where page % {BROKEN_WEATHER} = 3)
+select 'prices' as "table", '{C.NATIONAL_REGION}' as region, strftime(day, '%Y-%m-%d') as day, count(distinct h) as n from e where tech <> 'coal' and not (page % {BROKEN_PRICE} = 3) group by 2, 3
+union all select 'mix', region, strftime(day, '%Y-%m-%d'), count(distinct h) from e group by 2, 3
+union all select 'mix', '{C.NATIONAL_REGION}', strftime(day, '%Y-%m-%d'), count(distinct h) from e group by 2, 3
+union all select 'weather', region, strftime(day, '%Y-%m-%d'), count(distinct date_trunc('second', ts)) from e where not (page % {BROKEN_WEATHER} = 3) group by 2, 3""")
 def c09(s, d):
+    """Rows per day of a week's pages of all sources; pages that cannot be read are left out, and so is nothing else."""
     day = lambda text: F.lit(text).cast("date")
-    return load_plan.fetch_window(daily_pages(s, d), parse_mix_pages, day("2024-01-08"), day("2024-01-14")).select("region", TS, "consumption_mwh", "nuclear_mwh")
+    pages = landed_pages(s, d)
+    found = []
+    for feed in load_plan.feeds():
+        mine = pages.where(feed.holds() & feed.problem.isNull())
+        rows = load_plan.fetch_window(mine, lambda p: feed.parse(p, []), day("2024-01-08"), day("2024-01-14"))
+        found.append(rows.select(F.lit(feed.table).alias("table"), "region", F.to_date(TS).cast("string").alias("day"), TS, "source_record_id"))
+    once = functools.reduce(lambda a, b: a.unionByName(b), found)
+    return once.groupBy("table", "region", "day").agg(F.count_distinct("source_record_id").alias("n"))
 
 
 @query("S07b_rounded_generation", f"select target, {T('ts')} as timestamp_utc, {R(H('mwh'))} as mwh from v_mix_long")

@@ -224,3 +224,8 @@ REQUIRED_MODELING_COLUMNS = [
     "price_rolling_mean_168h", "consumption_lag_24h", "consumption_lag_168h", "wind_lag_24h",
     "wind_lag_168h", "solar_lag_24h", "solar_lag_168h",
 ]
+
+# Dataset names of the sources; provisional ones are revised later.
+PRICE_DATASET, WEATHER_DATASET = "day_ahead_prices", "historical_weather"
+NATIONAL_DATASET, REGIONAL_DATASET = "eco2mix-national-cons-def", "eco2mix-regional-cons-def"
+NATIONAL_PROVISIONAL_DATASET, REGIONAL_PROVISIONAL_DATASET = "eco2mix-national-tr", "eco2mix-regional-tr"

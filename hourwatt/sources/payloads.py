@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourwatt import constants as C
-from hourwatt.functions.numeric import DECIMAL_TYPE
-from hourwatt.functions.text import iso_timestamp, iso_utc, record_id
+from hourwatt.functions.numeric import DECIMAL_TYPE, parse_decimal
+from hourwatt.functions.text import iso_timestamp, iso_utc, parse_offset_timestamp, record_id
 
 PRICE_SCHEMA = "unit string, unix_seconds array<bigint>, price array<decimal(18,6)>"
 XML_SCHEMA = (
@@ -63,28 +63,36 @@ def _price_problem(p: Column) -> Column:
     )
 
 
-def parse_price_pages(pages: DataFrame, zone: str = C.NATIONAL_REGION, payload: str = "response_payload", on_invalid: str = "fail") -> DataFrame:
+def parse_price_pages(
+    pages: DataFrame, zone: str = C.NATIONAL_REGION, payload: str = "response_payload", on_invalid: str = "fail", keys: Sequence[str] = ()
+) -> DataFrame:
     """Price payloads to one mean price per UTC hour.
 
     Null prices are skipped. A page with a wrong unit or ragged arrays fails the job, or is left out with
-    ``on_invalid="skip"`` (see ``invalid_price_pages`` for the rejected ones).
+    ``on_invalid="skip"`` (see ``invalid_price_pages`` for the rejected ones). ``keys`` name page columns that lead every
+    row; hours are then averaged within a key.
     """
-    parsed = pages.select(F.from_json(payload, PRICE_SCHEMA).alias("p"))
+    parsed = pages.select(*keys, F.from_json(payload, PRICE_SCHEMA).alias("p"))
     parsed = accepted_pages(parsed, _price_problem(F.col("p")), on_invalid)
-    points = parsed.select(F.inline(F.arrays_zip("p.unix_seconds", "p.price"))).filter(F.col("price").isNotNull())
+    points = parsed.select(*keys, F.inline(F.arrays_zip("p.unix_seconds", "p.price"))).filter(F.col("price").isNotNull())
     hour = F.date_trunc("hour", F.timestamp_seconds("unix_seconds"))
-    hourly = points.groupBy(hour.alias("timestamp_utc")).agg((F.sum("price") / F.count("price")).cast(DECIMAL_TYPE).alias("price_eur_mwh"))
+    hourly = points.groupBy(*keys, hour.alias("timestamp_utc")).agg((F.sum("price") / F.count("price")).cast(DECIMAL_TYPE).alias("price_eur_mwh"))
     return hourly.select(
-        F.lit("api").alias("source"),
+        *keys, F.lit("api").alias("source"),
         record_id("energy-charts", zone, iso_utc(F.col("timestamp_utc"))).alias("source_record_id"),
         F.lit(C.NATIONAL_REGION).alias("region"), "timestamp_utc", F.lit("1h").alias("granularity"),
         F.lit(C.DAY_AHEAD_MARKET).alias("market"), "price_eur_mwh", F.lit("EUR").alias("currency"),
     )
 
 
+def price_page_problem(payload: str = "response_payload") -> Column:
+    """Why a price page cannot be read, or null."""
+    return _price_problem(F.from_json(payload, PRICE_SCHEMA))
+
+
 def invalid_price_pages(pages: DataFrame, payload: str = "response_payload") -> DataFrame:
     """Pages the price parser rejects, with the reason."""
-    return rejected_pages(pages, _price_problem(F.from_json(payload, PRICE_SCHEMA)))
+    return rejected_pages(pages, price_page_problem(payload))
 
 
 def weather_page_problem(payload: str = "response_payload") -> Column:
@@ -93,7 +101,9 @@ def weather_page_problem(payload: str = "response_payload") -> Column:
     return F.when(times.isNull(), F.lit("the page has no hourly times")).when(F.exists(times, lambda t: iso_timestamp(t).isNull()), F.lit("the page has a time that is no time"))
 
 
-def parse_weather_pages(pages: DataFrame, region: str = "region", payload: str = "response_payload", on_invalid: str = "fail") -> DataFrame:
+def parse_weather_pages(
+    pages: DataFrame, region: str = "region", payload: str = "response_payload", on_invalid: str = "fail", keys: Sequence[str] = ()
+) -> DataFrame:
     """Weather payloads (one array per variable) to one row per hour.
 
     Arrays may be shorter than ``time``: positions past the end are null. Times without offset are UTC. A page that
@@ -101,14 +111,14 @@ def parse_weather_pages(pages: DataFrame, region: str = "region", payload: str =
     """
     pages = accepted_pages(pages, weather_page_problem(payload), on_invalid)
     variables = ", ".join(f"{v}: array<{'int' if v == 'weather_code' else DECIMAL_TYPE}>" for v in C.WEATHER_FIELDS)
-    parsed = pages.select(F.col(region).alias("region"), F.from_json(payload, f"hourly struct<time: array<string>, {variables}>").alias("p"))
-    hours = parsed.select("region", F.col("p.hourly").alias("h"), F.posexplode("p.hourly.time").alias("_pos", "_time"))
+    parsed = pages.select(*keys, F.col(region).alias("region"), F.from_json(payload, f"hourly struct<time: array<string>, {variables}>").alias("p"))
+    hours = parsed.select(*keys, "region", F.col("p.hourly").alias("h"), F.posexplode("p.hourly.time").alias("_pos", "_time"))
     rows = hours.select(
-        "region", iso_timestamp(F.col("_time")).alias("timestamp_utc"),
+        *keys, "region", iso_timestamp(F.col("_time")).alias("timestamp_utc"),
         *[F.get(F.col(f"h.{v}"), F.col("_pos")).alias(name) for v, name in C.WEATHER_FIELDS.items()],
     )
     return rows.select(
-        F.lit("api").alias("source"),
+        *keys, F.lit("api").alias("source"),
         record_id("open-meteo", F.col("region"), iso_utc(F.col("timestamp_utc"))).alias("source_record_id"),
         "region", "timestamp_utc", F.lit("1h").alias("granularity"), *C.WEATHER_FIELDS.values(),
         F.col("shortwave_radiation_wm2").alias("solar_irradiance_wm2"), F.col("relative_humidity_2m_pct").alias("humidity_pct"),
@@ -124,33 +134,46 @@ def xml_page_problem(payload: str = "response_payload") -> Column:
     )
 
 
-def parse_price_xml_pages(pages: DataFrame, zone: str, payload: str = "response_payload", on_invalid: str = "fail") -> DataFrame:
+def parse_price_xml_pages(
+    pages: DataFrame, zone: str, payload: str = "response_payload", on_invalid: str = "fail", keys: Sequence[str] = ()
+) -> DataFrame:
     """Price XML documents to points: period start + resolution * (position - 1).
 
     Resolutions other than PT15M and PT30M count as one hour; points without position or price are skipped. A document
     that cannot be read fails the job, or is left out with ``on_invalid="skip"``.
     """
     options = XML_OPTIONS
-    doc = accepted_pages(pages, xml_page_problem(payload), on_invalid).select(F.from_xml(F.col(payload), XML_SCHEMA, options).alias("d"))
-    periods = doc.select(F.explode("d.TimeSeries").alias("s")).select(F.explode("s.Period").alias("p"))
+    doc = accepted_pages(pages, xml_page_problem(payload), on_invalid).select(*keys, F.from_xml(F.col(payload), XML_SCHEMA, options).alias("d"))
+    periods = doc.select(*keys, F.explode("d.TimeSeries").alias("s")).select(*keys, F.explode("s.Period").alias("p"))
     points = periods.filter(F.coalesce(F.col("p.timeInterval.start"), F.lit("")) != "").select(
-        iso_timestamp(F.col("p.timeInterval.start")).alias("_start"), F.col("p.resolution").alias("_resolution"),
+        *keys, iso_timestamp(F.col("p.timeInterval.start")).alias("_start"), F.col("p.resolution").alias("_resolution"),
         F.explode("p.Point").alias("q"),
     )
     rows = points.select(
-        "_start", "_resolution", F.nullif(F.col("q.position"), F.lit("")).cast("int").alias("_position"),
+        *keys, "_start", "_resolution", F.nullif(F.col("q.position"), F.lit("")).cast("int").alias("_position"),
         F.nullif(F.col("q")["price.amount"], F.lit("")).cast(DECIMAL_TYPE).alias("price_eur_mwh"),
     ).filter(F.col("_position").isNotNull() & F.col("price_eur_mwh").isNotNull())
     minutes = F.when(F.col("_resolution") == "PT15M", 15).when(F.col("_resolution") == "PT30M", 30).otherwise(60)
     ts = F.timestamp_seconds(F.unix_seconds("_start") + minutes * 60 * (F.col("_position") - 1))
-    return rows.select(ts.alias("timestamp_utc"), "price_eur_mwh").select(
-        F.lit("api").alias("source"),
+    return rows.select(*keys, ts.alias("timestamp_utc"), "price_eur_mwh").select(
+        *keys, F.lit("api").alias("source"),
         record_id("entsoe", zone, iso_utc(F.col("timestamp_utc"))).alias("source_record_id"),
         F.lit(C.NATIONAL_REGION).alias("region"), "timestamp_utc", F.lit("1h").alias("granularity"),
         F.lit(C.DAY_AHEAD_MARKET).alias("market"), "price_eur_mwh", F.lit("EUR").alias("currency"),
     )
 
 
+def mix_records(pages: DataFrame, payload: str = "response_payload", on_invalid: str = "fail") -> DataFrame:
+    """Records of power pages with typed measures and ``ts``; the other page columns stay."""
+    measures = sorted({*C.NATIONAL_FIELDS, *C.REGIONAL_FIELDS} | {"taux_co2"})
+    fields = "date_heure string, libelle_region string, " + ", ".join(f"{m} string" for m in measures)
+    records = extract_records(pages, payload, on_invalid=on_invalid)
+    kept = [c for c in pages.columns if c != payload]
+    parsed = records.select(*kept, F.from_json("record", fields).alias("_r")).select(*kept, "_r.*")
+    typed = [parse_decimal(F.col(m)).alias(m) for m in measures]
+    return parsed.select(*kept, parse_offset_timestamp(F.col("date_heure")).alias("ts"), "libelle_region", *typed)
+
+
 def _fields(scope: str) -> Mapping[str, str]:
     if scope not in (C.NATIONAL_SCOPE, C.REGIONAL_SCOPE):
         raise ValueError(f"unknown scope: {scope}")
@@ -199,12 +222,12 @@ def finish_mix(hourly: DataFrame, scope: str) -> DataFrame:
     )
 
 
-def hourly_mix(records: DataFrame, scope: str, ts: str = "ts", interval_hours: str = C.INTERVAL_HOURS) -> DataFrame:
+def hourly_mix(records: DataFrame, scope: str, ts: str = "ts", interval_hours: str = C.INTERVAL_HOURS, keys: Sequence[str] = ()) -> DataFrame:
     """Quarter-hour power records to hourly energy per region (national rows all belong to ``FR``).
 
     The sums combine map-side, so a region with a third of all records shuffles one row per task and hour.
     """
     region = F.lit(C.NATIONAL_REGION) if scope == C.NATIONAL_SCOPE else F.col("libelle_region")
     aggs = hourly_mix_aggregates(records.columns, scope, interval_hours)
-    hourly = records.groupBy(region.alias("region"), F.date_trunc("hour", F.col(ts)).alias("timestamp_utc")).agg(*aggs)
+    hourly = records.groupBy(*keys, region.alias("region"), F.date_trunc("hour", F.col(ts)).alias("timestamp_utc")).agg(*aggs)
     return finish_mix(hourly, scope)

@@ -9,7 +9,7 @@ from hourwatt import constants as C
 from hourwatt import schemas
 from hourwatt.functions import numeric, text
 from hourwatt.operators import ingestion, quality
-from hourwatt.plans.ingestion import incremental_load, merge_datasets
+from hourwatt.plans.ingestion import incremental_load, load_summary, merge_datasets, refresh_plan
 from hourwatt.sources import payloads, tables
 from hourwatt.sources.upsert import keep_one, require_record_id, upsert, write_upsert
 
@@ -168,22 +168,74 @@ def test_checkpoint_states(spark):
     assert ingestion.reset_windows(old, "s", "d").isEmpty() and ingestion.reset_windows(old, "s", "x").count() == 2
 
 
-def test_incremental_load_twice_and_with_a_failure(spark):
-    key = dict(source_name="s", dataset_name="d", region="FR", window_start_date=dt.date(2024, 1, 1), window_end_date=dt.date(2024, 1, 1))
-    good = json.dumps({"unit": "EUR / MWh", "unix_seconds": [T0, T0 + 3600], "price": [1.0, 2.0]})
-    pages = spark.createDataFrame([(*key.values(), good)], "source_name string, dataset_name string, region string, window_start_date date, window_end_date date, response_payload string")
-    plan, none = pages.select(*ingestion.WINDOW_KEY), state(spark).limit(0)
-    parse = lambda p: schemas.conform(payloads.parse_price_pages(p), schemas.PRICES)
-    target = spark.createDataFrame([], schemas.PRICES)
-    once = incremental_load(pages, plan, none, target, parse, now(), schemas.price_rules())
-    assert once.error is None and once.table.count() == 2 and once.rejected.isEmpty()
-    assert [(r.status, r.rows_loaded) for r in once.checkpoints.collect()] == [("completed", 2)]
-    twice = incremental_load(pages, plan, once.checkpoints, once.table, parse, now())
-    assert sorted(twice.table.collect()) == sorted(once.table.collect())
-    broken = pages.withColumn("response_payload", F.lit('{"unit": "USD"}'))
-    failed = incremental_load(broken, plan, none, target, parse, now())
-    assert failed.error and failed.table.isEmpty()
-    assert [r.status for r in failed.checkpoints.collect()] == ["failed"]
+WINDOW = "source_name string, dataset_name string, region string, window_start_date date, window_end_date date, response_payload string"
+
+
+def landed(spark):
+    """Two days of every source; the second day's price window holds one good page and one that breaks off."""
+    pages = []
+    for n in (1, 2):
+        day, t = dt.date(2024, 1, n), T0 + 86400 * (n - 1)
+        price = json.dumps({"unit": "EUR / MWh", "unix_seconds": [t, t + 3600], "price": [1.0, float(n)]})
+        pages += [("energy_charts", C.PRICE_DATASET, "FR", day, day, price)] + [("energy_charts", C.PRICE_DATASET, "FR", day, day, price[:30])] * (n - 1)
+        for dataset, region, power in ((C.NATIONAL_DATASET, "FR", 4), (C.REGIONAL_DATASET, "ALL_REGIONS", 4), (C.NATIONAL_PROVISIONAL_DATASET, "FR", 8)):
+            record = {"date_heure": f"2024-01-0{n}T05:15:00+00:00", "libelle_region": "Bretagne", "consommation": power}
+            pages.append(("odre", dataset, region, day, day, json.dumps({"results": [record, record]})))
+        for region in ("Bretagne", "Normandie"):
+            weather = {"hourly": {"time": [f"2024-01-0{n}T00:00", f"2024-01-0{n}T01:00", f"2024-01-0{n}T02:00"], "temperature_2m": [1.5, 2.5]}}
+            pages.append(("open_meteo", C.WEATHER_DATASET, region, day, day, json.dumps(weather)))
+    return spark.createDataFrame(pages, WINDOW)
+
+
+def outcomes(result):
+    return {(r.dataset_name, r.region, r.window_start_date.day): (r.status, r.rows_loaded) for r in result.checkpoints.collect()}
+
+
+def test_all_sources_load_and_one_bad_page_fails_one_window(spark):
+    pages = landed(spark)
+    plan, none = pages.select(*ingestion.WINDOW_KEY).distinct(), state(spark).limit(0)
+    empty = {name: spark.createDataFrame([], schema) for name, schema in (("prices", schemas.PRICES), ("mix", schemas.MIX), ("weather", schemas.WEATHER))}
+    once = incremental_load(pages, plan, none, empty, now())
+    wanted = {(d, r, n): ("completed", k) for n in (1, 2) for d, r, k in (
+        (C.PRICE_DATASET, "FR", 2), (C.NATIONAL_DATASET, "FR", 1), (C.REGIONAL_DATASET, "ALL_REGIONS", 1), (C.NATIONAL_PROVISIONAL_DATASET, "FR", 1),
+        (C.WEATHER_DATASET, "Bretagne", 3), (C.WEATHER_DATASET, "Normandie", 3))} | {(C.PRICE_DATASET, "FR", 2): ("failed", 0)}
+    assert outcomes(once) == wanted
+    assert [(r.window_start_date.day, r.error_message[:17]) for r in once.failures.collect()] == [(2, "unsupported price")]
+    # The failed window's good page loads nothing; of two datasets of one table each counts its own rows, and the later one wins.
+    assert once.tables["prices"].select(F.dayofmonth("timestamp_utc")).distinct().collect() == [(1,)]
+    mix = {(r.scope, r.timestamp_utc.day): float(r.consumption_mwh) for r in once.tables["mix"].collect()}
+    assert mix == {("national", 1): 4.0, ("national", 2): 4.0, ("regional", 1): 2.0, ("regional", 2): 2.0}
+    assert once.tables["weather"].count() == 12
+    counts = {(r.table, r.dataset_name): r.rows_loaded for r in load_summary(once.rows).collect()}
+    assert counts == {("prices", C.PRICE_DATASET): 2, ("mix", C.NATIONAL_DATASET): 2, ("mix", C.REGIONAL_DATASET): 2, ("mix", C.NATIONAL_PROVISIONAL_DATASET): 2, ("weather", C.WEATHER_DATASET): 12}
+
+    mended = pages.where(F.length("response_payload") != 30)
+    twice = incremental_load(mended, plan, once.checkpoints, once.tables, now())
+    assert outcomes(twice) == wanted | {(C.PRICE_DATASET, "FR", 2): ("completed", 2)}
+    assert load_summary(twice.rows).collect() == [("prices", "energy_charts", C.PRICE_DATASET, 2)]
+    assert twice.tables["prices"].count() == 4
+    third = incremental_load(mended, plan, twice.checkpoints, twice.tables, now())
+    assert third.rows.isEmpty() and outcomes(third) == outcomes(twice)
+    for name, table in twice.tables.items():
+        assert sorted(map(str, third.tables[name].collect())) == sorted(map(str, table.collect()))
+
+
+def test_rows_that_break_a_rule_are_set_aside_and_unknown_datasets_fail(spark):
+    day = dt.date(2024, 1, 1)
+    record = {"date_heure": "2024-01-01T05:15:00+00:00", "consommation": 1, "nucleaire": -5}
+    pages = spark.createDataFrame([("odre", C.NATIONAL_DATASET, "FR", day, day, json.dumps([record])), ("odre", "other", "FR", day, day, "[]")], WINDOW)
+    plan = pages.select(*ingestion.WINDOW_KEY)
+    result = incremental_load(pages, plan, state(spark).limit(0), {"mix": spark.createDataFrame([], schemas.MIX)}, now())
+    assert outcomes(result) == {(C.NATIONAL_DATASET, "FR", 1): ("completed", 0), ("other", "FR", 1): ("failed", 0)}
+    assert "nuclear_mwh_not_negative" in result.rejected["mix"].first().violated_rules and result.tables["mix"].isEmpty()
+
+
+def test_refresh_plan_has_fixed_dates_and_provisional_mix(spark):
+    days = [dt.date(2026, 4, 30), dt.date(2026, 5, 1), dt.date(2026, 6, 30), dt.date(2026, 7, 1)]
+    rows = [("s", name, "FR", day, day) for day in days for name in (C.NATIONAL_DATASET, C.NATIONAL_PROVISIONAL_DATASET, C.PRICE_DATASET)]
+    plan = spark.createDataFrame(rows, WINDOW.rsplit(",", 1)[0])
+    kept = {(r.dataset_name, r.window_start_date) for r in refresh_plan(plan).collect()}
+    assert kept == {(name, day) for name in (C.NATIONAL_PROVISIONAL_DATASET, C.PRICE_DATASET) for day in days[1:3]}
 
 
 def test_constraints_and_quarantine(spark):

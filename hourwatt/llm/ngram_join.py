@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourwatt.llm.components import components, linked_groups, spanning_links
-from hourwatt.llm.scratch import stored
+from hourwatt.llm.scratch import give_back_memory, stored
 from hourwatt.llm.windows import MULTIPLIERS, Rolling, batches_of, mixed, word_codes
 
 GRAM = 5
@@ -232,6 +232,7 @@ def ngram_join(docs: DataFrame, text: str = "text", doc: str = "doc_id", thresho
                 counts += links[hit].tolist() + [0] * len(forest)
                 others += [None] * len(hit) + [rows[j]["key"] for _, j in forest]
             yield pd.DataFrame({"key": pd.Series(keys, dtype=object), "links": pd.Series(counts, dtype="int64"), "other": pd.Series(others, dtype=object)})
+            give_back_memory()
 
     found = stored(_sides(grouped, ["grp"], ["key", "values", "copies", "grams"]).mapInPandas(verify, "key string, links long, other string"), "links")
     links = found.where("other is null").groupBy("key").agg(F.sum("links").alias("links"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourwatt.llm.scratch import stored, without
+from hourwatt.llm.scratch import give_back_memory, stored, without
 
 WINDOW = 2048
 END_ID = 1
@@ -294,6 +294,9 @@ def pack(docs: DataFrame, path: str, text: str = "text", window: int = WINDOW, s
     columns = [f.name for f in rest]
 
     def fill_shard(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        # All texts are encoded by now, so the vocabulary's tables can go, and so can what earlier shards left.
+        coder.cache_clear()
+        give_back_memory()
         frame = frame.sort_values("__key", kind="stable").reset_index(drop=True)
         ids = [np.frombuffer(x, dtype=np.uint16) for x in frame["__ids"]]
         heads = [len(x) // window * window for x in ids]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,3 +29,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def give_back_memory() -> None:
+    """Return what freed arrays leave in this Python worker's heap to the system; workers live on through later stages."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

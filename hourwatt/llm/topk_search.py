@@ -10,7 +10,7 @@ superblock with its best bound, which sets its k-th score so far; the pairs that
 nothing below it. The queries are a stated set against all rows; no group of rows with the same value is paired.
 
 Defined results: vectors that are null or empty, or hold null or non-finite components, take no part; a shorter vector
-counts as padded with zeros; components beyond 2**26 in size count as 2**26 (scores stay exact in 64 bits); rows that
+counts as padded with zeros; components of any size are exact, and a score beyond the range of a long is its end; rows that
 repeat an id are candidates of their own, never for a query of the same id; a repeated query row is answered once a
 row; null ids take no part; ties go to the smaller id. Other columns are not read.
 """
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from hourwatt.llm.scratch import stored
 
 SCALE = 64
-LIMIT = 2**26
 BLOCK = 64
 SUPER = 2048
 GROUP = 256
@@ -41,7 +40,12 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, finite)
 
 
-def _coded(vectors: DataFrame, dims: int) -> DataFrame:
+def _kind(wide: bool) -> type:
+    """How components are stored: whole doubles hold every floor of a double that 32 bits do not."""
+    return np.float64 if wide else np.int32
+
+
+def _coded(vectors: DataFrame, dims: int, wide: bool) -> DataFrame:
     directions = np.random.default_rng(7).standard_normal((dims, CODE_BITS))
     places = 1 << np.arange(CODE_BITS)[::-1]
 
@@ -49,20 +53,20 @@ def _coded(vectors: DataFrame, dims: int) -> DataFrame:
         for batch in batches:
             if batch.empty:
                 continue
-            ints = np.zeros((len(batch), dims), dtype=np.int32)
+            ints = np.zeros((len(batch), dims), dtype=_kind(wide))
             for i, v in enumerate(batch["v"]):
-                ints[i, : len(v)] = np.clip(np.floor(SCALE * np.asarray(v, dtype=np.float64)), -LIMIT, LIMIT)
+                ints[i, : len(v)] = np.floor(SCALE * np.asarray(v, dtype=np.float64))
             codes = (ints @ directions > 0) @ places
             yield pd.DataFrame({"id": batch["id"], "code": codes, "ints": [r.tobytes() for r in ints]})
 
     return vectors.mapInPandas(code, "id long, code long, ints binary")
 
 
-def _packed(coded: DataFrame, rows: int, parts: int, dims: int, with_bounds: bool) -> DataFrame:
+def _packed(coded: DataFrame, rows: int, parts: int, dims: int, with_bounds: bool, wide: bool) -> DataFrame:
     """Rows of neighbouring codes together: ids and components of up to ``rows`` vectors, and their blocks' extremes."""
 
     def make(frame: pd.DataFrame, number: int) -> pd.DataFrame:
-        ints = np.frombuffer(b"".join(frame["ints"]), dtype=np.int32).reshape(-1, dims)
+        ints = np.frombuffer(b"".join(frame["ints"]), dtype=_kind(wide)).reshape(-1, dims)
         out = {"part": [(TaskContext.get().partitionId() << 32) + number], "ids": [frame["id"].to_numpy(np.int64).tobytes()], "ints": [ints.tobytes()]}
         if with_bounds:
             edges = np.arange(0, len(ints), BLOCK)
@@ -83,19 +87,25 @@ def _packed(coded: DataFrame, rows: int, parts: int, dims: int, with_bounds: boo
     return coded.repartitionByRange(parts, "code", "id").sortWithinPartitions("code", "id").mapInPandas(pack, schema)
 
 
-def _as_rows(raw: bytes, dims: int) -> np.ndarray:
-    return np.frombuffer(raw, dtype=np.int32).reshape(-1, dims)
+def _as_rows(raw: bytes, dims: int, wide: bool) -> np.ndarray:
+    return np.frombuffer(raw, dtype=_kind(wide)).reshape(-1, dims)
 
 
-def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact a @ b.T of integers: in doubles where every partial sum fits their mantissa."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    kind = np.float64 if most < 2**53 else np.int64
-    return (a.astype(kind) @ b.astype(kind).T).astype(np.int64)
+def _product(*pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Exact sum of a @ b.T over pairs of whole numbers: in doubles where every partial sum fits their mantissa, in
+    64 bits where it fits those, else in integers of any size, cut to the range of a long at the end."""
+    most = sum(float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1] for a, b in pairs)
+    if most < 2**62:
+        kind = np.float64 if most < 2**53 else np.int64
+        return sum((a.astype(kind) @ b.astype(kind).T).astype(np.int64) for a, b in pairs)
+    whole = np.frompyfunc(int, 1, 1)
+    exact = sum(whole(a) @ whole(b).T for a, b in pairs)
+    ends = np.iinfo(np.int64)
+    return np.frompyfunc(lambda x: min(max(x, ends.min + 1), ends.max), 1, 1)(exact).astype(np.int64)
 
 
 def _bounds(queries: np.ndarray, tops: np.ndarray, lows: np.ndarray) -> np.ndarray:
-    return _product(np.maximum(queries, 0), tops) + _product(np.minimum(queries, 0), lows)
+    return _product((np.maximum(queries, 0), tops), (np.minimum(queries, 0), lows))
 
 
 def _search(q_ids, queries, floor, ids, rows, tops, lows, k):
@@ -113,13 +123,13 @@ def _search(q_ids, queries, floor, ids, rows, tops, lows, k):
         if not len(open_to):
             continue
         part = slice(block * BLOCK, (block + 1) * BLOCK)
-        scores = _product(queries[open_to], rows[part])
+        scores = _product((queries[open_to], rows[part]))
         good = (scores >= kth[open_to, None]) & (ids[part][None, :] != q_ids[open_to, None])
         for row in np.flatnonzero(good.any(axis=1)):
             q = open_to[row]
             s = np.concatenate([best_scores[q], scores[row, good[row]]])
             i = np.concatenate([best_ids[q], ids[part][good[row]]])
-            order = np.lexsort((i, -s))[:k]
+            order = np.lexsort((i, -s))[:k]  # no score is the least long, so all can be negated
             best_scores[q], best_ids[q] = s[order], i[order]
             if len(order) == k:
                 kth[q] = max(kth[q], s[order[-1]])
@@ -131,21 +141,22 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     """For every row that ``is_query`` selects: its ``k`` best other rows as (query_id, rank, vec_id, score)."""
     spark = vectors.sparkSession
     good = vectors.where(usable(F.col(vector)) & F.col(id_col).isNotNull())
-    measured = good.agg(F.max(F.size(vector)).alias("dims"), F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()
+    largest = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
+    measured = good.agg(F.max(largest).alias("largest"), F.max(F.size(vector)).alias("dims"), F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()
     if not measured["n"] or not measured["q"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dims = measured["dims"]
-    pick = lambda rows: _coded(rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")), dims)
+    dims, wide = measured["dims"], measured["largest"] * SCALE >= 2**31 - 1
+    pick = lambda rows: _coded(rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")), dims, wide)
     # Parts are told apart by their own number, so the vectors stay in the tasks that packed them.
-    supers = stored(_packed(pick(good), SUPER, -(-measured["n"] // (4 * SUPER)), dims, True).withColumnRenamed("part", "block"), "search-blocks")
-    groups = stored(_packed(pick(good.where(is_query)), GROUP, -(-measured["q"] // (4 * GROUP)), dims, False).withColumnRenamed("part", "grp"), "search-queries")
+    supers = stored(_packed(pick(good), SUPER, -(-measured["n"] // (4 * SUPER)), dims, True, wide).withColumnRenamed("part", "block"), "search-blocks")
+    groups = stored(_packed(pick(good.where(is_query)), GROUP, -(-measured["q"] // (4 * GROUP)), dims, False, wide).withColumnRenamed("part", "grp"), "search-queries")
     every = groups.crossJoin(supers.select("block"))
 
     def outer_bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sums = []
             for q, t, b in zip(batch["q_ints"], batch["tops"], batch["lows"]):
-                sums.append(float(_bounds(_as_rows(q, dims), _as_rows(t, dims), _as_rows(b, dims)).max(axis=1).sum()))
+                sums.append(float(_bounds(*(_as_rows(x, dims, wide) for x in (q, t, b))).max(axis=1).sum()))
             yield pd.DataFrame({"grp": batch["grp"], "block": batch["block"], "bound": sums})
 
     # Estimates do not see how many rows every pair of parts makes, so these joins are kept from broadcasting a side.
@@ -159,7 +170,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
             for r in batch.itertuples():
                 q_ids = np.frombuffer(r.q_ids, dtype=np.int64)
                 floor = np.full(len(q_ids), np.iinfo(np.int64).min) if r.floors is None else np.frombuffer(r.floors, dtype=np.int64)
-                place, ids, scores = _search(q_ids, _as_rows(r.q_ints, dims), floor, np.frombuffer(r.ids, dtype=np.int64), _as_rows(r.ints, dims), _as_rows(r.tops, dims), _as_rows(r.lows, dims), k)
+                place, ids, scores = _search(q_ids, _as_rows(r.q_ints, dims, wide), floor, np.frombuffer(r.ids, dtype=np.int64), *(_as_rows(x, dims, wide) for x in (r.ints, r.tops, r.lows)), k)
                 yield pd.DataFrame({"grp": r.grp, "place": place, "query_id": q_ids[place], "vec_id": ids, "score": scores})
 
     found = "grp long, place long, query_id long, vec_id long, score long"

@@ -34,10 +34,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    classes = ngram_join(docs)
-    gone = classes.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each class of near duplicates: the one with the smallest id, ids that are null last.
+
+    Rows are told apart by a number, so an id on several texts loses only the rows that have a near duplicate, of copies
+    without an id and of repeated rows one stays, and rows without a word, which link with nothing, all stay.
+    """
+    row = next(n for n in (f"__row{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-numbered")
+    linked = ngram_join(rows.select(row, "text"), doc=row).where("n_links > 0").select(row, "component_id")
+    known = linked.join(rows.select(row, "doc_id"), row).withColumn("__at", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row))
+    best = known.groupBy("component_id").agg(F.min("__at")[row].alias("__best"))
+    gone = known.join(best, "component_id").where(F.col(row) != F.col("__best")).select(row)
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

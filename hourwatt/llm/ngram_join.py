@@ -99,6 +99,7 @@ def _signed(source: DataFrame, gram: int) -> DataFrame:
                     [batch.column("k1").take(rows), batch.column("k2").take(rows), *map(pa.array, ids), pa.array([v.tobytes() for v in values], pa.binary())],
                     names=["k1", "k2", "s1", "s2", "values"],
                 )
+        give_back_memory()
 
     return source.mapInArrow(sign, "k1 long, k2 long, s1 long, s2 long, values binary")
 
@@ -112,6 +113,7 @@ def _sets(source: DataFrame, wanted: DataFrame, gram: int) -> DataFrame:
             for docs, grams, bounds in _gram_batches(_utf8(batch), gram):
                 sets = [grams[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(docs)), pa.array(sets, pa.binary())], names=["key", "grams"])
+        give_back_memory()
 
     return held.mapInArrow(gather, "key string, grams binary")
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourwatt.llm.scratch import without
+from hourwatt.llm.scratch import give_back_memory, without
 from hourwatt.llm.windows import batches_of, word_codes
 
 MAX_POSITIVE = 8_000
@@ -219,5 +219,6 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "
                 batch = whole.slice(at, BATCH_TEXTS)
                 made = model.scores(features([(t or "").encode() for t in batch.column(place).to_pylist()]))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], names=names)
+        give_back_memory()
 
     return docs.mapInArrow(run, schema)

@@ -33,6 +33,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def give_back_memory() -> None:
     """Return what freed arrays leave in this Python worker's heap to the system; workers live on through later stages."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)

@@ -64,6 +64,7 @@ def _resized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.when(F.col("__changed"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("__changed")
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 STAGES = [
     ("quality", quality),
     ("lines", lines),
@@ -76,7 +77,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    """All stages over all documents; rows pass between the JVM and Python a thousand at a time, as texts are long."""
+    docs, before = table(spark, sf_dir, "documents"), spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, "1000")
+    try:
+        for name, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     return docs

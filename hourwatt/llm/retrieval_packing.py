@@ -294,9 +294,13 @@ def pack(docs: DataFrame, path: str, text: str = "text", window: int = WINDOW, s
     columns = [f.name for f in rest]
 
     def fill_shard(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        # All texts are encoded by now, so the vocabulary's tables can go, and so can what earlier shards left.
+        # All texts are encoded by now, so the vocabulary's tables can go, and afterwards what the shard took.
         coder.cache_clear()
+        out = filled(key, frame)
         give_back_memory()
+        return out
+
+    def filled(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("__key", kind="stable").reset_index(drop=True)
         ids = [np.frombuffer(x, dtype=np.uint16) for x in frame["__ids"]]
         heads = [len(x) // window * window for x in ids]
@@ -332,5 +336,6 @@ def ids_crc32(packed: DataFrame, ids: str = "ids", out: str = "ids_crc32") -> Da
             columns = list(batch.columns)
             columns[place] = pa.array(sums, pa.int64())
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        give_back_memory()
 
     return packed.mapInArrow(run, schema)

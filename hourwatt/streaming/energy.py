@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,8 @@ from hourwatt.session import scratch_path
 from hourwatt.sources.payloads import finish_mix, hourly_mix_aggregates
 from hourwatt.sources.upsert import write_upsert
 
+WEEK = 7 * 24 * 3600
+
 
 def read_folder(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.parquet", files_per_trigger: int | None = None) -> DataFrame:
     """Parquet files of a folder as a stream; NTZ timestamps become zoned (watermarks need them).
@@ -54,10 +56,26 @@ def sliding_day_mean(hours: DataFrame, value: str, keys: Sequence[str], delay: s
 
 
 def coverage_islands(hours: DataFrame, keys: Sequence[str], ts: str = TS, gap: str = "90 minutes", delay: str | None = None) -> DataFrame:
-    """Runs of hours without a gap; works on batch input and, with a delay, on a stream."""
-    rows = hours.withWatermark(ts, delay) if delay else hours
-    island = F.session_window(ts, gap).alias("_island")
-    return rows.groupBy(island, *keys).agg(F.min(ts).alias("first_hour"), F.max(ts).alias("last_hour"), F.count("*").alias("hours")).drop("_island")
+    """Runs of hours without a gap; works on batch input and, with a delay, on a stream.
+
+    On batch input runs are found inside (series, week) and joined across weeks, so a series with a third of all rows
+    spreads over tasks; on a stream a series' open run is its state.
+    """
+    if delay:
+        return _sessions(hours.withWatermark(ts, delay), keys, ts, gap)
+    week = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / WEEK)
+    parts = _sessions(hours.withColumn("_week", week), [*keys, "_week"], ts, gap)
+    # One row per week and run: bounded by time, not by rows.
+    order = Window.partitionBy(*keys).orderBy("first_hour")
+    apart = F.col("first_hour") > F.lag("last_hour").over(order) + F.expr(f"interval {gap}")
+    marked = parts.withColumn("_island", F.sum(F.coalesce(apart, F.lit(False)).cast("int")).over(order))
+    islands = marked.groupBy(*keys, "_island").agg(F.min("first_hour").alias("first_hour"), F.max("last_hour").alias("last_hour"), F.sum("hours").alias("hours"))
+    return islands.drop("_island")
+
+
+def _sessions(rows: DataFrame, keys: Sequence[str], ts: str, gap: str) -> DataFrame:
+    island = F.session_window(ts, gap).alias("_session")
+    return rows.groupBy(island, *keys).agg(F.min(ts).alias("first_hour"), F.max(ts).alias("last_hour"), F.count("*").alias("hours")).drop("_session")
 
 
 def run_to_parquet(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:

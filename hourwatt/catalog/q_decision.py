@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourwatt.catalog import adapters as A
@@ -15,6 +18,7 @@ from hourwatt.operators.calendar import TS
 from hourwatt.operators.workload import WorkloadConstraints
 from hourwatt.plans import dashboard
 from hourwatt.plans.decision import decision_run, workload_rankings
+from hourwatt.session import cut_lineage
 
 DAY = WorkloadConstraints(earliest_start_utc="2024-01-16 08:00:00", latest_end_utc="2024-01-16 22:00:00", duration_hours=3)
 DELAY = WorkloadConstraints(earliest_start_utc="2024-01-16 20:00:00", duration_hours=2, max_delay_hours=9)
@@ -448,6 +452,51 @@ def s14c(s, d):
     )
 
 
+_none = 'cast(null as varchar) as "window", cast(null as varchar) as decision_group'
+_document_sql = f"""select 'champion' as section, {_none}, case when model = {_champion} then 'chosen' else 'other' end as item, model, {R(H('score', 4))} as value from v_champion
+union all select 'summary', {_none}, 'regret of ' || scenario, model, {R(H(_first('regret'), 4))} from v_scenario group by scenario, model
+union all select 'summary', {_none}, 'carbon regret', model, {R(H("avg(carbon_regret) filter (where predicted_decision_rank = 1)", 4))} from v_rankings group by model
+union all select 'summary', {_none}, 'recommendations', null, count(*) from v_rec where model = {_champion}
+union all select 'summary', {_none}, 'dates', null, count(distinct decision_group) from v_rec where model = {_champion}
+union all select distinct 'filters', {_none}, 'date ' || decision_group, null, cast(null as double) from v_rec where model = {_champion}
+union all select distinct 'filters', {_none}, scenario, null, cast(null as double) from v_scenario
+union all select 'date', "window", decision_group, 'confidence ' || predicted_decision_rank, model, {R(H(H('confidence'), 4))} from v_rec where model = {_champion}
+union all select 'date', "window", decision_group, scenario || ' ' || p_rank, model, {R(H(H('p_score'), 4))} from v_scenario where p_rank <= 5 and model = {_champion}"""
+
+
+@query("S14d_dashboard_parts", _document_sql)
+def s14d(s, d):
+    """The parts of the document read back, one row per entry."""
+    run = decision_run(
+        ranking.price_decision_rankings(A.price_pred(s, d)), carbon.hourly_carbon(A.pred_long(s, d), A.factors(), A.TECH_SOURCES), *summaries(s, d)
+    )
+    parts = cut_lineage(dashboard.dashboard_document(run))
+
+    def entries(section, field, shape, item, model, value):
+        read = F.explode(F.from_json(F.get_json_object("document", f"$.{field}"), f"array<{shape}>")).alias("e")
+        return parts.filter(F.col("section") == section).select("section", "window", "decision_group", "document", read).select(
+            "section", "window", "decision_group", item.alias("item"), model.alias("model"), value.cast("double").alias("value")
+        )
+
+    e, chosen, none = F.col("e"), F.get_json_object("document", "$.model"), F.lit(None).cast("string")
+    found = [
+        entries("champion", "models", "struct<model: string, champion_score: double>", F.when(e["model"] == chosen, "chosen").otherwise("other"), e["model"], e["champion_score"]),
+        entries("summary", "scenario_metrics", "struct<scenario: string, model: string, mean_scenario_regret: double>", F.concat(F.lit("regret of "), e["scenario"]), e["model"], e["mean_scenario_regret"]),
+        entries("summary", "decision_metrics", "struct<model: string, mean_carbon_regret_g_co2e_per_kwh: double>", F.lit("carbon regret"), e["model"], e["mean_carbon_regret_g_co2e_per_kwh"]),
+        entries("filters", "dates", "string", F.concat(F.lit("date "), e), none, none),
+        entries("filters", "scenarios", "string", e, none, none),
+        entries("date", "recommendations", "struct<recommendation_rank: int, model: string, confidence_score: double>", F.concat(F.lit("confidence "), e["recommendation_rank"].cast("string")), e["model"], e["confidence_score"]),
+        entries(
+            "date", "scenario_recommendations", "struct<scenario: string, recommendation_rank: int, model: string, predicted_scenario_score: double>",
+            F.concat(e["scenario"], F.lit(" "), e["recommendation_rank"].cast("string")), e["model"], e["predicted_scenario_score"],
+        ),
+    ]
+    for item, field in (("recommendations", "recommendation_count"), ("dates", "date_count")):
+        number = F.get_json_object("document", f"$.{field}").cast("double").alias("value")
+        found.append(parts.filter("section = 'summary'").select("section", "window", "decision_group", F.lit(item).alias("item"), none.alias("model"), number))
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("P10_dashboard_filters", f"""select {KEYS}, decision_group, p_rank as recommendation_rank, 'Clean First' as scenario_title from v_scenario
 where p_rank <= 5 and scenario = 'clean_first' and decision_group = (select max(decision_group) from v_rec)""")
 def p10(s, d):

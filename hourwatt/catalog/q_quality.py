@@ -11,6 +11,7 @@ from hourwatt.catalog.sql_views import ISO, R, T
 from hourwatt.operators import ingestion, quality
 from hourwatt.operators.calendar import TS
 from hourwatt.sources.tables import load_summary
+from hourwatt.session import cut_lineage
 from hourwatt.sources.upsert import keep_one, require_record_id, upsert
 
 LINE_KEY = ["l_orderkey", "l_linenumber"]
@@ -80,8 +81,10 @@ def d01(s, d):
 @query("D02_quality_report")
 def d02(s, d):
     t = tables(s, d)
-    checks = quality.run_checks(t["electricity_prices"], t["hourly_electricity_mix"], t["weather_observations"])
-    return quality.compact_report(checks, quality.check_details(t["electricity_prices"], t["hourly_electricity_mix"], t["weather_observations"]))
+    details = quality.check_details(t["electricity_prices"], t["hourly_electricity_mix"], t["weather_observations"])
+    # Both the verdicts and the lines read these rows.
+    stored = {name: cut_lineage(rows) for name, rows in details.items()}
+    return quality.compact_report(quality.judge(stored), stored)
 
 
 def bad_weather(s, d):

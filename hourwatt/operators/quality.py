@@ -120,8 +120,12 @@ def check_details(prices: DataFrame, mix: DataFrame, weather: DataFrame) -> dict
 
 
 def run_checks(prices: DataFrame, mix: DataFrame, weather: DataFrame) -> DataFrame:
-    """The six checks with their pass rules: expect rows, expect none, or all counts zero."""
-    details = check_details(prices, mix, weather)
+    """The six checks over the three tables."""
+    return judge(check_details(prices, mix, weather))
+
+
+def judge(details: Mapping[str, DataFrame]) -> DataFrame:
+    """Which checks pass, from the rows behind them: expect rows, expect none, or all counts zero."""
     has_rows, no_rows = F.count("*") > 0, F.count("*") == 0
 
     def all_zero(column: str) -> Column:

@@ -1,6 +1,7 @@
-"""Shapes and results of the range, merge, island and quantile mechanisms."""
+"""Shapes and results of the range, merge, island, quantile and document mechanisms."""
 
 import datetime as dt
+import json
 
 import numpy as np
 import pytest
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 
 from hourwatt.operators import quantiles, workload
 from hourwatt.operators.calendar import TS
+from hourwatt.plans import dashboard
+from hourwatt.plans.decision import DecisionOutputs
 from hourwatt.sources import upsert as U
 from hourwatt.streaming.energy import coverage_islands
 
@@ -140,3 +143,38 @@ def test_quantiles_of_any_spread_leave_few_rows(spark, monkeypatch, kind):
         assert np.allclose(got[name], np.quantile(part, [0.0, 0.25, 0.5, 0.99, 1.0]), rtol=1e-12, atol=0)
     assert got["c"] == [4.0] * 5 and set(got) == {"a", "b", "c"}
     assert (not seen) if kind == "copies" else seen[-1] <= 50 and len(seen) <= 4
+
+
+def decisions(spark, kept):
+    """A small decision run: two models over two days, of which ``kept`` rows stay."""
+    rows = [(dt.datetime(2024, 1, day, 5), "w", model, f"2024-01-0{day}", 1, 0.123456, "high" if day == 1 else "low") for day in (1, 2) for model in ("m", "n")]
+    rec = spark.createDataFrame(rows[:kept], f"{TS} timestamp, window string, model string, decision_group string, recommendation_rank int, confidence_score double, confidence_level string")
+    scenarios = rec.select("*", F.lit("balanced").alias("scenario"))
+    table = spark.createDataFrame([("m", float("nan")), ("n", 0.98767)][: min(kept, 2)], "model string, mean_regret double")
+    models = table.select("model", F.lit(0.5).alias("champion_score"), F.when(F.col("model") == "n", 1).otherwise(2).alias("champion_rank"))
+    champion = rec.filter("model = 'n'")
+    return DecisionOutputs(rec, rec, champion, scenarios, table, table, table.withColumn("scenario", F.lit("balanced")), models)
+
+
+def test_dashboard_parts(spark):
+    parts = dashboard.dashboard_document(decisions(spark, 4)).collect()
+    by_date = {r.decision_group: json.loads(r.document) for r in parts if r.section == "date"}
+    whole = {r.section: json.loads(r.document) for r in parts if r.section != "date"}
+    assert len(parts) == 5 and set(by_date) == {"2024-01-01", "2024-01-02"}
+    for day in by_date.values():
+        assert [r["model"] for r in day["recommendations"]] == ["n"] and [r["model"] for r in day["scenario_recommendations"]] == ["n"]
+        assert day["recommendations"][0]["confidence_score"] == 0.1235
+    assert whole["champion"]["model"] == "n" and [m["model"] for m in whole["champion"]["models"]] == ["n", "m"]
+    assert abs(sum(whole["champion"]["weights"].values()) - 1) < 1e-9
+    assert whole["filters"] == {"dates": ["2024-01-01", "2024-01-02"], "scenarios": ["balanced"]}
+    summary = whole["summary"]
+    assert summary["decision_metrics"] == [{"model": "m", "mean_regret": None}, {"model": "n", "mean_regret": 0.9877}]
+    assert (summary["date_count"], summary["recommendation_count"], summary["high_confidence_share"]) == (2, 2, 0.5)
+    assert len(summary["scenario_metrics"]) == len(summary["ranking_metrics"]) == 2
+
+
+def test_dashboard_of_nothing(spark):
+    whole = {r.section: json.loads(r.document) for r in dashboard.dashboard_document(decisions(spark, 0)).collect()}
+    assert set(whole) == {"champion", "summary", "filters"}
+    assert whole["champion"]["model"] is None and whole["champion"]["models"] == []
+    assert whole["filters"] == {"dates": [], "scenarios": []} and whole["summary"]["recommendation_count"] == 0

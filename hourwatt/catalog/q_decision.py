@@ -542,8 +542,16 @@ def j07(s, d):
     return candidates(s, d).select("workload_id", "region", "duration_hours", "start_utc", "avg_price_eur_mwh")
 
 
-@query("W14_workload_best_start", _with_regions(f"""select w.workload_id, count(c.ts) as candidate_count, {T('(list(ts order by price, ts) filter (ts is not null))[1]')} as best_start_utc, {R('min(price)')} as best_avg_price_eur_mwh,
-  {R('arg_min(price, ts)')} as run_now_avg_price_eur_mwh from w left join c on c.workload_id = w.workload_id group by 1"""))
+_best_start = _with_regions(f"""select w.workload_id, count(c.ts) as candidate_count, {T('(list(ts order by price, ts) filter (ts is not null))[1]')} as best_start_utc, {R('min(price)')} as best_avg_price_eur_mwh,
+  {R('arg_min(price, ts)')} as run_now_avg_price_eur_mwh from w left join c on c.workload_id = w.workload_id group by 1""")
+
+
+@query("W14_workload_best_start", _best_start)
 def w14(s, d):
+    return workload.best_workload_starts(A.workloads(s, d), candidates(s, d), "avg_price_eur_mwh")
+
+
+@query("W14b_sparse_best_start", _best_start)
+def w14b(s, d):
     prices, jobs = A.price_by(s, d, "region"), A.workloads(s, d)
     return workload.cheapest_starts(jobs, workload.block_averages(prices, workload.workload_durations(jobs), "price_eur_mwh"), "avg_price_eur_mwh")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hourwatt.operators.calendar import TS
 from hourwatt.operators.densify import missing_hour_counts
+from hourwatt.session import cut_lineage
 
 Tables = Mapping[str, DataFrame]
 
@@ -99,23 +100,69 @@ def _check(name: str, rows: DataFrame, passed: Column) -> DataFrame:
     return rows.agg(F.count("*").alias("detail_rows"), passed.alias("passed")).select(F.lit(name).alias("check_name"), "passed", "detail_rows")
 
 
+def hourly_profile(
+    df: DataFrame, keys: Sequence[str], measures: Sequence[str] = (), ids: Sequence[str] = ("source", "source_record_id"), ts: str = TS
+) -> DataFrame:
+    """What the checks need of a table, from one scan: ``of`` is ``hour`` or ``id``.
+
+    Hour rows hold the rows, first and last time and null counts per (keys, hour), a set bound by time; id rows hold the
+    rows per record id, repeated ids only. Both are counted map-side first. A table without rows has none.
+    """
+    hour = F.date_trunc("hour", F.col(ts)).alias("_hour")
+    nulls = [F.count_if(F.col(m).isNull()).alias(f"_null_{i}") for i, m in enumerate(measures, 1)]
+    # The measures and the time itself are read beside the grouped columns, which an id row has as null.
+    rows = df.select(*ids, *keys, hour, F.col(ts).alias("_at"), *measures)
+    by_id, by_hour = [F.col(c) for c in ids], [F.col(c) for c in (*keys, "_hour")]
+    sets = rows.groupingSets([by_id, by_hour], *by_id, *by_hour)
+    counted = sets.agg(
+        F.grouping("_hour").alias("_grouped"), F.count("*").alias("_rows"), F.min("_at").alias("_first"), F.max("_at").alias("_last"), *nulls
+    )
+    wanted = counted.filter((F.col("_grouped") == 0) | (F.col("_rows") > 1))
+    return wanted.withColumn("of", F.when(F.col("_grouped") == 0, "hour").otherwise("id")).drop("_grouped")
+
+
 def check_details(prices: DataFrame, mix: DataFrame, weather: DataFrame) -> dict[str, DataFrame]:
-    """The rows behind each of the six checks."""
+    """The rows behind each of the six checks; every table is scanned once, by one job that runs here."""
     tables = {"electricity_prices": prices, "hourly_electricity_mix": mix, "weather_observations": weather}
-    nulls = null_counts(
-        tables,
-        {
-            "hourly_electricity_mix": ["consumption_mwh", "total_production_mwh", "carbon_intensity_gco2_kwh"],
-            "weather_observations": ["temperature_c", "wind_speed_mps", "shortwave_radiation_wm2"],
-        },
-    )
+    keys = {"electricity_prices": ["region"], "hourly_electricity_mix": ["region", "scope"], "weather_observations": ["region"]}
+    measures = {
+        "hourly_electricity_mix": ["consumption_mwh", "total_production_mwh", "carbon_intensity_gco2_kwh"],
+        "weather_observations": ["temperature_c", "wind_speed_mps", "shortwave_radiation_wm2"],
+    }
+    ids = ("source", "source_record_id")
+    profiles = {name: cut_lineage(hourly_profile(df, keys[name], measures.get(name, ()), ids)) for name, df in tables.items()}
+    hours = {name: p.filter("of = 'hour'") for name, p in profiles.items()}
+
+    def total(column: str, name: str) -> Column:
+        return F.coalesce(F.sum(column), F.lit(0)).alias(name)
+
+    coverage = [
+        p.agg(total("_rows", "row_count"), F.min("_first").alias("min_timestamp_utc"), F.max("_last").alias("max_timestamp_utc")).select(
+            F.lit(name).alias("table_name"), "*"
+        )
+        for name, p in hours.items()
+    ]
+    repeated = [
+        p.filter("of = 'id'").select(F.lit(name).alias("table_name"), *ids, F.col("_rows").alias("duplicate_count"))
+        for name, p in profiles.items()
+    ]
+    nulls = [
+        hours[name].agg(*[total(f"_null_{i}", f"null_primary_measure_{i}") for i in range(1, len(columns) + 1)]).select(
+            F.lit(name).alias("table_name"), "*"
+        )
+        for name, columns in measures.items()
+    ]
+
+    def gaps(name: str) -> DataFrame:
+        return missing_hour_counts(hours[name].select(*keys[name], F.col("_hour").alias(TS)), keys[name], "n")
+
     return {
-        "table_coverage": table_coverage(tables),
-        "duplicate_source_ids": duplicate_record_ids(tables),
-        "missing_price_hours": missing_hour_counts(prices, ["region"], "n"),
-        "missing_mix_hours": missing_hour_counts(mix, ["region", "scope"], "n"),
-        "missing_weather_hours": missing_hour_counts(weather, ["region"], "n"),
-        "key_null_rates": nulls,
+        "table_coverage": _union(coverage),
+        "duplicate_source_ids": _union(repeated),
+        "missing_price_hours": gaps("electricity_prices"),
+        "missing_mix_hours": gaps("hourly_electricity_mix"),
+        "missing_weather_hours": gaps("weather_observations"),
+        "key_null_rates": _union(nulls),
     }
 
 

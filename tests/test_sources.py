@@ -292,3 +292,37 @@ def test_quality_report(spark):
     }
     lines = [r.line for r in quality.compact_report(quality.run_checks(prices, mix, weather), {}).collect()]
     assert "FAIL: duplicate_source_ids" in lines and "PASS: table_coverage" in lines
+
+
+def test_checks_scan_every_table_once(spark, tmp_path):
+    hours = [(None, None, None), ("api", "1", 0), ("api", "1", 0), ("api", "2", 3), (None, "1", 3), (None, "1", 4)]
+    rows = [(a, b, "FR", c if c is None else dt.datetime(2024, 1, 1, c, 30)) for a, b, c in hours] + [("api", "9", None, dt.datetime(2024, 1, 2))]
+    schema = "source string, source_record_id string, region string, timestamp_utc timestamp"
+    prices = spark.createDataFrame(rows, schema)
+    mix = prices.withColumns({"scope": F.lit("national"), **{c: F.lit(None).cast("double") for c in ("consumption_mwh", "total_production_mwh", "carbon_intensity_gco2_kwh")}})
+    weather = prices.withColumns({c: F.lit(1.0) for c in ("temperature_c", "wind_speed_mps", "shortwave_radiation_wm2")})
+    tables_ = {}
+    for name, df in (("p", prices), ("m", mix), ("w", weather)):
+        df.write.parquet(str(tmp_path / name))
+        tables_[name] = spark.read.parquet(str(tmp_path / name))
+    plan = quality.hourly_profile(tables_["m"], ["region", "scope"], ["consumption_mwh"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    details = quality.check_details(*tables_.values())
+    assert not any("FileScan parquet" in d._jdf.queryExecution().executedPlan().toString() for d in details.values())
+    names = {"electricity_prices": prices, "hourly_electricity_mix": mix, "weather_observations": weather}
+    # The plain operators, one scan for each check, give the same rows.
+    plain = {
+        "table_coverage": quality.table_coverage(names), "duplicate_source_ids": quality.duplicate_record_ids(names),
+        "missing_price_hours": quality.missing_hour_counts(prices, ["region"], "n"),
+        "missing_mix_hours": quality.missing_hour_counts(mix, ["region", "scope"], "n"),
+        "missing_weather_hours": quality.missing_hour_counts(weather, ["region"], "n"),
+        "key_null_rates": quality.null_counts(names, {
+            "hourly_electricity_mix": ["consumption_mwh", "total_production_mwh", "carbon_intensity_gco2_kwh"],
+            "weather_observations": ["temperature_c", "wind_speed_mps", "shortwave_radiation_wm2"],
+        }),
+    }
+    for name, df in details.items():
+        assert df.columns == plain[name].columns
+        assert sorted(map(repr, df.collect())) == sorted(map(repr, plain[name].collect())), name
+    empty = [t.limit(0) for t in tables_.values()]
+    assert [r.row_count for r in quality.check_details(*empty)["table_coverage"].collect()] == [0, 0, 0]

@@ -396,6 +396,12 @@ def p09(s, d):
     return kept.select(TS, "window", "model", "decision_group", "recommendation_rank")
 
 
+def _run(s, d):
+    return decision_run(
+        ranking.price_decision_rankings(A.price_pred(s, d)), carbon.hourly_carbon(A.pred_long(s, d), A.factors(), A.TECH_SOURCES), *summaries(s, d)
+    )
+
+
 @query("C07_decision_run", f"""select 'rankings' as output, count(*) as row_count from v_rankings union all select 'recommendations', count(*) from v_rec
 union all select 'champion_recommendations', count(*) from v_rec where model = {_champion} union all select 'scenario_recommendations', count(*) from v_scenario where p_rank <= 5
 union all select 'decision_summary', count(distinct model) from v_rankings union all select 'ranking_quality', count(distinct model) from v_rankings
@@ -405,12 +411,55 @@ def c07(s, d):
 
     from hourwatt.sources.tables import load_summary
 
-    run = decision_run(
-        ranking.price_decision_rankings(A.price_pred(s, d)), carbon.hourly_carbon(A.pred_long(s, d), A.factors(), A.TECH_SOURCES), *summaries(s, d)
-    )
+    run = _run(s, d)
     return load_summary({f.name: getattr(run, f.name) for f in fields(run)}).withColumnRenamed("table_name", "output")
 
 
+# Per output of the run: its SQL, the columns that name a row and the values compared.
+_AT = ["window", "model", "decision_group", TS]
+_recommended = ["recommendation_rank", *_rec.values(), "confidence_score", "model_agreement_rate"]
+_contents = {
+    "rankings": (f"select {KEYS}, decision_group, {', '.join(_ranks)}, {_regret_sql} from v_rankings", _AT, [*_ranks, *_regret.values()]),
+    "recommendations": (f"select {_rec_sql}, {_conf} from v_rec", _AT, _recommended),
+    "champion_recommendations": (f"select {_rec_sql}, {_conf} from v_rec where model = {_champion}", _AT, _recommended),
+    "scenario_recommendations": (
+        _scenario_rec, ["scenario", *_AT], ["recommendation_rank", "actual_scenario_rank", "predicted_scenario_score", "scenario_regret"],
+    ),
+    "decision_summary": (
+        f"""select model, count(*) filter (where predicted_decision_rank = 1) as decision_groups, {_best("combined_regret")} as mean_combined_regret,
+  {_best("cost_savings")} as mean_cost_savings_vs_run_now_eur_mwh, {_best("actual_decision_rank")} as mean_actual_rank_of_recommendation from v_rankings group by 1""",
+        ["model"], ["decision_groups", "mean_combined_regret", "mean_cost_savings_vs_run_now_eur_mwh", "mean_actual_rank_of_recommendation"],
+    ),
+    "ranking_quality": (
+        f"select model, n as decision_groups, {R('loss')} as pairwise_ranking_loss, {_class}, {R('err')} as price_direction_error from v_quality_summary",
+        ["model"], ["decision_groups", "pairwise_ranking_loss", "top_5_precision", "top_5_recall", "top_5_f1", "price_direction_error"],
+    ),
+    "scenario_summary": (
+        _scenario_summary, ["scenario", "model"], ["decision_groups", "top_1_hit_rate", "top_3_capture_rate", "mean_scenario_regret"],
+    ),
+    "champion_models": (
+        f"select model, {R('score')} as champion_score, row_number() over (order by score, ce, model) as champion_rank from v_champion",
+        ["model"], ["champion_score", "champion_rank"],
+    ),
+}
+
+
+def _long(name, body, keys, measures):
+    item = ", ".join(f'cast("{k}" as varchar)' for k in keys)
+    values = ", ".join(f"{{'measure': '{m}', 'value': cast({m} as double)}}" for m in measures)
+    return f"select '{name}' as output, item, v.measure as measure, v.value as value from (select concat_ws('|', {item}) as item, unnest([{values}]) as v from ({body}) t)"
+
+
+@query("C07b_decision_contents", " union all ".join(f"({_long(name, *parts)})" for name, parts in _contents.items()))
+def c07b(s, d):
+    run, parts = _run(s, d), []
+    for name, (_, keys, measures) in _contents.items():
+        item = F.concat_ws("|", *[F.date_format(k, "yyyy-MM-dd HH:mm:ss") if k == TS else F.col(k).cast("string") for k in keys])
+        values = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])
+        parts.append(getattr(run, name).select(F.lit(name).alias("output"), item.alias("item"), F.inline(values)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("K04_best_start", f"""select (select count(*) from v_rankings) as input_rows, 0 as recommended_shift_hours, {T('ts')} as start_utc, predicted_decision_rank
 from v_rankings where predicted_decision_rank = 1 order by ts, "window", model limit 1""")
 def k04(s, d):

@@ -13,6 +13,7 @@ from hourwatt.operators.calendar import TS
 
 Factors = Mapping[str, Mapping[str, float]]
 SIDES = ("actual", "predicted")
+FOUND = "_found_sources"
 REQUIRED_COLUMNS = {TS, "window", "target", "model", "actual_mwh", "predicted_mwh"}
 METRIC_COLUMNS = [
     f"{subject}_{stat}"
@@ -54,10 +55,21 @@ def require_factors(factors: Factors, sources: Sequence[str]) -> None:
             raise ValueError(f"methodology {methodology!r} is missing factors for {absent}")
 
 
-def pivot_generation(predictions: DataFrame, sources: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+def require_found(wide: DataFrame, sources: Sequence[str]) -> DataFrame:
+    """``require_targets`` on pivoted rows with ``FOUND``: hourly rows are read, not the predictions."""
+    groups = wide.groupBy("window", "model").agg(F.expr(f"bit_or({FOUND})").alias("_bits"))
+    absent = F.array_compact(F.array(*[F.when(F.expr(f"_bits & {1 << i}L = 0"), F.lit(s)) for i, s in enumerate(sources)]))
+    gap = groups.select("window", "model", F.explode(absent).alias("target")).first()
+    if gap is not None:
+        raise ValueError(f"no generation values for source {gap.target!r} in {gap.window!r} / {gap.model!r}")
+    return wide
+
+
+def pivot_generation(predictions: DataFrame, sources: Sequence[str], keys: Sequence[str] = (), found: bool = False) -> DataFrame:
     """One row per (keys, hour, window, model): the value per source, both sides at once.
 
-    Where a source has several rows the largest value counts, whatever their order.
+    Where a source has several rows the largest value counts, whatever their order. With ``found`` the column ``FOUND`` has
+    a bit for every source, by its place in ``sources``, that has a row, with a value or without.
     """
     aggs = [
         F.expr(
@@ -67,6 +79,11 @@ def pivot_generation(predictions: DataFrame, sources: Sequence[str], keys: Seque
         for side in SIDES
     ]
     rows = predictions.filter(F.col("target").isin(list(sources)))
+    if found:
+        if len(sources) > 62:
+            raise ValueError("at most 62 sources fit the bits of one long")
+        bits = " ".join(f"when target = '{s}' then {1 << i}L" for i, s in enumerate(sources))
+        aggs.append(F.expr(f"bit_or(case {bits} end)").alias(FOUND))
     return rows.groupBy(*keys, TS, "window", "model").agg(*aggs)
 
 
@@ -79,7 +96,11 @@ def hourly_carbon(
     """
     require_columns(predictions, REQUIRED_COLUMNS, "prediction data")
     require_factors(factors, sources)
-    wide = pivot_generation(predictions, sources, keys)
+    return hourly_intensity(pivot_generation(predictions, sources, keys), factors, sources, keys)
+
+
+def hourly_intensity(wide: DataFrame, factors: Factors, sources: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """``hourly_carbon`` from rows that are pivoted already; no shuffle."""
     shared = [*keys, TS, "window", "model"]
     # Generation below zero counts as zero; a missing source stays null.
     clipped = [

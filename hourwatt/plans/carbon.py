@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from hourwatt import constants as C
 from hourwatt.operators import carbon
+from hourwatt.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -25,11 +26,14 @@ def carbon_accounting(
 ) -> CarbonOutputs:
     """Hourly intensity, technology contributions, error metrics and their summary.
 
-    ``validate`` runs one small job that fails when a (window, model) has no rows of a source.
+    The predictions run once: their pivot, one row per hour, window and model, is checkpointed and feeds the four outputs.
+    ``validate`` reads it too and fails when a (window, model) has no rows of a source.
     """
     carbon.require_columns(predictions, carbon.REQUIRED_COLUMNS, "prediction data")
+    carbon.require_factors(factors, sources)
+    wide = cut_lineage(carbon.pivot_generation(predictions, sources, keys, found=True))
     if validate:
-        carbon.require_targets(predictions, sources)
-    hourly = carbon.hourly_carbon(predictions, factors, sources, keys)
+        carbon.require_found(wide, sources)
+    hourly = carbon.hourly_intensity(wide, factors, sources, keys)
     metrics = carbon.carbon_metrics(hourly, keys)
     return CarbonOutputs(hourly, carbon.contributions(hourly, sources, keys), metrics, carbon.carbon_summary(metrics, keys))

@@ -55,6 +55,22 @@ def test_missing_parts_fail(spark):
         carbon.hourly_carbon(predictions(spark, FOUR).drop("model"), FACTORS, SOURCES)
 
 
+def test_predictions_run_once(spark, tmp_path):
+    # A source whose values are null has rows; a source of another (window, model) does not count for this one.
+    rows = [(*r[:4], None, None) if r[2] == "wind" else r for r in FOUR]
+    predictions(spark, rows).write.parquet(str(tmp_path / "p"))
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    out = carbon_accounting(stored, FACTORS, SOURCES)
+    for df in (out.hourly, out.contributions, out.metrics, out.summary):
+        assert "FileScan" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, out.hourly.collect())) == sorted(map(str, carbon.hourly_carbon(stored, FACTORS, SOURCES).collect()))
+    other = predictions(spark, [*rows, ("2026-01-01T00:00:00Z", "test", "gas", "naive", 1.0, 1.0), ("2026-01-01T00:00:00Z", "later", "solar", "x", 1.0, 1.0)])
+    assert [tuple(r) for r in carbon.missing_targets(other, SOURCES).collect()] == [("test", "naive", "wind")]
+    with pytest.raises(ValueError, match="no generation values for source 'wind' in 'test' / 'naive'"):
+        carbon_accounting(other, FACTORS, SOURCES)
+    assert carbon_accounting(other, FACTORS, SOURCES, validate=False).hourly.count() == 3
+
+
 def test_factor_file(tmp_path):
     table = load_emission_factors()
     assert set(table) == {"direct_operational_emissions", "lifecycle_emissions"}

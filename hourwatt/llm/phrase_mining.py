@@ -20,14 +20,15 @@ score, count and phrase; an empty table has no phrases; other columns are not re
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter, defaultdict
 from functools import cached_property, partial
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +42,9 @@ RANK_SHARES = 64
 BITMAP_BITS = 1 << 29
 SLICE_BITS = 1 << 19
 END = b"."
-# Separators of pieces, and blanks between words.
-_ENDS = re.compile(rb"[.,;:!?\x0A-\x0D][.,;:!?\x0A-\x0D\x20\x09]*")
+# A to Z become lower case, separators of pieces line ends.
+_UPPER, _ENDS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b".,;:!?\x0A\x0B\x0C\x0D"
+_PLAIN = bytes.maketrans(_UPPER + _ENDS, _UPPER.lower() + b"\n" * len(_ENDS))
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -53,12 +55,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def words_of(text: str) -> list[bytes]:
     """Words in UTF-8, A to Z in lower case, with ``END`` for every run of separators between two words."""
-    words = _ENDS.sub(b" . ", text.encode().lower()).split()
-    if words and words[0] == END:
-        del words[0]
-    if words and words[-1] == END:
-        del words[-1]
-    return words
+    pieces = text.encode().translate(_PLAIN).split(b"\n")
+    return b" . ".join([p for p in pieces if p.strip()]).split()
 
 
 def chunks_of(words: list[bytes]) -> Iterator[bytes]:
@@ -119,9 +117,9 @@ def phrase_hash(words: list[np.ndarray], lang: str) -> np.ndarray:
     return out
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
+def word_hashes(words: Sequence[bytes]) -> np.ndarray:
     low = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-    high = np.fromiter((zlib.crc32(w, 0x5BD1E995) for w in words), np.uint64, len(words))
+    high = np.fromiter(map(zlib.crc32, words, repeat(0x5BD1E995)), np.uint64, len(words))
     return _mixed(high << np.uint64(32) | low)
 
 
@@ -130,18 +128,27 @@ def _held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return bits[(at >> np.uint64(3)).astype(np.intp)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
 
 
+def _weighed(numbers: np.ndarray, times: np.ndarray, size: int) -> np.ndarray:
+    """Sums of ``times`` by number, exact where a double would not be."""
+    if len(times) and int(times.max()) * len(times) < 1 << 53:
+        return np.bincount(numbers, times, size).astype(np.int64)
+    out = np.zeros(size, np.int64)
+    np.add.at(out, numbers, times)
+    return out
+
+
 class _Rows:
     """Counted phrases of one language in a slab, and how to spell them."""
 
-    def __init__(self, lang: str, chunks: list[bytes], times: list[int]) -> None:
+    def __init__(self, lang: str, chunks: pa.Array, times: np.ndarray) -> None:
         self.lang = lang
-        tokens = b" ".join(chunks).split()
-        self.words = list(set(tokens))
-        number = {w: i for i, w in enumerate(self.words)}
-        self.ids = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
-        sizes = np.fromiter((c.count(b" ") + 1 for c in chunks), np.int64, len(chunks))
-        self.times = np.repeat(np.asarray(times, np.int64), sizes)
-        self.word = self.ids != number.get(END, -1)
+        split = pc.split_pattern(chunks, " ")
+        tokens = split.flatten().dictionary_encode()
+        self.words = tokens.dictionary
+        self.ids = tokens.indices.to_numpy().astype(np.int64)
+        sizes = pc.list_value_length(split).to_numpy().astype(np.int64)
+        self.times = np.repeat(times, sizes)
+        self.word = self.ids != pc.index(self.words, END.decode()).as_py()
         # A phrase belongs to the chunk in which it begins before the closing window.
         self.begins = self.word.copy()
         for back in range(1, OVERLAP + 1):
@@ -149,7 +156,7 @@ class _Rows:
 
     @cached_property
     def hashes(self) -> np.ndarray:
-        return word_hashes(self.words)[self.ids]
+        return word_hashes(self.words.cast(pa.binary()).to_numpy(zero_copy_only=False))
 
     def _at(self, k: int, of: np.ndarray) -> np.ndarray:
         """``of`` at the k-th word after each place; the last places begin nothing."""
@@ -158,76 +165,69 @@ class _Rows:
     def pairs(self, bits: np.ndarray, size: int) -> np.ndarray:
         """Places whose first ``size`` words are all held by the bitmap."""
         if size == 1:
-            return self.word & _held(bits, phrase_hash([self.hashes], self.lang))
-        return self.word & self._at(1, self.word) & _held(bits, phrase_hash([self.hashes, self._at(1, self.hashes)], self.lang))
-
-    def grouped(self, keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(a place of each distinct key, its weight, the key's number per place)."""
-        order = np.argsort(keys)
-        ordered = keys[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        first = np.flatnonzero(new)
-        weights = np.add.reduceat(self.times[places[order]], first) if len(first) else np.zeros(0, np.int64)
-        number = np.empty(len(keys), np.int64)
-        number[order] = np.cumsum(new) - 1
-        return places[order[first]], weights, number
-
-    def spelt(self, places: np.ndarray, weights: np.ndarray, size: int) -> tuple[list[str], list[bytes], list[int]]:
-        columns = [[self.words[i] for i in self.ids[places + k].tolist()] for k in range(size)]
-        return [self.lang] * len(places), [b" ".join(p) for p in zip(*columns)], weights.tolist()
-
-    def counted(self, sizes: tuple[int, ...], bits: np.ndarray | None) -> Iterator[tuple[list[str], list[bytes], list[int]]]:
+            return self.word & _held(bits, phrase_hash([self.hashes], self.lang))[self.ids]
+        both = self.word & self._at(1, self.word)
+        places = np.flatnonzero(both)
+        both[places] = _held(bits, phrase_hash([self.hashes[self.ids[places]], self.hashes[self.ids[places + 1]]], self.lang))
+        return both
+
+    def counted(self, sizes: tuple[int, ...], bits: np.ndarray | None) -> Iterator[tuple[pa.Array, np.ndarray]]:
         """Phrases of these neighbouring lengths; a phrase of more words is keyed by its beginning's number and a word."""
         if sizes[0] == 1:
             places = np.flatnonzero(self.begins)
-            yield [self.lang], [b""], [int(self.times[places].sum())]
-            weights = np.zeros(len(self.words), np.int64)
-            if len(places) and int(self.times.max()) * len(places) < 1 << 53:
-                weights = np.bincount(self.ids[places], self.times[places], len(self.words)).astype(np.int64)
-            else:
-                np.add.at(weights, self.ids[places], self.times[places])
+            weights = _weighed(self.ids[places], self.times[places], len(self.words))
+            yield pa.array([""]), np.array([self.times[places].sum()])
             held = np.flatnonzero(weights)
-            yield [self.lang] * len(held), [self.words[i] for i in held.tolist()], weights[held].tolist()
+            yield self.words.take(pa.array(held)), weights[held]
             return
         fits = self.pairs(bits, sizes[0] - 1)
         allowed = self.begins.copy()
         for k in range(2):
             allowed &= self._at(k, fits)
         places = np.flatnonzero(allowed)
-        keys = self.ids[places]
-        for k in range(1, sizes[0]):
-            keys = np.unique(keys, return_inverse=True)[1] if k > 1 else keys
-            keys = keys << 32 | self.ids[places + k]
-        for size in sizes:
+        numbers, spelt = self.ids[places], self.words
+        for size in range(2, sizes[-1] + 1):
             if size > sizes[0]:
                 longer = self._at(size - sizes[0] + 1, fits)[places]
-                keys, places = inverse[longer] << 32 | self.ids[places[longer] + size - 1], places[longer]
-            first, weights, inverse = self.grouped(keys, places)
-            yield self.spelt(first, weights, size)
+                numbers, places = numbers[longer], places[longer]
+            keys = pa.array(numbers << 32 | self.ids[places + size - 1]).dictionary_encode()
+            numbers, distinct = keys.indices.to_numpy(), keys.dictionary.to_numpy()
+            spelt = pc.binary_join_element_wise(spelt.take(pa.array(distinct >> 32)), self.words.take(pa.array(distinct & 0xFFFFFFFF)), " ")
+            if size >= sizes[0]:
+                yield spelt, _weighed(numbers, self.times[places], len(distinct))
+            numbers = numbers.astype(np.int64)
 
 
 def _phrases(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], bits) -> Iterator[pa.RecordBatch]:
-    held: dict[str, tuple[list, list]] = defaultdict(lambda: ([], []))
+    held: list[pa.RecordBatch] = []
     size = 0
     bitmap = None if bits is None else bits.value
 
     def settled() -> Iterator[pa.RecordBatch]:
-        for lang, (chunks, times) in held.items():
-            for langs, phrases, n in _Rows(lang, chunks, times).counted(sizes, bitmap):
-                if langs:
-                    yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "n"])
+        langs, chunks, times = (pa.concat_arrays([b.column(i) for b in held]) for i in range(3))
         held.clear()
+        names = langs.dictionary_encode()
+        order = np.argsort(names.indices.to_numpy(), kind="stable")
+        chunks, times = chunks.take(pa.array(order)), times.to_numpy()[order]
+        stops = np.cumsum(np.bincount(names.indices.to_numpy())).tolist()
+        for lang, start, stop in zip(names.dictionary.to_pylist(), [0, *stops], stops):
+            for phrases, n in _Rows(lang, chunks.slice(start, stop - start), times[start:stop]).counted(sizes, bitmap):
+                if len(n):
+                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(n)), phrases, pa.array(n)], ["lang", "phrase", "n"])
 
     for batch in batches:
-        for lang, words, times in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
-            held[lang][0].append(words)
-            held[lang][1].append(times)
-            size += words.count(b" ") + 1
+        ends = np.cumsum(pc.count_substring(batch.column(1), " ").to_numpy().astype(np.int64) + 1)
+        begin = done = 0
+        while begin < batch.num_rows:
+            stop = min(int(np.searchsorted(ends, done + SLAB_WORDS - size)) + 1, batch.num_rows)
+            held.append(batch.slice(begin, stop - begin))
+            size += int(ends[stop - 1]) - done
+            begin, done = stop, int(ends[stop - 1])
             if size >= SLAB_WORDS:
                 yield from settled()
                 size = 0
-    yield from settled()
+    if held:
+        yield from settled()
 
 
 def count_phrases(parsed: DataFrame, sizes: tuple[int, ...], least: int, bits=None) -> DataFrame:

@@ -3,8 +3,12 @@
 import hashlib
 import random
 import re
+import sys
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from fixtures import edge_docs, edge_rows, no_docs, prose
@@ -251,3 +255,36 @@ def test_equal_passages_share_chunks():
 def test_no_phrases(spark):
     assert P.collocations(no_docs(spark), 1).count() == 0
     assert P.collocations(edge_docs(spark), 3).count() > 0
+
+
+@pytest.mark.parametrize("sizes", [(1,), (2,), (3, 4)])
+def test_phrases_are_counted_by_columns_with_exact_weights(monkeypatch, sizes):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    chunks = [" ".join([*(rng.choice([*words, "."]) for _ in range(50)), ".", ".", "."]) for _ in range(300)]
+    langs, times = [rng.choice(["de", "en", "und"]) for _ in chunks], [rng.choice([1, 7, (1 << 49) + 1]) for _ in chunks]
+    batches = [pa.RecordBatch.from_arrays([pa.array(langs[a:b]), pa.array(chunks[a:b]), pa.array(times[a:b])], ["lang", "chunk", "times"]) for a, b in ((0, 120), (120, 300))]
+    everything, steps = SimpleNamespace(value=np.full(1 << 12, 255, np.uint8)), 0
+
+    def step(*_):
+        nonlocal steps
+        steps += 1
+
+    sys.setprofile(step)
+    found = list(P._phrases(iter(batches), sizes, everything))
+    sys.setprofile(None)
+    if sizes != (1,):
+        assert steps < sum(b.num_rows for b in found) / 2, "Python runs for every phrase"
+    monkeypatch.setattr(P, "SLAB_WORDS", 2000)
+    wanted = Counter()
+    for lang, chunk, n in zip(langs, chunks, times):
+        for phrase, k in plain_phrases([(lang, chunk)]).items():
+            if phrase[1].count(" ") + 1 in sizes:
+                wanted[phrase] += k * n
+            if sizes == (1,):
+                wanted[lang, ""] += k * n * (" " not in phrase[1])
+    for out in (found, list(P._phrases(iter(batches), sizes, everything))):
+        counts = Counter()
+        for lang, phrase, n in (r.values() for b in out for r in b.to_pylist()):
+            counts[lang, phrase] += n
+        assert counts == wanted

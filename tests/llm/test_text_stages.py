@@ -97,6 +97,23 @@ def test_repeated_bytes_by_order_and_by_hash(spark, monkeypatch, crowd):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, sha(bytes(r.text or b""))) for r in rows} == want
 
 
+@pytest.mark.parametrize("crowd", [20_000, 0])
+def test_planted_passages_go_from_400_bytes_on(spark, monkeypatch, crowd):
+    """All have over 50 words and stand in two documents; their bytes decide, and only theirs go."""
+    monkeypatch.setattr(suf, "CROWD", crowd)
+    texts, want = {i: prose(i, 200) for i in range(20)}, dict.fromkeys(range(20), (0, 0))
+    for i, size in enumerate([300, 380, 398, 399, 400, 401, 420, 800]):
+        passage = prose(1000 + i, 400)[: size - 1] + "z"
+        assert len(passage) == size and len(passage.split()) > 50
+        for k, (before, after) in enumerate(["()", "[]"]):
+            doc = 100 + 2 * i + k
+            texts[doc] = prose(2000 + doc, 100) + before + passage + after + prose(3000 + doc, 100)
+            want[doc] = (size, 1) if size >= 400 else (0, 0)
+    rows = suf.remove_repeated_strings(texts_frame(spark, texts)).collect()
+    assert {r.doc_id: (r.n_removed, r.n_spans) for r in rows} == want
+    assert all(bytes(r.text).decode() == texts[r.doc_id] for r in rows if not r.n_removed)
+
+
 def test_full_sketch_loses_nothing(spark, monkeypatch):
     monkeypatch.setattr(sub, "SKETCH_BYTES", 1 << 15)  # far too small: nearly every cell is full
     texts = repeated_texts()
